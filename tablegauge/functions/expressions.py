@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..constants import ID_NAME_WORDS, TARGET_NAME_WORDS
 
 # Characters a blank cell may consist of: Unicode white space plus the four ASCII separators.
-_BLANK = r"(?U)^[\s\x1c-\x1f]*$"
+_BLANK = r"r'(?U)^[\s\x1c-\x1f]*$'"
 
 # Anchored shapes guard every parse, so that free text and id-like numbers never reach a cast.
 # (shape, expression over the trimmed text that is non-null when the date exists)
@@ -23,23 +23,30 @@ _ZONE = r"( ?(Z|UTC|[+-]\d\d:?\d\d))?"
 LONGEST_DATE = 40
 
 
-def name_words(name: Column) -> Column:
+def name_words_sql(name: str) -> str:
     """Lower-case whole words of a column name; camelCase, snake_case and kebab-case are split."""
-    spaced = F.regexp_replace(name, "(?<=[a-z0-9])(?=[A-Z])", " ")
-    return F.filter(F.split(F.lower(spaced), "[^a-z0-9]+"), lambda w: w != "")
+    spaced = f"regexp_replace({name}, '(?<=[a-z0-9])(?=[A-Z])', ' ')"
+    return f"filter(split(lower({spaced}), '[^a-z0-9]+'), w -> w <> '')"
 
 
-def is_id_name(name: Column) -> Column:
-    return F.arrays_overlap(name_words(name), F.array(*map(F.lit, ID_NAME_WORDS)))
+def _has_word_sql(name: str, words: tuple[str, ...]) -> str:
+    listed = ", ".join(f"'{w}'" for w in words)
+    return f"arrays_overlap({name_words_sql(name)}, array({listed}))"
 
 
-def is_target_name(name: Column) -> Column:
-    by_word = F.arrays_overlap(name_words(name), F.array(*map(F.lit, TARGET_NAME_WORDS)))
-    return (F.lower(F.trim(name)) == "y") | by_word
+def id_name_sql(name: str) -> str:
+    """Whether a word of the name marks an identifier."""
+    return _has_word_sql(name, ID_NAME_WORDS)
 
 
-def is_blank(text: Column) -> Column:
-    return text.rlike(_BLANK)
+def target_name_sql(name: str) -> str:
+    """Whether the name suggests the target of a model."""
+    return f"(lower(trim({name})) = 'y' or {_has_word_sql(name, TARGET_NAME_WORDS)})"
+
+
+def blank_sql(text: str) -> str:
+    """Whether a text is empty or white space, in SQL."""
+    return f"rlike({text}, {_BLANK})"
 
 
 def _real_day(year: Column, month: Column, day: Column) -> Column:
@@ -115,15 +122,20 @@ def lexical_class(text: Column, is_date: Column) -> Column:
     )
 
 
-def finite(value: Column) -> Column:
+def finite_sql(value: str) -> str:
     """NaN and infinities become null: what JSON can carry."""
-    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    return f"if(abs({value}) < double('Infinity'), {value}, null)"
 
 
-def not_nan(value: Column) -> Column:
+def not_nan_sql(value: str) -> str:
     """NaN becomes null; comparisons with NaN would be true in Spark."""
-    return F.when(~F.isnan(value), value)
+    return f"nanvl({value}, null)"
+
+
+def rounded_sql(*names: str) -> list[str]:
+    """Three decimals, as reported."""
+    return [f"round({finite_sql(n)}, 3) as {n}" for n in names]
 
 
-def to_percentage(part: Column, whole: Column) -> Column:
-    return F.round(part / F.nullif(whole, F.lit(0)) * 100, 2)
+# Missing cells in percent of the rows, two decimals; null for an empty table.
+PERCENTAGE = "round(missing / nullif(rows, 0) * 100, 2)"

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions.expressions import is_id_name, is_target_name, name_words
+from ..functions.expressions import id_name_sql, name_words_sql, target_name_sql
 from ..plans.profile import Profile
-
-named_like_id = is_id_name
+from ..plans.table import quoted
 
 
 def names_of(tables: dict[str, DataFrame]) -> DataFrame:
@@ -18,10 +16,9 @@ def names_of(tables: dict[str, DataFrame]) -> DataFrame:
     parts = []
     for dataset, df in tables.items():
         p = Profile(df)
-        slot = F.col("slot")
         parts.append(
-            p.stats("filled").select(
-                F.lit(dataset).alias("dataset"), slot.alias("position"), p.table.name_of(slot).alias("column"), "filled"
+            p.facts("filled").selectExpr(
+                f"{quoted(dataset)} as dataset", "slot as position", f"{p.table.names()} as column", "filled"
             )
         )
     return reduce(DataFrame.unionByName, parts)
@@ -29,18 +26,14 @@ def names_of(tables: dict[str, DataFrame]) -> DataFrame:
 
 def word_lists(columns: DataFrame, name: str = "column") -> DataFrame:
     """The columns table with one row per word of each name: (..., nth, word)."""
-    return columns.select("*", F.posexplode(name_words(F.col(name))).alias("nth", "word"))
+    return columns.selectExpr("*", f"posexplode({name_words_sql(f'`{name}`')}) as (nth, word)")
 
 
-def possible_target_columns(columns: DataFrame, name: str = "column") -> DataFrame:
+def target_names(columns: DataFrame, name: str = "column") -> DataFrame:
     """The rows whose name suggests the target of a model."""
-    return columns.where(is_target_name(F.col(name)))
+    return columns.where(target_name_sql(f"`{name}`"))
 
 
 def id_like_name(columns: DataFrame, name: str = "column") -> DataFrame:
     """The columns table with ``id_like``: whether a word of the name marks an identifier."""
-    return columns.withColumn("id_like", is_id_name(F.col(name)))
-
-
-def target_slots(p: Profile) -> Column:
-    return is_target_name(p.table.name_of(F.col("slot")))
+    return columns.selectExpr("*", f"{id_name_sql(f'`{name}`')} as id_like")

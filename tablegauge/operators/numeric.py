@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..constants import NONNEGATIVE_KEYWORDS
-from ..functions.expressions import finite
-from ..plans import stats, values
-from ..plans.profile import Profile
-from .structure import id_like, named, named_pairs
+from ..functions.expressions import finite_sql, rounded_sql
+from ..plans.profile import KURTOSIS, SKEWNESS, Profile
+from ..plans.stats import aggregate
+from .structure import named, named_pairs
 
-
-def _rounded(*names: str) -> list[Column]:
-    return [F.round(finite(F.col(n)), 3).alias(n) for n in names]
+BOX = ("min", "q1", "median", "q3", "max", "whisker_low", "whisker_high")
 
 
 def iqr_bounds(source, **options) -> DataFrame:
     """(position, column, q1, q3, lower, upper): quartiles and fences."""
     p = Profile.of(source, **options)
-    return named(p, p.fences(), *_rounded("q1", "q3", "lower", "upper"))
+    return named(p, p.quartiles(), *rounded_sql("q1", "q3", "lower", "upper"))
 
 
 def outliers(source, method: str = "iqr", **options) -> DataFrame:
@@ -28,7 +24,8 @@ def outliers(source, method: str = "iqr", **options) -> DataFrame:
     Any method other than "mad" means the fences.
     """
     p = Profile.of(source, **options)
-    return named(p, p.outlier_counts("mad" if method == "mad" else "iqr"), "outliers")
+    count = "outliers_mad" if method == "mad" else "outliers_iqr"
+    return named(p, p.facts(count, fields=p.table.numeric), f"{count} as outliers")
 
 
 def outliers_iqr(source, **options) -> DataFrame:
@@ -39,51 +36,28 @@ def outliers_mad(source, **options) -> DataFrame:
     return outliers(source, "mad", **options)
 
 
-def shapes(p: Profile) -> DataFrame:
-    """(groups, slot, skewness, kurtosis) of numeric columns with three values or more.
-
-    Spark's moments are those of the population; these are the bias-corrected ones of a sample.
-    """
-    measures = ("filled", "low", "high", "skew", "kurt")
-    numeric = p.table.numeric
-    if p._gathered:
-        base = p.stats(*measures).where(F.col("slot").isin([f.slot for f in numeric]))
-    else:
-        base = stats.column_stats(p.table, measures, numeric)
-    n = F.col("filled").cast("double")
-    flat = F.col("low") == F.col("high")
-    skewness = F.when(flat, 0.0).otherwise(F.col("skew") * F.try_divide(F.sqrt(n * (n - 1)), n - 2))
-    kurtosis = F.when(n < 4, None).when(flat, 0.0).otherwise(
-        F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * F.col("kurt") + 6)
-    )
-    return base.where(F.col("filled") >= 3).select(
-        *p.table.groups, "slot", skewness.alias("skewness"), kurtosis.alias("kurtosis")
-    ).select(*p.table.groups, "slot", *_rounded("skewness", "kurtosis"))
-
-
 def distribution_shape(source, **options) -> DataFrame:
-    """(position, column, skewness, kurtosis) with three decimals."""
+    """(position, column, skewness, kurtosis) with three decimals, of three values or more."""
     p = Profile.of(source, **options)
-    return named(p, shapes(p), "skewness", "kurtosis")
+    shaped = p.flagged("shaped", "low", "high", "skew", "kurt", fields=p.table.numeric)
+    return named(p, shaped, f"{SKEWNESS} as skewness", f"{KURTOSIS} as kurtosis")
 
 
 def correlation_square(p: Profile) -> DataFrame:
     """(groups, slot_a, slot_b, corr): every ordered pair of numeric columns, 0 where undefined."""
-    numeric = p.table.numeric
-    if len(numeric) < 2:
+    if len(p.table.numeric) < 2:
         return p.table.empty("slot_a int, slot_b int, corr double")
-    upper = p.correlations()
-    lower = upper.select(
-        *p.table.groups, F.col("slot_b").alias("slot_a"), F.col("slot_a").alias("slot_b"), "value"
+    groups = p.table.groups
+    both = p.correlations().selectExpr(
+        *groups,
+        "inline(array(struct(slot_a, slot_b, value), struct(slot_b as slot_a, slot_a as slot_b, value)))",
     )
-    varies = p.stats("low", "high") if p._gathered else stats.column_stats(p.table, ["low", "high"], numeric)
-    diagonal = varies.where(F.col("slot").isin([f.slot for f in numeric])).select(
-        *p.table.groups, F.col("slot").alias("slot_a"), F.col("slot").alias("slot_b"),
-        F.when(F.col("low") < F.col("high"), 1.0).alias("value"),
+    diagonal = p.facts("low", "high", fields=p.table.numeric).selectExpr(
+        *groups, "slot as slot_a", "slot as slot_b", "if(low < high, 1D, 0D) as value"
     )
     # Adding zero turns -0.0 into 0.0.
-    value = F.round(F.coalesce(finite(F.col("value")), F.lit(0.0)), 3) + 0.0
-    return p.union([upper, lower, diagonal]).select(*p.table.groups, "slot_a", "slot_b", value.alias("corr"))
+    corr = f"round(coalesce({finite_sql('value')}, 0D), 3) + 0D as corr"
+    return both.unionByName(diagonal).selectExpr(*groups, "slot_a", "slot_b", corr)
 
 
 def correlation_matrix(source, **options) -> DataFrame:
@@ -94,9 +68,9 @@ def correlation_matrix(source, **options) -> DataFrame:
 
 def correlated(p: Profile) -> DataFrame:
     """(groups, slot_a, slot_b, strength): pairs whose unrounded |r| reaches the threshold."""
-    strength = F.abs(finite(F.col("value")))
-    return p.correlations().where(strength >= p.thresholds.correlation).select(
-        *p.table.groups, "slot_a", "slot_b", F.round(strength, 3).alias("strength")
+    strength = f"abs({finite_sql('value')})"
+    return p.correlations().where(f"{strength} >= {p.thresholds.correlation}D").selectExpr(
+        *p.table.groups, "slot_a", "slot_b", f"round({strength}, 3) as strength"
     )
 
 
@@ -108,56 +82,28 @@ def correlated_columns(source, **options) -> DataFrame:
 
 def histogram_bins(p: Profile, bins: int) -> DataFrame:
     """(groups, slot, bin, lower, upper, count): every bin of every column that varies."""
-    keys = [*p.table.groups, "slot"]
-    if p._gathered or p.mode == "approx":
-        counted = p.value_counts()
-    else:
-        # Bins need no frequencies: the cells are counted per bin within each task.
-        counted = values.numeric_cells(p.table, p.table.numeric).withColumn("cnt", F.lit(1).cast("bigint"))
-    limited = counted.where(finite(F.col("value")).isNotNull())
-    if p._gathered:
-        # Infinite values are no part of a histogram, so its range may be narrower than the column.
-        ends = limited.groupBy(*keys).agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    else:
-        ends = _finite_ends(p)
-    ends = ends.where(F.col("low") < F.col("high")).withColumn("step", (F.col("high") - F.col("low")) / bins)
-    placed = p.table.attach(limited, ends, "slot")
-    share = (F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * bins
-    guess = F.least(F.floor(share).cast("int"), F.lit(bins - 1))
-
-    def edge(i: Column) -> Column:
-        return F.col("low") + i * F.col("step")
-
-    # The division can land one bin off its edges; the edges decide.
-    exact = (
-        F.when(F.col("value") < edge(guess), guess - 1)
-        .when((F.col("value") >= edge(guess + 1)) & (guess < bins - 1), guess + 1)
-        .otherwise(guess)
+    # Bins need no frequencies: unless those are there, the cells are counted per bin in each task.
+    counted = p.value_counts() if p.gathered else p.cells()
+    ends = p.facts("first_edge", "last_edge", fields=p.table.numeric).where("first_edge < last_edge").selectExpr(
+        "*", f"(last_edge - first_edge) / {bins} as step"
     )
-    filled = placed.groupBy(*keys, (exact + 1).alias("bin")).agg(F.sum("cnt").alias("count"))
-    every = ends.select(*keys, "low", "high", "step", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
-    joined = p.table.attach(every, filled, "slot", "bin", how="left")
-    upper = F.when(F.col("bin") == bins, F.col("high")).otherwise(edge(F.col("bin")))
-    return joined.select(
-        *keys, "bin",
-        F.round(edge(F.col("bin") - 1), 3).alias("lower"),
-        F.round(upper, 3).alias("upper"),
-        F.coalesce("count", F.lit(0)).cast("bigint").alias("count"),
+    placed = p.table.attach(counted.where("abs(value) < double('Infinity')"), ends, "slot").selectExpr(
+        *p.keys, "value", "cnt", "first_edge", "step",
+        f"least(cast(floor((value - first_edge) / (last_edge - first_edge) * {bins}) as int), {bins - 1}) as guess",
     )
-
-
-def _finite_ends(p: Profile) -> DataFrame:
-    numeric = p.table.numeric
-    if not numeric:
-        return p.table.empty("slot int, low double, high double")
-    wide = p.table.df.groupBy(*p.table.groups).agg(
-        *[agg(finite(f.number)).alias(f"{n}_{f.slot}") for f in numeric for n, agg in (("low", F.min), ("high", F.max))]
+    # The division can land one bin off its edges; the edges decide.
+    settled = (
+        "case when value < first_edge + guess * step then guess "
+        f"when guess < {bins - 1} and value >= first_edge + (guess + 1) * step then guess + 2 "
+        "else guess + 1 end as bin"
+    )
+    filled = aggregate(placed.selectExpr(*p.keys, "cnt", settled), [*p.keys, "bin"], ["sum(cnt) as count"])
+    every = ends.selectExpr("*", f"explode(sequence(1, {bins})) as bin")
+    upper = f"if(bin = {bins}, last_edge, first_edge + bin * step)"
+    return p.table.attach(every, filled, "slot", "bin", how="left").selectExpr(
+        *p.keys, "bin", "round(first_edge + (bin - 1) * step, 3) as lower", f"round({upper}, 3) as upper",
+        "coalesce(count, 0) as count",
     )
-    ends = [
-        F.struct(F.lit(f.slot).alias("slot"), F.col(f"low_{f.slot}").alias("low"), F.col(f"high_{f.slot}").alias("high"))
-        for f in numeric
-    ]
-    return wide.select(*p.table.groups, F.inline(F.array(*ends)))
 
 
 def histogram(source, bins: int | None = None, **options) -> DataFrame:
@@ -167,16 +113,17 @@ def histogram(source, bins: int | None = None, **options) -> DataFrame:
 
 
 def boxes(p: Profile) -> DataFrame:
-    """(groups, slot, low, q1, median, q3, high, whisker_low, whisker_high), unrounded."""
-    ends = p.outside("iqr").drop("outliers")
-    return p.table.attach(p.quartiles().drop("n"), ends, "slot")
+    """(groups, slot, min, q1, median, q3, max, whisker_low, whisker_high) of columns with values."""
+    needed = ("low", "q1", "median", "q3", "high", "whisker_low", "whisker_high")
+    return p.facts("filled", *needed, fields=p.table.numeric).where("filled > 0").withColumnsRenamed(
+        {"low": "min", "high": "max"}
+    )
 
 
 def boxplot_stats(source, **options) -> DataFrame:
     """(position, column, min, q1, median, q3, max, whisker_low, whisker_high)."""
     p = Profile.of(source, **options)
-    renamed = boxes(p).withColumnsRenamed({"low": "min", "high": "max"})
-    return named(p, renamed, *_rounded("min", "q1", "median", "q3", "max", "whisker_low", "whisker_high"))
+    return named(p, boxes(p), *rounded_sql(*BOX))
 
 
 def boxplot_points(p: Profile, limit: int, order_by: str | None = None) -> DataFrame:
@@ -185,61 +132,42 @@ def boxplot_points(p: Profile, limit: int, order_by: str | None = None) -> DataF
     The farthest come first, then the larger ones. With ``order_by`` it is the first ones in the
     order of that column. Each task keeps its own first ``limit`` rows before the shuffle.
     """
-    keys = [*p.table.groups, "slot"]
-    fences = p.fences().select(*keys, "lower", "upper")
-    far = (F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))
+    fences = p.quartiles().select(*p.keys, "lower", "upper")
+    far = "value < lower or value > upper"
+    by = ", ".join(p.keys)
     if order_by is None:
         beyond = p.table.attach(p.value_counts(), fences, "slot").where(far)
         # A repeated value fills several places, but never more than there are.
-        copies = F.sequence(F.lit(1), F.least(F.col("cnt"), F.lit(limit)).cast("int"))
-        points = beyond.select(*keys, "value", "lower", "upper", F.explode(copies).alias("copy"))
-        distance = F.greatest(F.col("lower") - F.col("value"), F.col("value") - F.col("upper"))
-        order = [distance.desc(), F.col("value").desc()]
+        points = beyond.selectExpr(
+            *p.keys, "value", "greatest(lower - value, value - upper) as distance",
+            f"explode(sequence(1, cast(least(cnt, {limit}) as int)))",
+        )
+        nth = f"row_number() over (partition by {by} order by distance desc, value desc) as nth"
     else:
         sort_key = next(f for f in p.table.fields if f.name == order_by)
-        cells = [
-            F.struct(F.lit(f.slot).alias("slot"), f.number.alias("value"), sort_key.col.alias("sort_key"))
-            for f in p.table.numeric
-        ]
-        raw = p.table.df.select(*p.table.groups, F.inline(F.array(*cells))).where(F.col("value").isNotNull())
-        points = p.table.attach(raw, fences, "slot").where(far)
-        order = [F.col("sort_key"), F.col("value")]
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return points.withColumn("nth", nth).where(F.col("nth") <= limit).select(*keys, "nth", "value")
+        cells = ", ".join(f"struct({f.slot} as slot, {f.number} as value)" for f in p.table.numeric)
+        raw = p.table.df.selectExpr(*p.table.groups, f"{sort_key.sql} as sort_key", f"inline(array({cells}))")
+        points = p.table.attach(raw.where("value is not null"), fences, "slot").where(far)
+        nth = f"row_number() over (partition by {by} order by sort_key, value) as nth"
+    return points.selectExpr(*p.keys, "value", nth).where(f"nth <= {limit}")
 
 
 def boxplot_outliers(source, limit: int | None = None, order_by: str | None = None, **options) -> DataFrame:
     """(position, column, nth, value): outlier points of a boxplot."""
     p = Profile.of(source, **options)
     points = boxplot_points(p, limit or p.thresholds.boxplot_points, order_by)
-    return named(p, points, "nth", F.round(finite(F.col("value")), 3).alias("value"))
-
-
-def negatives(p: Profile) -> DataFrame:
-    """(groups, slot, negatives): numeric columns named like a quantity with values below zero."""
-    named_so = [f for f in p.table.numeric if any(k in f.name.lower() for k in NONNEGATIVE_KEYWORDS)]
-    if p._gathered:
-        counted = p.stats("negatives").where(F.col("slot").isin([f.slot for f in named_so]))
-    else:
-        counted = stats.column_stats(p.table, ["negatives"], named_so)
-    return counted.where(F.col("negatives") > 0)
+    return named(p, points, "nth", *rounded_sql("value"))
 
 
 def negative_in_nonnegative(source, **options) -> DataFrame:
-    """(position, column, negatives)."""
+    """(position, column, negatives): columns named like a quantity with values below zero."""
     p = Profile.of(source, **options)
-    return named(p, negatives(p), "negatives")
-
-
-def chartable(p: Profile) -> DataFrame:
-    """(groups, slot): numeric columns with values that are neither identifiers nor constant."""
-    numeric = p.columns().where(F.col("slot").isin([f.slot for f in p.table.numeric])).where(F.col("distinct") > 1)
-    return p.table.attach(
-        numeric.select(*p.table.groups, "slot"), id_like(p).select(*p.table.groups, "slot"), "slot", how="left_anti"
-    )
+    return named(p, p.flagged("negative", fields=p.table.numeric), "negatives")
 
 
 def chartable_columns(source, **options) -> DataFrame:
-    """(position, column): the columns a histogram or boxplot says something about."""
+    """(position, column): numeric columns that are neither identifiers nor constant."""
     p = Profile.of(source, **options)
-    return named(p, chartable(p))
+    needs, id_like = p.flags["id_like"]
+    facts = p.facts(*needs, fields=p.table.numeric).where(f"uniques > 1 and not coalesce({id_like}, false)")
+    return named(p, facts)

@@ -6,18 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expressions import finite, to_percentage
-from ..plans.profile import Profile
+from ..constants import DEDUCTION_CAPS
+from ..functions.expressions import PERCENTAGE, finite_sql
+from ..plans.profile import FACTS, KURTOSIS, SKEWNESS, Profile
+from ..plans.stats import aggregate
 from . import numeric, score, structure, text
-from .names import target_slots
+from .numeric import BOX
 
 
 def json_safe(df: DataFrame) -> DataFrame:
-    """NaN and infinities become null in every double column, also inside structs and arrays."""
+    """NaN and infinities become null in every floating column, also inside nested ones."""
 
     def safe(col: Column, data_type: T.DataType) -> Column:
         if isinstance(data_type, (T.DoubleType, T.FloatType)):
-            return finite(col)
+            return F.when(F.abs(col) < float("inf"), col)
         if isinstance(data_type, T.ArrayType):
             return F.transform(col, lambda x: safe(x, data_type.elementType))
         if isinstance(data_type, T.MapType):
@@ -27,7 +29,7 @@ def json_safe(df: DataFrame) -> DataFrame:
             return F.when(col.isNotNull(), F.struct(*fields))
         return col
 
-    return df.select(*[safe(df[f.name], f.dataType).alias(f.name) for f in df.schema.fields])
+    return df.select(*[safe(df[f"`{f.name}`"], f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def profile_tables(source, outlier_method: str = "mad", **options) -> dict[str, DataFrame]:
@@ -36,9 +38,7 @@ def profile_tables(source, outlier_method: str = "mad", **options) -> dict[str,
     return {
         "health_score": score.health_score(p),
         "score_breakdown": score.score_breakdown(p),
-        "shape": p.table.present(
-            p.duplicates(), "rows", F.lit(len(p.table.fields)).cast("bigint").alias("columns")
-        ),
+        "shape": structure.shape(p),
         "column_types": structure.column_types(p),
         "missing_values": structure.missing_values(p),
         "missing_percentage": structure.missing_percentage(p),
@@ -46,7 +46,7 @@ def profile_tables(source, outlier_method: str = "mad", **options) -> dict[str,
         "unique_counts": structure.unique_counts(p),
         "constant_columns": structure.constant_columns(p),
         "near_constant_columns": structure.near_constant_columns(p),
-        "possible_target_columns": structure.named(p, p.stats("rows").where(target_slots(p))),
+        "possible_target_columns": structure.possible_target_columns(p),
         "high_cardinality_columns": structure.high_cardinality(p),
         "outliers_iqr": numeric.outliers_iqr(p),
         "outliers_mad": numeric.outliers_mad(p),
@@ -72,118 +72,146 @@ def write_profile(source, folder: str, run: str, outlier_method: str = "mad", **
         df.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(f"{folder}/{name}")
 
 
+def _sections(p: Profile) -> dict[str, str]:
+    """The sections made from the columns of a group, in SQL over the sorted array ``cols``."""
+
+    def mapped(value: str, keep: str = "true") -> str:
+        kept = "cols" if keep == "true" else f"filter(cols, c -> {keep})"
+        return f"map_from_entries(transform({kept}, c -> struct(c.name, {value})))"
+
+    def names(flag: str) -> str:
+        return f"transform(filter(cols, c -> c.{flag}), c -> c.name)"
+
+    return {
+        "column_types": mapped("c.type"),
+        "missing_values": mapped("c.missing"),
+        "missing_percentage": mapped("c.percentage", "c.rows > 0"),
+        "unique_counts": mapped("c.uniques"),
+        "constant_columns": names("constant"),
+        "near_constant_columns": names("near_constant"),
+        "possible_target_columns": names("possible_target"),
+        "high_cardinality_columns": names("id_like"),
+        "outliers_iqr": mapped("c.outliers_iqr", "c.is_numeric"),
+        "outliers_mad": mapped("c.outliers_mad", "c.is_numeric"),
+        "distribution_shape": mapped("struct(c.skewness, c.kurtosis)", "c.shaped"),
+        "histogram_data": mapped(
+            "struct(concat(transform(c.bars, b -> b.lower), array(element_at(c.bars, -1).upper)) as bin_edges, "
+            "transform(c.bars, b -> b.count) as counts)",
+            "c.bars is not null",
+        ),
+        "boxplot_stats": mapped(
+            f"struct({', '.join(f'c.{b}' for b in BOX)}, "
+            "coalesce(transform(c.points, x -> x.value), cast(array() as array<double>)) as outliers)",
+            "c.is_numeric and c.filled > 0",
+        ),
+        "date_like_columns": names("date_like"),
+        "mixed_type_columns": names("mixed_type"),
+        "text_column_stats": mapped(
+            "struct(c.avg_length, c.min_length, c.max_length, c.blank as blank_or_whitespace_only)",
+            "c.is_text and c.filled > 0",
+        ),
+        "memory_usage_kb": mapped("c.kilobytes"),
+        "negative_in_nonnegative_columns": names("negative"),
+    }
+
+
+# The order of the report.
+SECTIONS = (
+    "health_score", "shape", "column_types", "missing_values", "missing_percentage", "duplicates",
+    "unique_counts", "constant_columns", "near_constant_columns", "possible_target_columns",
+    "high_cardinality_columns", "outliers_iqr", "outliers_mad", "distribution_shape",
+    "duplicate_columns", "correlated_columns", "correlation_matrix", "histogram_data",
+    "boxplot_stats", "date_like_columns", "mixed_type_columns", "text_column_stats",
+    "memory_usage_kb", "negative_in_nonnegative_columns", "insights",
+)
+
+
 def full_profile(source, outlier_method: str = "mad", **options) -> DataFrame:
     """One row (per group) with the 25 sections of a report as nested columns.
 
-    A section has an entry per column, pair or bin, so its size is bounded by the schema.
+    A section has an entry per column, pair or bin, so the schema bounds its size.
     """
     p = Profile.of(source, **options).gather()
-    groups, slot = p.table.groups, F.col("slot")
-    name = p.table.name_of(slot)
-
-    def listed(df: DataFrame, order: list, item: Column) -> DataFrame:
-        """Per group an array of items in order."""
-        entry = F.struct(*[F.col(o) for o in order], item.alias("item"))
-        entries = df.groupBy(*groups).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-        return entries.select(*groups, F.transform("entries", lambda e: e["item"]).alias("made"))
-
-    def mapped(df: DataFrame, value: Column) -> DataFrame:
-        """Per group a map from column name to value."""
-        entry = F.struct(slot, name.alias("key"), value.alias("value"))
-        entries = df.groupBy(*groups).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-        pairs = F.transform("entries", lambda e: F.struct(e["key"], e["value"]))
-        return entries.select(*groups, F.map_from_entries(pairs).alias("made"))
-
-    def mapped_rows(df: DataFrame) -> DataFrame:
-        """Like ``mapped`` for values that are maps, which have no order to sort by."""
-        keyed = df.groupBy(*groups).agg(F.collect_list(F.struct(name.alias("key"), "cells")).alias("entries"))
-        return keyed.select(*groups, F.map_from_entries("entries").alias("made"))
-
-    def single(df: DataFrame, value: Column) -> DataFrame:
-        return df.select(*groups, value.alias("made"))
-
-    def names(df: DataFrame) -> DataFrame:
-        return listed(df.select(*groups, "slot"), ["slot"], name)
-
-    def pairs(df: DataFrame, *values: str) -> DataFrame:
-        a, b = (p.table.name_of(F.col(f"slot_{x}")).alias(f"column_{x}") for x in "ab")
-        return listed(df, ["slot_a", "slot_b"], F.struct(a, b, *values))
-
-    def rounded(column: str) -> Column:
-        return F.round(finite(F.col(column)), 3).alias(column)
-
-    t = p.thresholds
-    pct = to_percentage(F.col("missing"), F.col("rows"))
-    name_b = p.table.name_of(F.col("slot_b"))
-    square = numeric.correlation_square(p)
-    matrix_row = F.sort_array(F.collect_list(F.struct("slot_b", name_b.alias("key"), "corr")))
-    matrix_rows = square.groupBy(*groups, F.col("slot_a").alias("slot")).agg(matrix_row.alias("cells")).select(
-        *groups, "slot",
-        F.map_from_entries(F.transform("cells", lambda c: F.struct(c["key"], c["corr"]))).alias("cells"),
+    table, keys, groups = p.table, p.keys, p.table.groups
+
+    bins = aggregate(
+        numeric.histogram_bins(p, p.thresholds.histogram_bins), keys,
+        ["sort_array(collect_list(struct(bin, lower, upper, count))) as bars"],
     )
-    bins = numeric.histogram_bins(p, t.histogram_bins)
-    bars = F.sort_array(F.collect_list(F.struct("bin", "lower", "upper", "count")))
-    bars = bins.groupBy(*groups, "slot").agg(bars.alias("bars"))
-    bar_value = F.struct(
-        F.concat(F.transform("bars", lambda b: b["lower"]), F.array(F.element_at("bars", -1)["upper"])).alias("bin_edges"),
-        F.transform("bars", lambda b: b["count"]).alias("counts"),
+    points = aggregate(
+        numeric.boxplot_points(p, p.thresholds.boxplot_points), keys,
+        [f"sort_array(collect_list(struct(nth, round({finite_sql('value')}, 3) as value))) as points"],
     )
-    points = numeric.boxplot_points(p, t.boxplot_points).groupBy(*groups, "slot").agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("nth", rounded("value")))), lambda x: x["value"]
-        ).alias("outliers")
+    facts = table.attach(table.attach(p.facts(*FACTS), bins, "slot", how="left"), points, "slot", how="left")
+    flags = [
+        f"coalesce({sql}, false) as {flag}" for flag, (_, sql) in p.flags.items() if flag not in ("gapless", "skewed")
+    ]
+    boxes = [
+        f"round({finite_sql(source)}, 3) as {b}"
+        for b, source in zip(BOX, ("low", "q1", "median", "q3", "high", "whisker_low", "whisker_high"))
+    ]
+    shown = facts.selectExpr(
+        *keys, f"{table.names()} as name", f"{table.types()} as type", "missing", "rows", "filled", "uniques",
+        f"{PERCENTAGE} as percentage", "outliers_iqr", "outliers_mad", f"{SKEWNESS} as skewness",
+        f"{KURTOSIS} as kurtosis", "bars", "points", *boxes, *flags, "round(avg_length, 1) as avg_length",
+        "min_length", "max_length", "blank", "round(bytes / 1024, 2) as kilobytes",
+        f"{table.among(table.numeric)} as is_numeric", f"{table.among(table.textual)} as is_text",
     )
-    box = p.table.attach(numeric.boxes(p), points, "slot", how="left").withColumnsRenamed({"low": "min", "high": "max"})
-    box_value = F.struct(
-        *map(rounded, ("min", "q1", "median", "q3", "max", "whisker_low", "whisker_high")),
-        F.coalesce("outliers", F.array().cast("array<double>")).alias("outliers"),
+    cell = ", ".join(c for c in shown.columns if c not in keys)
+    cols = aggregate(shown, groups, [f"array_sort(collect_list(struct(slot, {cell})), {_BY_SLOT}) as cols"])
+
+    def listed(df: DataFrame, entry: str, item: str, name: str) -> DataFrame:
+        entries = aggregate(df, groups, [f"sort_array(collect_list(struct({entry}, {item} as item))) as e"])
+        return entries.selectExpr(*groups, f"transform(e, x -> x.item) as {name}")
+
+    pair = ", ".join(f"{table.names(f'slot_{x}')} as column_{x}" for x in "ab")
+    matrix = aggregate(
+        numeric.correlation_square(p), [*groups, "slot_a"],
+        [f"sort_array(collect_list(struct(slot_b, {table.names('slot_b')} as name, corr))) as cells"],
     )
-    text_stats = p.stats("filled", "avg_length", "min_length", "max_length", "blank").where(
-        slot.isin([f.slot for f in p.table.textual]) & (F.col("filled") > 0)
+    square = aggregate(
+        matrix, groups, [f"sort_array(collect_list(struct(slot_a, {table.names('slot_a')} as name, cells))) as e"]
+    ).selectExpr(
+        *groups,
+        "map_from_entries(transform(e, x -> struct(x.name, map_from_entries("
+        "transform(x.cells, y -> struct(y.name, y.corr)))))) as correlation_matrix",
     )
-    length_value = F.struct(
-        F.round("avg_length", 1).alias("avg_length"), "min_length", "max_length",
-        F.col("blank").alias("blank_or_whitespace_only"),
+    parts = [
+        cols,
+        score.scored(p).selectExpr(
+            *groups, f"struct(score, grade, struct({', '.join(DEDUCTION_CAPS)}) as breakdown) as health_score"
+        ),
+        listed(p.equal_pairs(), "slot_a, slot_b", f"struct({pair})", "duplicate_columns"),
+        listed(numeric.correlated(p), "slot_a, slot_b", f"struct({pair}, strength)", "correlated_columns"),
+        square,
+        listed(score.found(p, outlier_method), "rule_no, slot_a, slot_b", "message", "insights"),
+    ]
+    report = p.duplicates().selectExpr(
+        *groups, f"struct(rows, cast({len(table.fields)} as bigint) as columns) as shape", "duplicates"
     )
-    health = F.struct("score", "grade", F.struct(*score.DEDUCTION_CAPS).alias("breakdown"))
-    shape_value = F.struct("rows", F.lit(len(p.table.fields)).alias("columns"))
-    sections = {
-        "health_score": single(score.scored(p), health),
-        "shape": single(p.duplicates(), shape_value),
-        "column_types": mapped(p.stats("rows"), p.table.per_field(slot, p.table.types)),
-        "missing_values": mapped(p.stats("missing"), F.col("missing")),
-        "missing_percentage": mapped(p.stats("missing", "rows").where(F.col("rows") > 0), pct),
-        "duplicates": single(p.duplicates(), F.col("duplicates")),
-        "unique_counts": mapped(p.columns(), F.col("distinct")),
-        "constant_columns": names(p.columns().where(F.col("distinct") <= 1)),
-        "near_constant_columns": names(structure.near_constant(p)),
-        "possible_target_columns": names(p.stats("rows").where(target_slots(p))),
-        "high_cardinality_columns": names(structure.id_like(p)),
-        "outliers_iqr": mapped(p.outlier_counts("iqr"), F.col("outliers")),
-        "outliers_mad": mapped(p.outlier_counts("mad"), F.col("outliers")),
-        "distribution_shape": mapped(numeric.shapes(p), F.struct("skewness", "kurtosis")),
-        "duplicate_columns": pairs(p.equal_pairs()),
-        "correlated_columns": pairs(numeric.correlated(p), "strength"),
-        "correlation_matrix": mapped_rows(matrix_rows),
-        "histogram_data": mapped(bars, bar_value),
-        "boxplot_stats": mapped(box, box_value),
-        "date_like_columns": names(text.date_like(p)),
-        "mixed_type_columns": names(text.mixed(p)),
-        "text_column_stats": mapped(text_stats, length_value),
-        "memory_usage_kb": mapped(p.stats("bytes"), F.round(F.col("bytes") / 1024, 2)),
-        "negative_in_nonnegative_columns": names(numeric.negatives(p)),
-        "insights": listed(score.found(p, outlier_method), ["rule_no", "slot_a", "slot_b"], F.col("message")),
+    for part in parts:
+        report = table.attach(report, part, how="left")
+    made = _sections(p)
+    # Lists without an entry are empty, not missing.
+    lists = {
+        "duplicate_columns": "array<struct<column_a:string,column_b:string>>",
+        "correlated_columns": "array<struct<column_a:string,column_b:string,strength:double>>",
+        "correlation_matrix": "map<string,map<string,double>>",
+        "insights": "array<string>",
     }
-    report = p.duplicates().select(*groups)
-    for section, df in sections.items():
-        report = p.table.attach(report, df.withColumnRenamed("made", section), how="left")
-    return p.table.present(report, *sections)
+    for name, data_type in lists.items():
+        nothing = "map()" if data_type.startswith("map") else "array()"
+        made[name] = f"coalesce({name}, cast({nothing} as {data_type}))"
+    return table.present(report, *[f"{made.get(s, s)} as {s}" for s in SECTIONS])
+
+
+# Maps and nested rows cannot be compared, so columns are sorted by their number alone.
+_BY_SLOT = "(l, r) -> l.slot - r.slot"
 
 
 def report_json(source, outlier_method: str = "mad", **options) -> DataFrame:
     """(report): the full profile as one JSON document per group, without NaN or infinity."""
     p = Profile.of(source, **options)
     report = json_safe(full_profile(p, outlier_method))
-    keys = list(p.table.group_cols)
-    body = F.struct(*[report[c] for c in report.columns if c not in keys])
-    return report.select(*keys, F.to_json(body, {"ignoreNullFields": "false"}).alias("report"))
+    body = F.struct(*SECTIONS)
+    return report.select(*p.table.group_cols, F.to_json(body, {"ignoreNullFields": "false"}).alias("report"))

@@ -6,124 +6,104 @@ group where there are groups.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..constants import DEDUCTION_CAPS, FINDING_RULES, GRADES
-from ..functions.expressions import to_percentage
-from ..plans.profile import Profile
-from .names import target_slots
-from .numeric import correlated, negatives, shapes
-from .structure import id_like, named, named_pairs, near_constant
-from .text import date_like, mixed
+from ..functions.expressions import PERCENTAGE
+from ..plans.profile import SKEWNESS, Profile
+from ..plans.stats import aggregate
+from ..plans.table import quoted
+from .numeric import correlated
 
 
-def _every_group(p: Profile) -> DataFrame:
-    """One row per group (one in all without groups), with its row count."""
-    return p.table.df.groupBy(*p.table.groups).agg(F.count(F.lit(1)).alias("rows"))
+def _of_columns(p: Profile, facts: tuple[str, ...], *figures: str) -> DataFrame:
+    return aggregate(p.facts(*facts), p.table.groups, list(figures))
 
 
-def _per_group(p: Profile, groups: DataFrame, figures: DataFrame) -> DataFrame:
-    """``figures`` for every group: null where a group has none."""
-    return p.table.attach(groups, figures, how="left")
+def _hits(p: Profile, flag: str) -> DataFrame:
+    needs, hit = p.flags[flag]
+    return _of_columns(p, needs, f"count_if({hit}) as hits")
 
 
-def _count_of(p: Profile, hits: DataFrame) -> DataFrame:
-    return hits.groupBy(*p.table.groups).agg(F.count(F.lit(1)).alias("hits"))
+def _counted(p: Profile, pairs: DataFrame) -> DataFrame:
+    return aggregate(pairs, p.table.groups, ["count(1) as hits"])
 
 
-def _ratio_of_missing(p: Profile) -> tuple[DataFrame, Column]:
-    """The worst column counts most, the average of all columns still registers."""
-    shares = p.stats("missing", "rows").withColumn("pct", to_percentage(F.col("missing"), F.col("rows")))
-    found = shares.groupBy(*p.table.groups).agg(F.max("pct").alias("worst"), F.avg("pct").alias("mean"))
-    return found, 0.7 * (F.col("worst") / 100) + 0.3 * (F.col("mean") / 100)
+def _missing(p: Profile) -> DataFrame:
+    # The worst column counts most; the average of all columns still registers.
+    return _of_columns(p, ("missing", "rows"), f"0.7D * (max({PERCENTAGE}) / 100) + 0.3D * (avg({PERCENTAGE}) / 100) as part")
 
 
-def _ratio_of_copies(p: Profile) -> tuple[DataFrame, Column]:
-    return p.duplicates().drop("rows"), F.try_divide(F.col("duplicates"), F.col("rows"))
+def _outliers(p: Profile) -> DataFrame:
+    # Always by distance from the median.
+    figures = "try_divide(sum(outliers_mad), sum(filled)) * 100 as part"
+    return aggregate(p.facts("outliers_mad", "filled", fields=p.table.numeric), p.table.groups, [figures])
 
 
-def _ratio_of_outliers(p: Profile) -> tuple[DataFrame, Column]:
-    """Always by distance from the median; one outlier in a hundred cells costs all points."""
-    cells = p.outlier_counts("mad").groupBy(*p.table.groups).agg(
-        F.sum("outliers").alias("outliers"), F.sum("filled").alias("cells")
-    )
-    return cells, F.try_divide(F.col("outliers"), F.col("cells")) * 100
-
-
-def _share_of_skewed(p: Profile) -> tuple[DataFrame, Column]:
-    skewed = F.abs(F.col("skewness")) > p.thresholds.skewness
-    found = shapes(p).groupBy(*p.table.groups).agg(
-        F.count_if(skewed).alias("skewed"), F.count(F.lit(1)).alias("shaped")
-    )
-    return found, F.try_divide(F.col("skewed"), F.col("shaped")) * 2
-
-
-def _deductions(p: Profile) -> dict:
-    """category -> () -> (figures per group, points before the cap)."""
-
-    def share(ratio, category: str):
-        def build() -> tuple[DataFrame, Column]:
-            figures, part = ratio(p)
-            return figures, part * DEDUCTION_CAPS[category]
+def _skewed(p: Profile) -> DataFrame:
+    shaped, skewed = (p.flags[f][1] for f in ("shaped", "skewed"))
+    needs = ("filled", "low", "high", "skew")
+    figures = f"try_divide(count_if({shaped} and {skewed}), count_if({shaped})) * 2 as part"
+    return aggregate(p.facts(*needs, fields=p.table.numeric), p.table.groups, [figures])
 
-        return build
 
-    def each(hits, points: float):
-        return lambda: (_count_of(p, hits()), F.col("hits") * points)
-
-    def constants() -> DataFrame:
-        return p.columns().where(F.col("distinct") <= 1)
-
-    return {
-        "missing_values": share(_ratio_of_missing, "missing_values"),
-        "duplicate_rows": share(_ratio_of_copies, "duplicate_rows"),
-        "outliers": share(_ratio_of_outliers, "outliers"),
-        "duplicate_columns": each(p.equal_pairs, 3.0),
-        "constant_columns": each(constants, 3.0),
-        "mixed_type_columns": each(lambda: mixed(p), 2.5),
-        "negative_values": each(lambda: negatives(p), 2.5),
-        "skewed_distributions": share(_share_of_skewed, "skewed_distributions"),
-        "correlated_columns": each(lambda: correlated(p), 1.0),
-    }
+# category -> (figures per group, points in SQL before the cap). ``part`` is a share of the cap.
+_CATEGORIES: dict[str, tuple[Callable[[Profile], DataFrame], str]] = {
+    "missing_values": (_missing, "part * cap"),
+    "duplicate_rows": (
+        lambda p: p.duplicates().selectExpr(*p.table.groups, "try_divide(duplicates, rows) as part"), "part * cap",
+    ),
+    # One outlier in a hundred cells costs all points.
+    "outliers": (_outliers, "part * cap"),
+    "duplicate_columns": (lambda p: _counted(p, p.equal_pairs()), "hits * 3"),
+    "constant_columns": (lambda p: _hits(p, "constant"), "hits * 3"),
+    "mixed_type_columns": (lambda p: _hits(p, "mixed_type"), "hits * 2.5D"),
+    "negative_values": (lambda p: _hits(p, "negative"), "hits * 2.5D"),
+    # Half of the numeric columns skewed costs all points.
+    "skewed_distributions": (_skewed, "part * cap"),
+    "correlated_columns": (lambda p: _counted(p, correlated(p)), "hits"),
+}
 
 
 def _points(p: Profile, category: str, groups: DataFrame) -> DataFrame:
-    """(groups, category, points): one row per group, rounded to one decimal, half to even."""
+    """(groups, category, points): one row per group, one decimal, half to even."""
+    label = f"{quoted(category)} as category"
     if not p.table.fields:
-        points = F.lit(0.0)
-        figures = groups
-    else:
-        figures, raw = _deductions(p)[category]()
-        figures = _per_group(p, groups, figures)
-        points = F.bround(F.least(F.lit(float(DEDUCTION_CAPS[category])), F.coalesce(raw, F.lit(0.0))), 1)
-    return figures.select(*p.table.groups, F.lit(category).alias("category"), points.alias("points"))
+        return groups.selectExpr(*p.table.groups, label, "0D as points")
+    build, points = _CATEGORIES[category]
+    cap = DEDUCTION_CAPS[category]
+    # Where a group has no figures, it has no deduction.
+    figures = p.table.attach(groups.select(*p.table.groups, "rows"), build(p), how="left")
+    raw = points.replace("cap", f"{cap}D")
+    return figures.selectExpr(
+        *p.table.groups, label, f"bround(least({cap}D, coalesce(cast({raw} as double), 0D)), 1) as points"
+    )
 
 
 def deduction(source, category: str, **options) -> DataFrame:
     """(category, points) of one category, from only the bases it needs."""
     p = Profile.of(source, **options)
-    return p.table.present(_points(p, category, _every_group(p)), "category", "points")
+    groups = aggregate(p.table.df, p.table.groups, ["count(1) as rows"])
+    return p.table.present(_points(p, category, groups), "category", "points")
 
 
 def all_points(p: Profile) -> DataFrame:
+    """(groups, category, points) of every category."""
     p.gather()
-    groups = p.duplicates().select(*p.table.groups, "rows")
-    return p.union([_points(p, c, groups) for c in DEDUCTION_CAPS])
+    return p._small("points", lambda: p.union([_points(p, c, p.duplicates()) for c in DEDUCTION_CAPS]))
 
 
 def scored(p: Profile) -> DataFrame:
     """(groups, score, grade, one column per category)."""
-    wide = all_points(p).groupBy(*p.table.groups).agg(
-        *[F.max(F.when(F.col("category") == c, F.col("points"))).alias(c) for c in DEDUCTION_CAPS]
+    wide = aggregate(
+        all_points(p), p.table.groups, [f"max(if(category = '{c}', points, null)) as {c}" for c in DEDUCTION_CAPS]
     )
-    lost = reduce(lambda a, b: a + b, [F.col(c) for c in DEDUCTION_CAPS])
-    score = F.greatest(F.lit(0), F.bround(100 - lost).cast("int"))
-    grade = reduce(lambda made, g: made.when(F.col("score") >= g[0], g[1]), GRADES[1:], F.when(F.col("score") >= GRADES[0][0], GRADES[0][1]))
-    return wide.withColumn("score", score).select(
-        *p.table.groups, "score", grade.alias("grade"), *DEDUCTION_CAPS
+    score = f"greatest(0, cast(bround(100 - ({' + '.join(DEDUCTION_CAPS)})) as int)) as score"
+    grade = " ".join(f"when score >= {least} then '{name}'" for least, name in GRADES)
+    return wide.selectExpr("*", score).selectExpr(
+        *p.table.groups, "score", f"case {grade} end as grade", *DEDUCTION_CAPS
     )
 
 
@@ -136,67 +116,70 @@ def health_score(source, **options) -> DataFrame:
 def score_breakdown(source, **options) -> DataFrame:
     """(category, points): what cost points, the most expensive first."""
     p = Profile.of(source, **options)
-    lost = all_points(p).where(F.col("points") > 0)
-    return p.table.present(lost.orderBy(*p.table.groups, F.desc("points"), "category"), "category", "points")
-
-
-def _finding_rows(p: Profile, outlier_method: str) -> list[DataFrame]:
-    """One table per rule, in report order: (groups, slot_a, slot_b, value)."""
-    t = p.thresholds
-    nothing = F.lit(None).cast("string")
+    shown = p.table.present(all_points(p).where("points > 0"), "category", "points")
+    ascending = [True] * len(p.table.group_cols) + [False, True]
+    return shown.orderBy(*p.table.group_cols, "points", "category", ascending=ascending)
 
-    def columns(df: DataFrame, value: Column = nothing) -> DataFrame:
-        return df.select(
-            *p.table.groups, F.col("slot").alias("slot_a"), F.lit(None).cast("int").alias("slot_b"),
-            value.cast("string").alias("value"),
-        )
 
-    def pairs(df: DataFrame, value: Column = nothing) -> DataFrame:
-        return df.select(*p.table.groups, "slot_a", "slot_b", value.cast("string").alias("value"))
-
-    pct = to_percentage(F.col("missing"), F.col("rows"))
-    return [
-        columns(p.stats("missing", "rows").withColumn("pct", pct).where(F.col("pct") > t.missing_percentage), F.col("pct")),
-        columns(p.columns().where(F.col("distinct") <= 1)),
-        columns(near_constant(p)),
-        columns(p.stats("rows").where(target_slots(p))),
-        columns(id_like(p)),
-        columns(p.outlier_counts(outlier_method).where(F.col("outliers") > 0), F.col("outliers")),
-        pairs(p.equal_pairs()),
-        pairs(correlated(p), F.col("strength")),
-        columns(date_like(p)),
-        columns(mixed(p)),
-        columns(negatives(p)),
-        columns(shapes(p).where(F.abs(F.col("skewness")) > t.skewness), F.col("skewness")),
-    ]
+# What a rule reports beside the names: a SQL text over the facts.
+_VALUES = {
+    "missingness": f"cast({PERCENTAGE} as string)",
+    "skewed": f"cast({SKEWNESS} as string)",
+    "duplicate_columns": "cast(null as string)",
+    "correlated": "cast(strength as string)",
+}
 
 
 def found(p: Profile, outlier_method: str) -> DataFrame:
-    """(groups, rule_no, rule, severity, slot_a, slot_b, column_a, column_b, value, message)."""
+    """(groups, slot_a, slot_b, rule_no, rule, severity, column_a, column_b, value, message)."""
     p.gather()
-    parts = []
-    for number, ((rule, severity, sentence), hits) in enumerate(
-        zip(FINDING_RULES, _finding_rows(p, outlier_method)), start=1
-    ):
-        a, b = (p.table.name_of(F.col(f"slot_{x}")) for x in "ab")
-        words = {"duplicate_columns": [a, b], "correlated": [a, b, F.col("value")]}.get(rule, [a])
-        if rule in ("missingness", "skewed"):
-            words = [a, F.col("value")]
+    known = _VALUES | {"outliers": f"cast(outliers_{outlier_method} as string)"}
+    flags = {rule: hit for rule, (_, hit) in p.flags.items()}
+    flags |= {"outliers": f"outliers_{outlier_method} > 0", "skewed": f"{flags['shaped']} and {flags['skewed']}"}
+
+    def hit(number: int, rule: str, severity: str, sentence: str) -> str:
+        names = [f"column_{x}" for x in ("ab" if rule in ("duplicate_columns", "correlated") else "a")]
+        value = known.get(rule, "cast(null as string)")
+        words = [*names, *([value] if sentence.count("%s") > len(names) else [])]
         if rule == "outliers":
-            words = [a, F.col("value"), F.lit(outlier_method.upper())]
-        parts.append(
-            hits.select(
-                *p.table.groups, F.lit(number).alias("rule_no"), F.lit(rule).alias("rule"),
-                F.lit(severity).alias("severity"), "slot_a", "slot_b",
-                a.alias("column_a"), b.alias("column_b"), "value", F.format_string(sentence, *words).alias("message"),
-            )
+            words.append(quoted(outlier_method.upper()))
+        message = f"format_string({quoted(sentence)}, {', '.join(words)})"
+        return (
+            f"struct({number} as rule_no, {quoted(rule)} as rule, {quoted(severity)} as severity, "
+            f"{value} as value, {message} as message)"
         )
+
+    rules = [(n, *rule) for n, rule in enumerate(FINDING_RULES, start=1)]
+    of_pairs = {n: r for n, *r in rules if r[0] in ("duplicate_columns", "correlated")}
+    of_columns = [
+        f"if(coalesce({flags[rule]}, false), {hit(n, rule, severity, sentence)}, null)"
+        for n, rule, severity, sentence in rules if n not in of_pairs
+    ]
+    groups = p.table.groups
+    named = p.facts(*FACTS_SHOWN, f"outliers_{outlier_method}").selectExpr(
+        "*", "slot as slot_a", "cast(null as int) as slot_b",
+        f"{p.table.names()} as column_a", "cast(null as string) as column_b",
+    )
+    shown = [*groups, "slot_a", "slot_b", "column_a", "column_b"]
+    parts = [named.selectExpr(*shown, f"inline(filter(array({', '.join(of_columns)}), f -> f is not null))")]
+    for n, rule in of_pairs.items():
+        pairs = p.equal_pairs() if rule[0] == "duplicate_columns" else correlated(p)
+        both = pairs.selectExpr("*", *[f"{p.table.names(f'slot_{x}')} as column_{x}" for x in "ab"])
+        parts.append(both.selectExpr(*shown, f"inline(array({hit(n, *rule)}))"))
     return p.union(parts)
 
 
+FACTS_SHOWN = (
+    "rows", "missing", "filled", "uniques", "top", "integral", "low", "high", "low_whole", "high_whole",
+    "dates", "variant_types", "negatives", "skew",
+)
+
+
 def findings(source, outlier_method: str = "mad", **options) -> DataFrame:
     """(rule_no, rule, severity, column_a, column_b, value, message), in report order."""
     p = Profile.of(source, **options)
+    if outlier_method not in ("iqr", "mad"):
+        raise ValueError("outlier_method is 'iqr' or 'mad'")
     ordered = found(p, outlier_method).orderBy(*p.table.groups, "rule_no", "slot_a", "slot_b")
     return p.table.present(ordered, "rule_no", "rule", "severity", "column_a", "column_b", "value", "message")
 
@@ -204,23 +187,30 @@ def findings(source, outlier_method: str = "mad", **options) -> DataFrame:
 def measures(p: Profile) -> DataFrame:
     """(groups, check, actual): the figures a gate can test."""
     p.gather()
+    groups = p.table.groups
+    of_columns = {
+        "missing_percentage": f"max({PERCENTAGE})",
+        "outliers_iqr": "sum(outliers_iqr)",
+        "outliers_mad": "sum(outliers_mad)",
+        "outlier_columns": "count_if(outliers_mad > 0)",
+        "constant_columns": f"count_if({p.flags['constant'][1]})",
+    }
+    of_rows = {"rows": "rows", "duplicate_rows": "duplicates"}
 
-    def one(check: str, df: DataFrame, actual: Column) -> DataFrame:
-        rows = df.groupBy(*p.table.groups).agg(actual.cast("double").alias("actual"))
-        return rows.select(*p.table.groups, F.lit(check).alias("check"), F.coalesce("actual", F.lit(0.0)).alias("actual"))
-
-    pct = to_percentage(F.col("missing"), F.col("rows"))
-    parts = [
-        one("rows", p.duplicates(), F.max("rows")),
-        one("duplicate_rows", p.duplicates(), F.max("duplicates")),
-        one("missing_percentage", p.stats("missing", "rows"), F.max(pct)),
-        one("outliers_iqr", p.outlier_counts("iqr"), F.sum("outliers")),
-        one("outliers_mad", p.outlier_counts("mad"), F.sum("outliers")),
-        one("outlier_columns", p.outlier_counts("mad"), F.count_if(F.col("outliers") > 0)),
-        one("constant_columns", p.columns(), F.count_if(F.col("distinct") <= 1)),
-        one("score", scored(p), F.max("score")),
-    ]
-    return p.union(parts)
+    def listed(figures: dict[str, str]) -> str:
+        rows = ", ".join(
+            f"struct('{check}' as check, coalesce(cast({check} as double), 0D) as actual)" for check in figures
+        )
+        return f"inline(array({rows}))"
+
+    facts = p.facts("missing", "rows", "outliers_iqr", "outliers_mad", "uniques")
+    columns = aggregate(facts, groups, [f"{sql} as {check}" for check, sql in of_columns.items()])
+    counted = p.duplicates().selectExpr(*groups, *[f"{sql} as {check}" for check, sql in of_rows.items()])
+    return p.union([
+        columns.selectExpr(*groups, listed(of_columns)),
+        counted.selectExpr(*groups, listed(of_rows)),
+        scored(p).selectExpr(*groups, listed({"score": "score"})),
+    ])
 
 
 def quality_gate(source, limits: dict[str, tuple[str, float]] | DataFrame, **options) -> DataFrame:
@@ -233,7 +223,5 @@ def quality_gate(source, limits: dict[str, tuple[str, float]] | DataFrame, **opt
         rows = [(check, bound, float(limit)) for check, (bound, limit) in limits.items()]
         limits = p.table.spark.createDataFrame(rows, "check string, bound string, limit double")
     tested = measures(p).join(limits, "check")
-    passed = F.when(F.col("bound") == "min", F.col("actual") >= F.col("limit")).otherwise(
-        F.col("actual") <= F.col("limit")
-    )
-    return p.table.present(tested, "check", "actual", "bound", "limit", passed.alias("passed"))
+    passed = "if(bound = 'min', actual >= limit, actual <= limit) as passed"
+    return p.table.present(tested, "check", "actual", "bound", "limit", passed)

@@ -2,52 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions.expressions import to_percentage
-from ..plans import stats
+from ..functions.expressions import PERCENTAGE
 from ..plans.profile import Profile
+from ..plans.stats import aggregate
 from ..plans.table import INTEGRAL
-from .names import named_like_id
 
 
-def named(p: Profile, df: DataFrame, *cols: Column | str) -> DataFrame:
-    """(groups, position, column, cols...) from rows that carry a slot."""
-    slot = F.col("slot")
-    return p.table.present(df, slot.alias("position"), p.table.name_of(slot).alias("column"), *cols)
+def named(p: Profile, df: DataFrame, *expressions: str) -> DataFrame:
+    """(groups, position, column, expressions...) from rows that carry a slot."""
+    return p.table.present(df, "slot as position", f"{p.table.names()} as column", *expressions)
 
 
-def named_pairs(p: Profile, df: DataFrame, *cols: Column | str) -> DataFrame:
-    names = [p.table.name_of(F.col(f"slot_{x}")).alias(f"column_{x}") for x in "ab"]
-    return p.table.present(df, *names, *cols)
+def named_pairs(p: Profile, df: DataFrame, *expressions: str) -> DataFrame:
+    """(groups, column_a, column_b, expressions...) from rows that carry two slots."""
+    names = [f"{p.table.names(f'slot_{x}')} as column_{x}" for x in "ab"]
+    return p.table.present(df, *names, *expressions)
 
 
 def shape(source, **options) -> DataFrame:
     """(rows, columns)."""
     p = Profile.of(source, **options)
-    counted = p.table.df.groupBy(*p.table.groups).agg(F.count(F.lit(1)).alias("rows"))
-    return p.table.present(counted, "rows", F.lit(len(p.table.fields)).cast("bigint").alias("columns"))
+    counted = p.duplicates() if p.gathered else aggregate(p.table.df, p.table.groups, ["count(1) as rows"])
+    return p.table.present(counted, "rows", f"cast({len(p.table.fields)} as bigint) as columns")
 
 
 def column_types(source, **options) -> DataFrame:
     """(position, column, type, filled): the schema and how many values each column holds."""
     p = Profile.of(source, **options)
-    types = p.table.per_field(F.col("slot"), p.table.types)
-    return named(p, p.stats("filled"), types.alias("type"), "filled")
+    return named(p, p.facts("filled"), f"{p.table.types()} as type", "filled")
 
 
 def missing_values(source, **options) -> DataFrame:
     """(position, column, missing)."""
     p = Profile.of(source, **options)
-    return named(p, p.stats("missing"), "missing")
+    return named(p, p.facts("missing"), "missing")
 
 
 def missing_percentage(source, **options) -> DataFrame:
     """(position, column, percentage) with two decimals; no row for an empty table."""
     p = Profile.of(source, **options)
-    counted = p.stats("missing", "rows").where(F.col("rows") > 0)
-    return named(p, counted, to_percentage(F.col("missing"), F.col("rows")).alias("percentage"))
+    return named(p, p.facts("missing", "rows").where("rows > 0"), f"{PERCENTAGE} as percentage")
 
 
 def duplicate_rows(source, **options) -> DataFrame:
@@ -57,32 +53,28 @@ def duplicate_rows(source, **options) -> DataFrame:
 
 
 def unique_counts(source, **options) -> DataFrame:
-    """(position, column, distinct): distinct values without missing ones."""
+    """(position, column, distinct_values), missing ones left out."""
     p = Profile.of(source, **options)
-    if p.mode == "approx":
-        counted = p.table.df.groupBy(*p.table.groups).agg(
-            *[F.approx_count_distinct(f.comparable).alias(f"c{f.slot}") for f in p.table.fields]
-        )
-        cells = [F.struct(F.lit(f.slot).alias("slot"), F.col(f"c{f.slot}").alias("distinct")) for f in p.table.fields]
-        return named(p, counted.select(*p.table.groups, F.inline(F.array(*cells))), "distinct")
-    return named(p, p.columns(), "distinct")
+    if p.mode == "approx" and p.table.fields:
+        fields = p.table.fields
+        wide = aggregate(p.table.df, p.table.groups, [f"approx_count_distinct({f.comparable}) as u{f.slot}" for f in fields])
+        rows = ", ".join(f"struct({f.slot} as slot, u{f.slot} as uniques)" for f in fields)
+        counted = wide.selectExpr(*p.table.groups, f"inline(array({rows}))")
+    else:
+        counted = p.facts("uniques")
+    return named(p, counted, "uniques as distinct_values")
 
 
 def constant_columns(source, **options) -> DataFrame:
     """(position, column): at most one distinct value; a column without values counts."""
     p = Profile.of(source, **options)
-    return named(p, p.columns().where(F.col("distinct") <= 1))
-
-
-def near_constant(p: Profile) -> DataFrame:
-    share = F.col("top") / F.col("filled")
-    return p.distinct().where(F.col("distinct") > 1).where(share >= p.thresholds.near_constant)
+    return named(p, p.flagged("constant"))
 
 
 def near_constant_columns(source, **options) -> DataFrame:
     """(position, column, share): one value fills most of a column that is not constant."""
     p = Profile.of(source, **options)
-    return named(p, near_constant(p), F.round(F.col("top") / F.col("filled"), 4).alias("share"))
+    return named(p, p.flagged("near_constant"), "round(top / filled, 4) as share")
 
 
 def duplicate_columns(source, **options) -> DataFrame:
@@ -94,58 +86,36 @@ def duplicate_columns(source, **options) -> DataFrame:
 def memory_usage(source, **options) -> DataFrame:
     """(position, column, kilobytes): logical size of the values."""
     p = Profile.of(source, **options)
-    return named(p, p.stats("bytes"), F.round(F.col("bytes") / 1024, 2).alias("kilobytes"))
-
+    return named(p, p.facts("bytes"), "round(bytes / 1024, 2) as kilobytes")
 
-def _gapless() -> Column:
-    """All values integral, all distinct, and as many as the range is long."""
-    whole_range = F.col("high_whole").cast("decimal(38,0)") - F.col("low_whole").cast("decimal(38,0)") + 1
-    as_wide = F.when(F.col("low_whole").isNotNull(), whole_range == F.col("filled")).otherwise(
-        F.col("high") - F.col("low") + 1 == F.col("filled")
-    )
-    found = F.col("integral") & (F.col("distinct") == F.col("filled")) & as_wide
-    return F.coalesce(found, F.lit(False))
 
-
-_RUN_MEASURES = ("low", "high", "low_whole", "high_whole", "integral")
+def possible_target_columns(source, **options) -> DataFrame:
+    """(position, column): columns whose name suggests the target of a model."""
+    p = Profile.of(source, **options)
+    return named(p, p.flagged("possible_target"))
 
 
 def sequential_integers(source, **options) -> DataFrame:
     """(position, column, sequential) of the numeric columns: a gapless run of integers."""
     p = Profile.of(source, **options)
-    numeric = p.columns(*_RUN_MEASURES).where(F.col("slot").isin([f.slot for f in p.table.numeric]))
-    return named(p, numeric, _gapless().alias("sequential"))
-
-
-def id_like(p: Profile) -> DataFrame:
-    """(groups, slot, ...) of columns that look like identifiers."""
-    t = p.thresholds
-    numeric = F.col("slot").isin([f.slot for f in p.table.numeric])
-    unique = (F.col("distinct") / F.nullif(F.col("rows"), F.lit(0)) >= t.high_cardinality) & (
-        F.col("distinct") >= t.min_unique
-    )
-    by_kind = named_like_id(p.table.name_of(F.col("slot"))) | ~numeric | _gapless()
-    return p.columns(*_RUN_MEASURES).where(unique & by_kind)
+    needs, gapless = p.flags["gapless"]
+    return named(p, p.facts(*needs, fields=p.table.numeric), f"{gapless} as sequential")
 
 
 def high_cardinality(source, **options) -> DataFrame:
-    """(position, column, distinct): nearly unique, and by name, type or run an identifier."""
+    """(position, column, distinct_values): nearly unique, and by name, type or run an identifier."""
     p = Profile.of(source, **options)
-    return named(p, id_like(p), "distinct")
+    return named(p, p.flagged("id_like"), "uniques as distinct_values")
 
 
 def recommended_types(source, **options) -> DataFrame:
     """(position, column, type, recommended): the narrowest integer type that holds a column."""
     p = Profile.of(source, **options)
     integral = [f for f in p.table.fields if f.kind == INTEGRAL]
-    limits = stats.column_stats(p.table, ["low_whole", "high_whole"], integral)
-
-    def fits(bits: int) -> Column:
-        edge = 1 << (bits - 1)
-        return (F.col("low_whole") >= -edge) & (F.col("high_whole") < edge)
-
-    narrowest = (
-        F.when(fits(8), "tinyint").when(fits(16), "smallint").when(fits(32), "int").otherwise("bigint")
-    )
-    types = p.table.per_field(F.col("slot"), p.table.types)
-    return named(p, limits, types.alias("type"), narrowest.alias("recommended"))
+    fits = [
+        f"when low_whole >= {-(1 << bits - 1)} and high_whole < {1 << bits - 1} then '{name}'"
+        for bits, name in ((8, "tinyint"), (16, "smallint"), (32, "int"))
+    ]
+    narrowest = f"case {' '.join(fits)} else 'bigint' end as recommended"
+    limits = p.facts("low_whole", "high_whole", fields=integral)
+    return named(p, limits, f"{p.table.types()} as type", narrowest)

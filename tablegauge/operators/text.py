@@ -2,51 +2,38 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import is_date_text
-from ..plans import stats
 from ..plans.profile import Profile
+from ..plans.stats import aggregate
 from ..plans.table import VARIANT
 from ..plans.values import LEXICAL_CLASSES
 from .structure import named
 
+LENGTHS = ("avg_length", "min_length", "max_length", "blank")
+
 
 def text_column_stats(source, **options) -> DataFrame:
     """(position, column, avg_length, min_length, max_length, blank) of columns with values."""
     p = Profile.of(source, **options)
-    measures = ("filled", "avg_length", "min_length", "max_length", "blank")
-    text = p.table.textual
-    if p._gathered:
-        counted = p.stats(*measures).where(F.col("slot").isin([f.slot for f in text]))
-    else:
-        counted = stats.column_stats(p.table, measures, text)
-    return named(
-        p, counted.where(F.col("filled") > 0),
-        F.round("avg_length", 1).alias("avg_length"), "min_length", "max_length", "blank",
-    )
-
-
-def date_like(p: Profile) -> DataFrame:
-    """(groups, slot, share): text columns most of whose values read as dates."""
-    share = F.col("dates") / F.col("filled")
-    return p.text().withColumn("share", share).where(share >= p.thresholds.date_ratio)
+    counted = p.facts("filled", *LENGTHS, fields=p.table.textual).where("filled > 0")
+    return named(p, counted, "round(avg_length, 1) as avg_length", *LENGTHS[1:])
 
 
 def _first_values(p: Profile, sample_size: int, order_by: str) -> DataFrame:
+    """(groups, slot, filled, dates) of the first values of each text column.
+
+    Every task keeps its own first values before the shuffle, so no column is gathered.
+    """
     sort_key = next(f for f in p.table.fields if f.name == order_by)
-    parts = []
-    for f in p.table.textual:
-        parts.append(F.struct(F.lit(f.slot).alias("slot"), f.col.alias("value"), sort_key.col.alias("sort_key")))
-    cells = p.table.df.select(*p.table.groups, F.inline(F.array(*parts))).where(F.col("value").isNotNull())
-    keys = [*p.table.groups, "slot"]
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("sort_key", "value"))
-    first = cells.withColumn("nth", nth).where(F.col("nth") <= sample_size)
-    share = F.avg(F.when(is_date_text(F.col("value")), 1.0).otherwise(0.0))
-    return first.groupBy(*keys).agg(share.alias("share")).where(F.col("share") >= p.thresholds.date_ratio)
+    cells = ", ".join(f"struct({f.slot} as slot, {f.sql} as value)" for f in p.table.textual)
+    text = p.table.df.selectExpr(*p.table.groups, f"{sort_key.sql} as sort_key", f"inline(array({cells}))")
+    nth = f"row_number() over (partition by {', '.join(p.keys)} order by sort_key, value) as nth"
+    first = text.where("value is not null").selectExpr("*", nth).where(f"nth <= {sample_size}")
+    dated = first.withColumn("is_date", is_date_text(F.col("value")))
+    return aggregate(dated, p.keys, ["count(1) as filled", "count_if(is_date) as dates"])
 
 
 def date_like_columns(source, sample_size: int | None = None, order_by: str | None = None, **options) -> DataFrame:
@@ -58,31 +45,23 @@ def date_like_columns(source, sample_size: int | None = None, order_by: str | No
     p = Profile.of(source, **options)
     if (sample_size is None) != (order_by is None):
         raise ValueError("sample_size and order_by go together: a table has no order of its own")
-    found = date_like(p) if sample_size is None else _first_values(p, sample_size, order_by)
-    return named(p, found, F.round("share", 4).alias("share"))
-
-
-def mixed(p: Profile) -> DataFrame:
-    """(groups, slot, types): variant columns that hold values of several types."""
-    fields = [f for f in p.table.fields if f.kind == VARIANT]
-    if p._gathered:
-        counted = p.stats("variant_types").where(F.col("slot").isin([f.slot for f in fields]))
+    if sample_size is None:
+        found = p.flagged("date_like", fields=p.table.textual)
     else:
-        counted = stats.column_stats(p.table, ["variant_types"], fields)
-    return counted.where(F.col("variant_types") > 1).withColumnRenamed("variant_types", "types")
+        found = _first_values(p, sample_size, order_by).where(p.flags["date_like"][1])
+    return named(p, found, "round(dates / filled, 4) as share")
 
 
 def mixed_type_columns(source, **options) -> DataFrame:
     """(position, column, types). A typed column is never mixed; a variant column can be."""
     p = Profile.of(source, **options)
-    return named(p, mixed(p), "types")
+    variants = [f for f in p.table.fields if f.kind == VARIANT]
+    return named(p, p.flagged("mixed_type", fields=variants), "variant_types as types")
 
 
 def lexical_types(source, **options) -> DataFrame:
     """(position, column, class, count): what the texts of a column spell."""
     p = Profile.of(source, **options)
-    counts = F.array(
-        *[F.struct(F.lit(c).alias("class"), F.col(f"n_{c}").alias("count")) for c in LEXICAL_CLASSES]
-    )
-    spelled = p.text().select(*p.table.groups, "slot", F.inline(counts)).where(F.col("count") > 0)
+    counts = ", ".join(f"struct('{c}' as class, n_{c} as count)" for c in LEXICAL_CLASSES)
+    spelled = p.text().selectExpr(*p.keys, f"inline(array({counts}))").where("count > 0")
     return named(p, spelled, "class", "count")

@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import Staging
+from .stats import aggregate
 from .table import Table
 
 
@@ -32,49 +33,36 @@ def write_ranges(table: Table, values: DataFrame, order: str, staging: Staging,
 def order_statistics(table: Table, ranges: DataFrame, order: str, shares: Sequence[float]) -> DataFrame:
     """(groups, slot, n, at_0, at_1, ...): linearly interpolated quantiles of ``order``."""
     keys = [*table.groups, "slot"]
-    counts = ranges.groupBy(*keys, "part").agg(F.sum("cnt").alias("inside"))
-    column = Window.partitionBy(*keys)
-    upto = F.sum("inside").over(column.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    counts = counts.select(
-        *keys, "part", "inside", upto.alias("upto"), F.sum("inside").over(column).alias("n")
+    by = ", ".join(keys)
+    counts = aggregate(ranges, [*keys, "part"], ["sum(cnt) as inside"]).selectExpr(
+        *keys, "part",
+        f"sum(inside) over (partition by {by} order by part rows unbounded preceding) - inside as before",
+        "inside",
+        f"sum(inside) over (partition by {by}) as n",
     )
-    # Both neighbours of each wanted position, as ranks from 0.
+    # Both neighbours of each wanted position, as ranks from 0; kept where the rank is in the range.
     ranks = []
-    for i, share in enumerate(shares):
-        below = F.floor((F.col("n") - 1) * F.lit(share)).cast("bigint")
-        ranks.append(F.struct(F.lit(2 * i).alias("which"), below.alias("rank")))
-        above = F.least(below + 1, F.col("n") - 1)
-        ranks.append(F.struct(F.lit(2 * i + 1).alias("which"), above.alias("rank")))
-    before = F.col("upto") - F.col("inside")
-    located = counts.select(
-        *keys, "part", "n",
-        F.filter(
-            F.array(*ranks), lambda r: (r["rank"] >= before) & (r["rank"] < F.col("upto"))
-        ).alias("wanted"),
-        before.alias("before"),
-    ).where(F.size("wanted") > 0)
+    for share in shares:
+        below = f"cast(floor((n - 1) * {share}D) as bigint)"
+        ranks += [below, f"least({below} + 1, n - 1)"]
+    wanted = [f"t{w}" for w in range(len(ranks))]
+    located = counts.selectExpr(
+        *keys, "part", "n", "before",
+        *[f"if({r} >= before and {r} < before + inside, {r}, null) as {t}" for r, t in zip(ranks, wanted)],
+    ).where(f"coalesce({', '.join(wanted)}) is not null")
 
     hit = table.attach(ranges.select(*keys, "part", order, "cnt"), located, "slot", "part")
-    running = F.sum("cnt").over(
-        Window.partitionBy(*keys, "part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    ordered = hit.select(*keys, "n", "wanted", order, "cnt", (running + F.col("before")).alias("last"))
-
-    def pick(which: int):
-        here = F.exists(
-            "wanted",
-            lambda r: (r["which"] == which) & (r["rank"] < F.col("last")) & (r["rank"] >= F.col("last") - F.col("cnt")),
-        )
-        return F.max(F.when(here, F.col(order)))
-
-    picked = ordered.groupBy(*keys).agg(
-        F.max("n").alias("n"), *[pick(w).alias(f"v{w}") for w in range(2 * len(shares))]
+    ordered = hit.selectExpr(
+        *keys, "n", *wanted, order, "cnt",
+        f"before + sum(cnt) over (partition by {by}, part order by {order} rows unbounded preceding) as upto",
     )
+    picks = [
+        f"max(if({t} < upto and {t} >= upto - cnt, {order}, null)) as v{w}" for w, t in enumerate(wanted)
+    ]
+    picked = aggregate(ordered, keys, ["max(n) as n", *picks])
     quantiles = []
     for i, share in enumerate(shares):
-        low, high = F.col(f"v{2 * i}"), F.col(f"v{2 * i + 1}")
-        position = (F.col("n") - 1) * F.lit(share)
-        rest = position - F.floor(position)
-        value = F.when(low == high, low).otherwise(low + (high - low) * rest)
-        quantiles.append(value.alias(f"at_{i}"))
-    return picked.select(*keys, "n", *quantiles)
+        low, high = f"v{2 * i}", f"v{2 * i + 1}"
+        rest = f"((n - 1) * {share}D - floor((n - 1) * {share}D))"
+        quantiles.append(f"if({low} = {high}, {low}, {low} + ({high} - {low}) * {rest}) as at_{i}")
+    return picked.selectExpr(*keys, "n", *quantiles)

@@ -1,80 +1,78 @@
 """Pairs of columns: Pearson correlation and equality, as aggregates over whole rows.
 
 A pair costs a few buffers in a partial aggregate, and no row is shuffled. Many pairs are cut into
-chunks; neighbouring chunks share columns, and each chunk reads only its own.
+chunks, small enough for the JVM to compile; each chunk reads only its own columns.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from .stats import aggregate
 from .table import Field, Table
 
-CORRELATIONS_PER_SCAN = 28
-EQUALITIES_PER_SCAN = 200
+CORRELATIONS_PER_SCAN = 7
+EQUALITIES_PER_SCAN = 100
+MARKS_PER_SCAN = 50
 
 Pair = tuple[Field, Field]
 
 
-def _per_pair(table: Table, pairs: list[Pair], size: int, build, data_type: str) -> DataFrame:
+def _per_pair(
+    table: Table, pairs: list[Pair], size: int, build: Callable[[Field, Field], str], data_type: str
+) -> DataFrame:
     if not pairs:
         return table.empty(f"slot_a int, slot_b int, value {data_type}")
 
     def scan(chunk: list[Pair]) -> DataFrame:
-        names = [f"p{i}" for i in range(len(chunk))]
-        wide = table.df.groupBy(*table.groups).agg(*[build(a, b).alias(n) for n, (a, b) in zip(names, chunk)])
-        rows = [
-            F.struct(
-                F.lit(a.slot).alias("slot_a"), F.lit(b.slot).alias("slot_b"), F.col(n).cast(data_type).alias("value")
-            )
-            for n, (a, b) in zip(names, chunk)
-        ]
-        return wide.select(*table.groups, F.inline(F.array(*rows)))
+        wide = aggregate(table.df, table.groups, [f"{build(a, b)} as p{i}" for i, (a, b) in enumerate(chunk)])
+        rows = ", ".join(
+            f"struct({a.slot} as slot_a, {b.slot} as slot_b, p{i} as value)" for i, (a, b) in enumerate(chunk)
+        )
+        return wide.selectExpr(*table.groups, f"inline(array({rows}))")
 
-    chunks = [pairs[i : i + size] for i in range(0, len(pairs), size)]
-    return reduce(DataFrame.unionByName, [scan(c) for c in chunks])
+    return reduce(DataFrame.unionByName, [scan(pairs[i : i + size]) for i in range(0, len(pairs), size)])
 
 
-def _pearson(a: Field, b: Field) -> Column:
-    """Correlation over the rows where both are present; null where either does not vary there."""
-    x = F.when(b.col.isNotNull(), a.number)
-    y = F.when(a.col.isNotNull(), b.number)
-    spread = F.sqrt(F.var_pop(x) * F.var_pop(y))
-    return F.try_divide(F.covar_pop(a.number, b.number), spread)
+def _pearson(a: Field, b: Field) -> str:
+    """Correlation over the rows where both are present; null or 0 where either does not vary there.
+
+    ``corr`` divides by zero on a constant column; ``regr_r2`` does not, but loses the sign.
+    """
+    return f"signum(covar_pop({a.number}, {b.number})) * sqrt(regr_r2({b.number}, {a.number}))"
 
 
 def correlations(table: Table) -> DataFrame:
-    """(groups, slot_a, slot_b, value) for numeric columns a < b; null where undefined."""
+    """(groups, slot_a, slot_b, value) for numeric columns a < b."""
     pairs = list(combinations(table.numeric, 2))
     return _per_pair(table, pairs, CORRELATIONS_PER_SCAN, _pearson, "double")
 
 
-def _equal(a: Field, b: Field) -> Column:
+def _equal(a: Field, b: Field) -> str:
     # Two columns of no rows are equal.
-    return F.coalesce(F.bool_and(a.comparable.eqNullSafe(b.comparable)), F.lit(True))
+    return f"coalesce(bool_and({a.comparable} <=> {b.comparable}), true)"
 
 
-def _fingerprints(table: Table) -> DataFrame:
-    """Per column a sum of cell hashes: equal columns have equal sums.
+def _marks(table: Table) -> DataFrame:
+    """(groups, slot, mark): a sum of cell hashes per column; equal columns have equal sums.
 
-    The hash of a cell is multiplied by a hash of its whole row, so that columns with the same
-    values in another order differ. Sums wrap within decimals wide enough not to overflow.
+    The hash of a cell is multiplied by a hash of its row, so that columns with the same values in
+    another order differ.
     """
-    chunks = [table.fields[i : i + 50] for i in range(0, len(table.fields), 50)]
+    row = f"pmod(xxhash64({', '.join(f.comparable for f in table.fields[:8])}), {1 << 30})"
     parts = []
-    for chunk in chunks:
-        row = F.pmod(F.xxhash64(*[f.comparable for f in table.fields[:8]]), F.lit(1 << 30))
-        sums = [
-            F.sum((F.pmod(F.xxhash64(f.comparable), F.lit(1 << 30)) * row).cast("decimal(20,0)")).alias(f"s{f.slot}")
-            for f in chunk
-        ]
-        wide = table.df.groupBy(*table.groups).agg(*sums)
-        rows = [F.struct(F.lit(f.slot).alias("slot"), F.col(f"s{f.slot}").alias("mark")) for f in chunk]
-        parts.append(wide.select(*table.groups, F.inline(F.array(*rows))))
+    for i in range(0, len(table.fields), MARKS_PER_SCAN):
+        chunk = table.fields[i : i + MARKS_PER_SCAN]
+        wide = aggregate(
+            table.df, table.groups,
+            [f"sum(cast(pmod(xxhash64({f.comparable}), {1 << 30}) * {row} as decimal(20,0))) as m{f.slot}" for f in chunk],
+        )
+        rows = ", ".join(f"struct({f.slot} as slot, m{f.slot} as mark)" for f in chunk)
+        parts.append(wide.selectExpr(*table.groups, f"inline(array({rows}))"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -84,11 +82,10 @@ def equal_pairs(table: Table) -> DataFrame:
     if len(pairs) > EQUALITIES_PER_SCAN:
         # A wide table: one scan marks the columns, and only pairs with the same mark in some group
         # are compared cell by cell. The driver reads pairs of columns, which the schema bounds.
-        marks = _fingerprints(table)
-        same = marks.groupBy(*table.groups, "mark").agg(F.collect_list("slot").alias("slots"))
-        firsts = same.where(F.size("slots") > 1).select(F.explode("slots").alias("slot_a"), "slots")
-        twins = firsts.select("slot_a", F.explode("slots").alias("slot_b")).where("slot_a < slot_b").distinct()
+        same = aggregate(_marks(table), [*table.groups, "mark"], ["collect_list(slot) as slots"])
+        firsts = same.where("size(slots) > 1").selectExpr("explode(slots) as slot_a", "slots")
+        twins = firsts.selectExpr("slot_a", "explode(slots) as slot_b").where("slot_a < slot_b").distinct()
         alike = {(row["slot_a"], row["slot_b"]) for row in twins.collect()}
         pairs = [(a, b) for a, b in pairs if (a.slot, b.slot) in alike]
     checked = _per_pair(table, pairs, EQUALITIES_PER_SCAN, _equal, "boolean")
-    return checked.where(F.col("value")).select(*table.groups, "slot_a", "slot_b")
+    return checked.where("value").select(*table.groups, "slot_a", "slot_b")

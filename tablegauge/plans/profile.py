@@ -7,18 +7,29 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..constants import Thresholds
-from ..functions.expressions import not_nan
+from ..constants import NONNEGATIVE_KEYWORDS, Thresholds
+from ..functions.expressions import PERCENTAGE, finite_sql, not_nan_sql, target_name_sql, id_name_sql
 from . import pairs, rows, stats, values
 from .order_stats import order_statistics, write_ranges
 from .sketches import approximate_order_statistics
 from .staging import Staging
-from .table import TEXT, Table
+from .stats import aggregate
+from .table import TEXT, VARIANT, Field, Table, quoted
 
 QUARTILES = (0.25, 0.5, 0.75)
 
+# Which base a column of the facts comes from; all others are measures of ``stats``.
+_FROM = {
+    "uniques": "uniques", "top": "uniques",
+    "dates": "text", **{f"n_{c}": "text" for c in values.LEXICAL_CLASSES},
+    "outliers_iqr": "iqr", "whisker_low": "iqr", "whisker_high": "iqr",
+    "q1": "quartiles", "median": "quartiles", "q3": "quartiles",
+    "outliers_mad": "mad",
+}
+_ZERO_WITHOUT_VALUES = ("uniques", "top", "outliers_iqr", "outliers_mad", "dates")
+FACTS = [*stats.MEASURES, *_FROM]
+
 
 class Profile:
     """The table, its groups and thresholds, and its shared bases.
@@ -39,13 +50,12 @@ class Profile:
     ):
         if mode not in ("exact", "approx"):
             raise ValueError("mode is 'exact' or 'approx'")
-        self.source = df
         self.mode = mode
         self.thresholds = thresholds or Thresholds()
         self.table = Table(df, group_cols, columns)
         self.staging = Staging(df.sparkSession)
+        self.gathered = False
         self._known: dict[str, DataFrame] = {}
-        self._gathered = False
 
     @classmethod
     def of(cls, source: DataFrame | Profile, **options) -> Profile:
@@ -60,131 +70,191 @@ class Profile:
     def close(self) -> None:
         self.staging.close()
         self._known.clear()
-        self._gathered = False
+        self.gathered = False
 
-    # Shared bases -------------------------------------------------------------------------
+    @property
+    def keys(self) -> list[str]:
+        return [*self.table.groups, "slot"]
 
     def _pinned(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._known:
             self._known[name] = self.staging.pin(build(), name, bounded=not self.table.groups)
         return self._known[name]
 
-    def _base(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """A small base: pinned once gathering, a plan of its own otherwise."""
-        if self._gathered or name in self._known:
-            return self._pinned(name, build)
-        return build()
-
-    def stats(self, *measures: str) -> DataFrame:
-        """(groups, slot, measures...) for every column."""
-        if self._gathered:
-            return self._pinned("stats", lambda: stats.column_stats(self.table, stats.MEASURES)).select(
-                *self.table.groups, "slot", *measures
-            )
-        return stats.column_stats(self.table, measures)
+    def _small(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A small base: computed once while gathering, else a part of the plan that asks for it."""
+        return self._pinned(name, build) if self.gathered or name in self._known else build()
+
+    # Numeric values -----------------------------------------------------------------------
+
+    def cells(self) -> DataFrame:
+        """(groups, slot, whole, value, cnt = 1): numeric cells as they are."""
+        return values.numeric_cells(self.table, self.table.numeric).selectExpr("*", "cast(1 as bigint) as cnt")
 
     def value_counts(self) -> DataFrame:
         """(groups, slot, whole, value, cnt) of the numeric columns, sorted in ranges and written."""
         if self.mode == "approx":
-            return values.numeric_cells(self.table, self.table.numeric).withColumn("cnt", F.lit(1).cast("bigint"))
+            return self.cells()
         if "ranges" not in self._known:
             counted = values.numeric_values(self.table, self.table.numeric)
             self._known["ranges"] = write_ranges(self.table, counted, "value", self.staging, "ranges")
         return self._known["ranges"]
 
     def quartiles(self) -> DataFrame:
-        """(groups, slot, n, q1, median, q3)."""
+        """(groups, slot, n, q1, median, q3, lower, upper)."""
 
         def build() -> DataFrame:
             quantiles = approximate_order_statistics if self.mode == "approx" else order_statistics
             found = quantiles(self.table, self.value_counts(), "value", QUARTILES)
-            return found.select(
-                *self.table.groups, "slot", "n",
-                F.col("at_0").alias("q1"), F.col("at_1").alias("median"), F.col("at_2").alias("q3"),
+            reach = f"{self.thresholds.iqr_multiplier}D * (at_2 - at_0)"
+            return found.selectExpr(
+                *self.keys, "n", "at_0 as q1", "at_1 as median", "at_2 as q3",
+                f"{not_nan_sql(f'at_0 - {reach}')} as lower", f"{not_nan_sql(f'at_2 + {reach}')} as upper",
             )
 
-        return self._base("quartiles", build)
-
-    def fences(self) -> DataFrame:
-        """(groups, slot, n, q1, median, q3, lower, upper)."""
-        reach = F.lit(self.thresholds.iqr_multiplier) * (F.col("q3") - F.col("q1"))
-        return self.quartiles().select(
-            "*", not_nan(F.col("q1") - reach).alias("lower"), not_nan(F.col("q3") + reach).alias("upper")
-        )
+        return self._small("quartiles", build)
 
     def deviations(self) -> DataFrame:
-        """(groups, slot, median, mad): the median distance from the median."""
+        """(groups, slot, median, mad): the median and the median distance from it."""
 
         def build() -> DataFrame:
             # Two plans need the quartiles now, so they are computed once.
-            centre = self._pinned("quartiles", self.quartiles).select(*self.table.groups, "slot", "median")
-            apart = self.table.attach(self.value_counts(), centre, "slot").select(
-                *self.table.groups, "slot", "cnt", not_nan(F.abs(F.col("value") - F.col("median"))).alias("distance")
-            ).where(F.col("distance").isNotNull())
+            centre = self._pinned("quartiles", self.quartiles).select(*self.keys, "median")
+            apart = self.table.attach(self.value_counts(), centre, "slot").selectExpr(
+                *self.keys, "cnt", f"{not_nan_sql('abs(value - median)')} as distance"
+            ).where("distance is not null")
             if self.mode == "approx":
                 found = approximate_order_statistics(self.table, apart, "distance", (0.5,))
             else:
                 if "distances" not in self._known:
                     self._known["distances"] = write_ranges(self.table, apart, "distance", self.staging, "distances")
                 found = order_statistics(self.table, self._known["distances"], "distance", (0.5,))
-            found = found.select(*self.table.groups, "slot", F.col("at_0").alias("mad"))
-            return self.table.attach(centre, found, "slot", how="left")
+            return self.table.attach(centre, found.selectExpr(*self.keys, "at_0 as mad"), "slot", how="left")
 
-        return self._base("deviations", build)
+        return self._small("deviations", build)
 
-    def outside(self, method: str) -> DataFrame:
-        """(groups, slot, outliers, and for "iqr" the whisker ends) of columns that have values."""
-        t = self.thresholds
-        value, cnt = F.col("value"), F.col("cnt")
+    def outside_fences(self) -> DataFrame:
+        """(groups, slot, outliers_iqr, whisker_low, whisker_high) of columns that have values."""
 
         def build() -> DataFrame:
-            keys = [*self.table.groups, "slot"]
-            if method == "mad":
-                scored = self.table.attach(self.value_counts(), self.deviations(), "slot")
-                z = F.try_divide(F.lit(t.mad_z_constant) * (value - F.col("median")), F.col("mad"))
-                far = not_nan(F.abs(z)) > t.mad_outlier
-                return scored.groupBy(*keys).agg(F.coalesce(F.sum(F.when(far, cnt)), F.lit(0)).alias("outliers"))
-            placed = self.table.attach(self.value_counts(), self.fences().drop("n"), "slot")
-            far = (value < F.col("lower")) | (value > F.col("upper"))
-            near = (value >= F.col("lower")) & (value <= F.col("upper"))
-            return placed.groupBy(*keys).agg(
-                F.coalesce(F.sum(F.when(far, cnt)), F.lit(0)).alias("outliers"),
-                F.coalesce(F.min(F.when(near, value)), F.min(value)).alias("whisker_low"),
-                F.coalesce(F.max(F.when(near, value)), F.max(value)).alias("whisker_high"),
-                F.min(value).alias("low"),
-                F.max(value).alias("high"),
-            )
+            placed = self.table.attach(self.value_counts(), self.quartiles(), "slot")
+            near = "value >= lower and value <= upper"
+            return aggregate(placed, self.keys, [
+                "sum(if(value < lower or value > upper, cnt, 0)) as outliers_iqr",
+                f"coalesce(min(if({near}, value, null)), min(value)) as whisker_low",
+                f"coalesce(max(if({near}, value, null)), max(value)) as whisker_high",
+            ])
+
+        return self._small("iqr", build)
+
+    def far_from_median(self) -> DataFrame:
+        """(groups, slot, outliers_mad) of columns that have values."""
+
+        def build() -> DataFrame:
+            t = self.thresholds
+            scored = self.table.attach(self.value_counts(), self.deviations(), "slot")
+            z = not_nan_sql(f"abs(try_divide({t.mad_z_constant}D * (value - median), mad))")
+            return aggregate(scored, self.keys, [f"sum(if({z} > {t.mad_outlier}D, cnt, 0)) as outliers_mad"])
+
+        return self._small("mad", build)
 
-        return self._base(f"outside_{method}", build)
+    # Other bases --------------------------------------------------------------------------
 
-    def text(self) -> DataFrame:
-        """(groups, slot, filled, distinct, top, n_integer, ...) of the text columns."""
-        return self._base("text", lambda: values.lexical_stats(self.table, self.table.textual))
+    def text(self, fields: list[Field] | None = None) -> DataFrame:
+        """(groups, slot, uniques, top, dates, n_integer, ...) of the text columns."""
+        return self._small("text", lambda: values.lexical_stats(self.table, self.table.textual))
 
-    def distinct(self) -> DataFrame:
-        """(groups, slot, distinct, top, filled) of columns that have values."""
+    def uniques(self, fields: list[Field]) -> DataFrame:
+        """(groups, slot, uniques, top) of columns that have values."""
+        if not self.gathered:
+            return values.distinct_stats(self.table, fields)
 
         def build() -> DataFrame:
-            if not self._gathered:
-                return values.distinct_stats(self.table, self.table.fields)
             # The frequencies of the numeric and of the text columns are known already.
             rest = [f for f in self.table.fields if f.kind != TEXT]
             counted = values.distinct_stats(self.table, rest, self.value_counts() if self.mode == "exact" else None)
             return counted.unionByName(self.text().select(*counted.columns))
 
-        return self._base("distinct", build)
+        return self._pinned("uniques", build)
 
     def correlations(self) -> DataFrame:
         """(groups, slot_a, slot_b, value) for pairs of numeric columns."""
-        return self._base("correlations", lambda: pairs.correlations(self.table))
+        return self._small("correlations", lambda: pairs.correlations(self.table))
 
     def equal_pairs(self) -> DataFrame:
         """(groups, slot_a, slot_b) of identical columns."""
-        return self._base("equal_pairs", lambda: pairs.equal_pairs(self.table))
+        return self._small("equal_pairs", lambda: pairs.equal_pairs(self.table))
 
     def duplicates(self) -> DataFrame:
-        """(groups, duplicates, rows)."""
-        return self._base("duplicates", lambda: rows.duplicate_rows(self.table))
+        """(groups, rows, duplicates)."""
+        return self._small("duplicates", lambda: rows.duplicate_rows(self.table))
+
+    # Facts: a row per group and column ----------------------------------------------------
+
+    def facts(self, *names: str, fields: list[Field] | None = None) -> DataFrame:
+        """(groups, slot, names...): every column (of ``fields``) of every group has a row.
+
+        Only the bases behind the asked names are computed.
+        """
+        chosen = self.table.fields if fields is None else fields
+        if self.gathered:
+            known = self._pinned("facts", lambda: self._facts(FACTS, self.table.fields))
+            return (known if fields is None else known.where(self.table.among(chosen))).select(*self.keys, *names)
+        return self._facts(names, chosen)
+
+    def _facts(self, names: Sequence[str], fields: list[Field]) -> DataFrame:
+        measures = [n for n in names if n not in _FROM]
+        if self.gathered:
+            made = self._pinned("stats", lambda: stats.column_stats(self.table, stats.MEASURES))
+        else:
+            made = stats.column_stats(self.table, measures or ["rows"], fields)
+        bases = {
+            "uniques": lambda: self.uniques(fields), "text": self.text, "iqr": self.outside_fences,
+            "quartiles": self.quartiles, "mad": self.far_from_median,
+        }
+        for base in dict.fromkeys(_FROM[n] for n in names if n in _FROM):
+            wanted = [n for n in names if _FROM.get(n) == base]
+            made = self.table.attach(made, bases[base]().select(*self.keys, *wanted), "slot", how="left")
+        made = made.fillna(0, [n for n in names if n in _ZERO_WITHOUT_VALUES])
+        return made.select(*self.keys, *dict.fromkeys(names))
+
+    # What the detectors say of a row of facts, in SQL, with the facts each one needs.
+
+    @property
+    def flags(self) -> dict[str, tuple[tuple[str, ...], str]]:
+        t, table = self.thresholds, self.table
+        name = table.names()
+        whole_range = "cast(high_whole as decimal(38,0)) - cast(low_whole as decimal(38,0)) + 1"
+        # All values integral, all distinct, and as many as the range is long.
+        gapless = (
+            "coalesce(integral and uniques = filled and "
+            f"if(low_whole is not null, {whole_range} = filled, high - low + 1 = filled), false)"
+        )
+        unique = f"uniques / nullif(rows, 0) >= {t.high_cardinality}D and uniques >= {t.min_unique}"
+        by_kind = f"({id_name_sql(name)} or not {table.among(table.numeric)} or {gapless})"
+        quantity = " or ".join(f"contains(lower({name}), {quoted(k)})" for k in NONNEGATIVE_KEYWORDS)
+        run = ("filled", "uniques", "integral", "low", "high", "low_whole", "high_whole")
+        variants = [f for f in table.fields if f.kind == VARIANT]
+        return {
+            "missingness": (("missing", "rows"), f"{PERCENTAGE} > {t.missing_percentage}D"),
+            "constant": (("uniques",), "uniques <= 1"),
+            "near_constant": (("uniques", "top", "filled"), f"uniques > 1 and top / filled >= {t.near_constant}D"),
+            "possible_target": (("rows",), target_name_sql(name)),
+            "gapless": (run, gapless),
+            "id_like": ((*run, "rows"), f"({unique}) and {by_kind}"),
+            "date_like": (("dates", "filled"), f"dates / nullif(filled, 0) >= {t.date_ratio}D"),
+            "mixed_type": (("variant_types",), f"{table.among(variants)} and variant_types > 1"),
+            "negative": (("negatives",), f"negatives > 0 and ({quantity})"),
+            "skewed": (("filled", "low", "high", "skew"), f"abs({SKEWNESS}) > {t.skewness}D"),
+            "shaped": (("filled",), f"filled >= 3 and {table.among(table.numeric)}"),
+        }
+
+    def flagged(self, flag: str, *names: str, fields: list[Field] | None = None) -> DataFrame:
+        """The facts of the columns a detector hits."""
+        needs, hit = self.flags[flag]
+        return self.facts(*dict.fromkeys((*needs, *names)), fields=fields).where(hit)
+
+    # Gathering ----------------------------------------------------------------------------
 
     def gather(self) -> Profile:
         """Compute every base once; the operators then only combine small tables.
@@ -192,44 +262,37 @@ class Profile:
         The bases do not depend on each other, so their jobs are submitted together and share the
         executors.
         """
-        if self._gathered:
+        if self.gathered:
             return self
-        self._gathered = True
-        # The two frequency tables come first in line: the most work hangs on them.
-        def numeric_chain() -> None:
-            self.quartiles()
-            self.outside("iqr")
-            self.outside("mad")
-
-        chains = [
-            numeric_chain, self.text, self.duplicates, lambda: self.stats("rows"),
-            self.correlations, self.equal_pairs,
-        ]
-        if self.mode == "exact":
-            self.value_counts()
-        with ThreadPoolExecutor(len(chains)) as pool:
-            for done in [pool.submit(c) for c in chains]:
-                done.result()
-        self.distinct()
-        return self
+        self.gathered = True
 
-    # Derived per-column facts -------------------------------------------------------------
+        def numeric() -> None:
+            if self.table.numeric:
+                self.outside_fences()
+                self.far_from_median()
 
-    def columns(self, *measures: str) -> DataFrame:
-        """(groups, slot, measures..., distinct, top): every column of every group has a row."""
-        counted = self.distinct().select(*self.table.groups, "slot", "distinct", "top")
-        joined = self.table.attach(self.stats(*dict.fromkeys(("rows", "filled", *measures))), counted, "slot", how="left")
-        return joined.fillna(0, ["distinct", "top"])
+        def measured() -> None:
+            self._pinned("stats", lambda: stats.column_stats(self.table, stats.MEASURES))
 
-    def outlier_counts(self, method: str) -> DataFrame:
-        """(groups, slot, outliers): every numeric column of every group has a row."""
-        numeric = [f.slot for f in self.table.numeric]
-        if self._gathered:
-            every = self.stats("filled").where(F.col("slot").isin(numeric))
-        else:
-            every = stats.column_stats(self.table, ["filled"], self.table.numeric)
-        joined = self.table.attach(every, self.outside(method).select(*self.table.groups, "slot", "outliers"), "slot", how="left")
-        return joined.fillna(0, ["outliers"])
+        chains = [numeric, self.text, self.duplicates, measured, self.correlations, self.equal_pairs]
+        with ThreadPoolExecutor(len(chains)) as pool:
+            for chain in [pool.submit(c) for c in chains]:
+                chain.result()
+        self.facts()
+        return self
 
     def union(self, parts: Sequence[DataFrame]) -> DataFrame:
         return reduce(DataFrame.unionByName, parts)
+
+
+# Bias-corrected sample skewness and excess kurtosis from the population moments, three decimals.
+# A column of one value has a shape of 0, and three values have no kurtosis.
+SKEWNESS = "round({}, 3)".format(
+    finite_sql("if(low = high, 0D, skew * try_divide(sqrt(double(filled) * (filled - 1)), filled - 2))")
+)
+KURTOSIS = "round({}, 3)".format(
+    finite_sql(
+        "case when filled < 4 then null when low = high then 0D else "
+        "try_divide(filled - 1, double(filled - 2) * (filled - 3)) * ((filled + 1) * kurt + 6) end"
+    )
+)

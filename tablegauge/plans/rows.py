@@ -3,29 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from .stats import aggregate
 from .table import Table
 
 
 def duplicate_rows(table: Table) -> DataFrame:
-    """(groups, duplicates): rows equal to another row of their group, less one per set of equals.
+    """(groups, rows, duplicates): rows equal to another one of their group, less one per set of equals.
 
     A row whose 64-bit key occurs once has no equal. The rows of repeated keys are then counted by
     their full values, so a collision of the hash cannot count as a duplicate. Both counts combine
     before their shuffle: one row copied a billion times costs no more than any other.
     """
-    rows_per_group = table.df.groupBy(*table.groups).agg(F.count(F.lit(1)).alias("rows"))
+    per_group = aggregate(table.df, table.groups, ["count(1) as rows"])
     if not table.fields:
-        return rows_per_group.select(*table.groups, F.lit(0).cast("bigint").alias("duplicates"), "rows")
-    cells = [f.comparable.alias(f"c{f.slot}") for f in table.fields]
+        return per_group.selectExpr(*table.groups, "rows", "cast(0 as bigint) as duplicates")
+    cells = [f.sql for f in table.fields]
     # Null is skipped by the hash: its place must enter as well.
-    hashed = F.xxhash64(*[F.col(g) for g in table.groups], *[x for f in table.fields for x in (f.comparable, f.col.isNull())])
-    keyed = table.df.select(*table.groups, *cells, hashed.alias("row_key"))
-    repeated = keyed.groupBy("row_key").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1").select("row_key")
+    parts = ", ".join([*table.groups, *[f"{c}, {c} is null" for c in cells]])
+    keyed = table.df.selectExpr(*table.groups, *[f"{f.comparable} as {f.sql}" for f in table.fields]).selectExpr(
+        "*", f"xxhash64({parts}) as row_key"
+    )
+    repeated = aggregate(keyed, ["row_key"], ["count(1) as cnt"]).where("cnt > 1").select("row_key")
     suspects = keyed.join(repeated, "row_key", "left_semi")
-    names = [f"c{f.slot}" for f in table.fields]
-    copies = suspects.groupBy(*table.groups, *names).agg(F.count(F.lit(1)).alias("cnt"))
-    surplus = copies.groupBy(*table.groups).agg(F.sum(F.col("cnt") - 1).alias("duplicates"))
-    joined = table.attach(rows_per_group, surplus, how="left")
-    return joined.select(*table.groups, F.coalesce("duplicates", F.lit(0)).cast("bigint").alias("duplicates"), "rows")
+    copies = aggregate(suspects, [*table.groups, *cells], ["count(1) as cnt"])
+    surplus = aggregate(copies, table.groups, ["sum(cnt - 1) as surplus"])
+    joined = table.attach(per_group, surplus, how="left")
+    return joined.selectExpr(*table.groups, "rows", "coalesce(surplus, 0) as duplicates")

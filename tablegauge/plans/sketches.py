@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from .stats import aggregate
 from .table import Table
 
 # Rank error of a sketch of this size is about 0.1 %.
@@ -17,11 +17,10 @@ FIRST_MERGE = 256
 def approximate_order_statistics(table: Table, cells: DataFrame, order: str, shares: Sequence[float]) -> DataFrame:
     """(groups, slot, n, at_0, at_1, ...) like the exact form, from one scan without a full shuffle."""
     keys = [*table.groups, "slot"]
-    k = F.lit(SKETCH_SIZE)
-    salted = cells.withColumn("salt", F.spark_partition_id() % FIRST_MERGE)
-    partial = salted.groupBy(*keys, "salt").agg(
-        F.kll_sketch_agg_double(order, k).alias("sketch"), F.count(order).alias("n")
+    salted = cells.selectExpr("*", f"spark_partition_id() % {FIRST_MERGE} as salt")
+    partial = aggregate(
+        salted, [*keys, "salt"], [f"kll_sketch_agg_double({order}, {SKETCH_SIZE}) as sketch", f"count({order}) as n"]
     )
-    merged = partial.groupBy(*keys).agg(F.kll_merge_agg_double("sketch", k).alias("sketch"), F.sum("n").alias("n"))
-    at = [F.kll_sketch_get_quantile_double("sketch", F.lit(float(s))).alias(f"at_{i}") for i, s in enumerate(shares)]
-    return merged.select(*keys, "n", *at)
+    merged = aggregate(partial, keys, [f"kll_merge_agg_double(sketch, {SKETCH_SIZE}) as sketch", "sum(n) as n"])
+    at = [f"kll_sketch_get_quantile_double(sketch, {s}D) as at_{i}" for i, s in enumerate(shares)]
+    return merged.selectExpr(*keys, "n", *at)

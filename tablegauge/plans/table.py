@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +33,11 @@ def _kind(data_type: T.DataType) -> str:
     return OTHER
 
 
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 @dataclass(frozen=True)
 class Field:
     """One profiled column. ``slot`` is its position; in plans the column is called ``c<slot>``."""
@@ -50,12 +55,13 @@ class Field:
         return self.kind in NUMERIC_KINDS
 
     @property
-    def col(self) -> Column:
-        return F.col(f"c{self.slot}")
+    def sql(self) -> str:
+        return f"c{self.slot}"
 
     @property
-    def number(self) -> Column:
-        return self.col.cast("double")
+    def number(self) -> str:
+        """The column as a double, in SQL."""
+        return self.sql if isinstance(self.data_type, T.DoubleType) else f"cast({self.sql} as double)"
 
     @property
     def width(self) -> int | None:
@@ -64,57 +70,52 @@ class Field:
         return _WIDTHS.get(type(self.data_type))
 
     @property
-    def comparable(self) -> Column:
+    def comparable(self) -> str:
         """The column in a form that can be compared and hashed (maps and variants cannot)."""
-        if isinstance(self.data_type, (T.MapType, T.VariantType)):
-            return F.to_json(self.col)
-        return self.col
+        return f"to_json({self.sql})" if isinstance(self.data_type, (T.MapType, T.VariantType)) else self.sql
 
     @property
-    def key_text(self) -> Column:
+    def key_text(self) -> str:
         """A text that is equal exactly when two values are equal."""
-        if self.kind in (TEXT, DECIMAL) or self.width is not None:
-            return self.col.cast("string")
         if isinstance(self.data_type, T.BinaryType):
-            return F.hex(self.col)
+            return f"hex({self.sql})"
         if isinstance(self.data_type, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
-            return F.to_json(self.col)
-        return self.col.cast("string")
+            return f"to_json({self.sql})"
+        return f"cast({self.sql} as string)"
 
 
 class Table:
-    """The profiled columns of a DataFrame under neutral names, plus the grouping columns.
+    """The profiled columns of a DataFrame under neutral names, plus the groups.
 
-    Columns are renamed to ``c0..cn`` and groups to ``g0..gk``, so that no name of the user's
-    table can clash with a name used in a plan. NaN counts as missing from here on.
+    Columns are renamed to ``c0..cn``, and all group columns together become one struct ``g``, so
+    that no name of the user's table can clash with a name used in a plan, and a group whose key
+    is null is a group like any other. NaN counts as missing from here on.
     """
 
     def __init__(self, df: DataFrame, group_cols: Sequence[str] = (), columns: Sequence[str] | None = None):
         self.spark = df.sparkSession
         self.group_cols = tuple(group_cols)
         schema = df.schema.fields
-        by_name = {f.name: i for i, f in enumerate(schema)}
-        missing = [c for c in (*self.group_cols, *(columns or ())) if c not in by_name]
-        if missing:
-            raise ValueError(f"no such column: {', '.join(missing)}")
+        position = {f.name: i for i, f in enumerate(schema)}
+        unknown = [c for c in (*self.group_cols, *(columns or ())) if c not in position]
+        if unknown:
+            raise ValueError(f"no such column: {', '.join(unknown)}")
         wanted = set(columns) if columns is not None else None
         profiled = [
             i for i, f in enumerate(schema)
             if f.name not in self.group_cols and (wanted is None or f.name in wanted)
         ]
         self.fields = [Field(slot, schema[i].name, schema[i].dataType) for slot, i in enumerate(profiled)]
-        self.groups = [f"g{i}" for i in range(len(self.group_cols))]
-
-        raw = df.toDF(*[f"r{i}" for i in range(len(schema))])
-        keys = [F.col(f"r{by_name[c]}").alias(g) for g, c in zip(self.groups, self.group_cols)]
-        cells = [self._clean(F.col(f"r{i}"), schema[i].dataType).alias(f"c{slot}") for slot, i in enumerate(profiled)]
-        self.df = raw.select(*keys, *cells)
+        self.groups = ["g"] if self.group_cols else []
 
-    @staticmethod
-    def _clean(col: Column, data_type: T.DataType) -> Column:
-        if isinstance(data_type, (T.FloatType, T.DoubleType)):
-            return F.when(~F.isnan(col), col)
-        return col
+        select = []
+        if self.groups:
+            keys = ", ".join(f"r{position[c]} as k{n}" for n, c in enumerate(self.group_cols))
+            select.append(f"struct({keys}) as g")
+        for slot, i in enumerate(profiled):
+            floating = isinstance(schema[i].dataType, (T.FloatType, T.DoubleType))
+            select.append(f"if(isnan(r{i}), null, r{i}) as c{slot}" if floating else f"r{i} as c{slot}")
+        self.df = df.toDF(*[f"r{i}" for i in range(len(schema))]).selectExpr(*select)
 
     @property
     def numeric(self) -> list[Field]:
@@ -124,46 +125,43 @@ class Table:
     def textual(self) -> list[Field]:
         return [f for f in self.fields if f.kind == TEXT]
 
-    def name_of(self, slot: Column) -> Column:
-        """Column name of a slot number (the schema as a literal array)."""
-        return self.per_field(slot, [f.name for f in self.fields])
+    def names(self, slot: str = "slot") -> str:
+        """Column name of a slot number, in SQL: the schema as a literal array."""
+        return self.per_field([f.name for f in self.fields], slot)
 
-    @property
-    def types(self) -> list[str]:
-        return [f.data_type.simpleString() for f in self.fields]
+    def types(self, slot: str = "slot") -> str:
+        return self.per_field([f.data_type.simpleString() for f in self.fields], slot)
 
-    def per_field(self, slot: Column, texts: list[str]) -> Column:
+    def per_field(self, texts: list[str], slot: str = "slot") -> str:
         """The text of a slot number, from one text per column."""
         if not texts:
-            return F.lit(None).cast("string")
-        return F.element_at(F.array(*map(F.lit, texts)), slot + 1)
+            return "cast(null as string)"
+        return f"element_at(array({', '.join(map(quoted, texts))}), {slot} + 1)"
+
+    def among(self, fields: Iterable[Field], slot: str = "slot") -> str:
+        """Whether a slot number belongs to one of the fields, in SQL."""
+        slots = ", ".join(str(f.slot) for f in fields)
+        return f"{slot} in ({slots})" if slots else "false"
 
-    def present(self, df: DataFrame, *cols: Column | str) -> DataFrame:
+    def present(self, df: DataFrame, *expressions: str) -> DataFrame:
         """Result columns behind the group columns under their own names."""
-        keys = [F.col(g).alias(c) for g, c in zip(self.groups, self.group_cols)]
-        return df.select(*keys, *cols)
+        keys = [F.col(f"g.k{n}").alias(c) for n, c in enumerate(self.group_cols)]
+        return df.select(*keys, *map(F.expr, expressions))
 
     def empty(self, ddl: str) -> DataFrame:
-        """An empty table with this table's (neutral) group columns in front."""
-        types = dict(self.df.dtypes)
-        keys = "".join(f"{g} {types[g]}, " for g in self.groups)
-        return self.spark.createDataFrame([], keys + ddl)
+        """An empty table with the groups in front."""
+        key = f"g {self.df.schema['g'].dataType.simpleString()}, " if self.groups else ""
+        return self.spark.createDataFrame([], key + ddl)
 
     def attach(self, left: DataFrame, right: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
-        """Join per-column figures to ``left`` on the groups and ``keys``.
+        """Join per-column (or per-group) figures to ``left`` on the groups and ``keys``.
 
         Without groups the right side has a row per column at most, which the schema bounds, so it
         is broadcast. With groups its size follows the data: no hint, adaptive execution measures
         it and broadcasts only below its threshold, and splits a skewed group otherwise.
         """
-        on = [*self.groups, *keys]
-        renamed = right.select(
-            *[F.col(k).alias(f"_{k}") for k in on], *[F.col(c) for c in right.columns if c not in on]
-        )
+        on: list[str] | Column = [*self.groups, *keys]
         if not self.groups:
-            renamed = F.broadcast(renamed)
-        condition = F.lit(True)
-        for k in on:
-            condition = condition & left[k].eqNullSafe(renamed[f"_{k}"])
-        joined = left.join(renamed, condition, how)
-        return joined.drop(*[f"_{k}" for k in on])
+            right = F.broadcast(right)
+        # Neither groups nor keys: the figures of the whole table, one row.
+        return left.join(right, on or F.lit(True), how)

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import is_date_text, lexical_class
-from .table import DECIMAL, FLOAT, INTEGRAL, VARIANT, Field, Table
+from .stats import aggregate
+from .table import DECIMAL, FLOAT, INTEGRAL, Field, Table
 
 # Texts of this many bytes or more are represented by their SHA-256 digest (64 characters). A text
 # kept as it is has fewer bytes than a digest, so the two can never be mistaken for each other.
@@ -23,27 +24,25 @@ DIGEST_FROM = 64
 LEXICAL_CLASSES = ("integer", "decimal", "boolean", "date", "text")
 
 
-def _cells(table: Table, fields: list[Field], values: list[Column], *extra: str) -> DataFrame:
-    """Non-missing cells of columns of one type: (groups, extra, slot, value)."""
-    exploded = table.df.select(*table.groups, *extra, F.posexplode(F.array(*values)).alias("at", "value"))
-    slot = F.element_at(F.array(*[F.lit(f.slot) for f in fields]), F.col("at") + 1)
-    return exploded.where(F.col("value").isNotNull()).select(*table.groups, *extra, slot.alias("slot"), "value")
+def _cells(table: Table, fields: list[Field], values: list[str], *columns: str) -> DataFrame:
+    """Non-missing cells of columns of one type: (groups, slot, columns...)."""
+    exploded = table.df.selectExpr(*table.groups, f"posexplode(array({', '.join(values)})) as (at, cell)")
+    slots = ", ".join(str(f.slot) for f in fields)
+    return exploded.where("cell is not null").selectExpr(
+        *table.groups, f"element_at(array({slots}), at + 1) as slot", *columns
+    )
 
 
 def numeric_cells(table: Table, fields: list[Field]) -> DataFrame:
     """(groups, slot, whole, value): ``whole`` keeps integers exact, ``value`` is the double."""
     parts = []
-    for kind, data_type in ((INTEGRAL, "bigint"), (FLOAT, "double"), (DECIMAL, "double")):
+    for kind, data_type, whole in (
+        (INTEGRAL, "bigint", "cell"), (FLOAT, "double", "cast(null as bigint)"), (DECIMAL, "double", "cast(null as bigint)")
+    ):
         chosen = [f for f in fields if f.kind == kind]
-        if not chosen:
-            continue
-        cells = _cells(table, chosen, [f.col.cast(data_type) for f in chosen])
-        whole = F.col("value") if kind == INTEGRAL else F.lit(None)
-        parts.append(
-            cells.select(
-                *table.groups, "slot", whole.cast("bigint").alias("whole"), F.col("value").cast("double").alias("value")
-            )
-        )
+        if chosen:
+            values = [f"cast({f.sql} as {data_type})" for f in chosen]
+            parts.append(_cells(table, chosen, values, f"{whole} as whole", "cast(cell as double) as value"))
     if not parts:
         return table.empty("slot int, whole bigint, value double")
     return reduce(DataFrame.unionByName, parts)
@@ -51,74 +50,62 @@ def numeric_cells(table: Table, fields: list[Field]) -> DataFrame:
 
 def numeric_values(table: Table, fields: list[Field]) -> DataFrame:
     """(groups, slot, whole, value, cnt) of the numeric columns."""
-    parts = [
-        numeric_cells(table, [f for f in fields if f.kind == kind]) for kind in (INTEGRAL, FLOAT, DECIMAL)
-        if any(f.kind == kind for f in fields)
-    ]
-    if not parts:
-        return table.empty("slot int, whole bigint, value double, cnt bigint")
-    cells = reduce(DataFrame.unionByName, parts)
-    return cells.groupBy(*table.groups, "slot", "whole", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    cells = numeric_cells(table, fields)
+    return aggregate(cells, [*table.groups, "slot", "whole", "value"], ["count(1) as cnt"])
 
 
 def text_values(table: Table, fields: list[Field]) -> DataFrame:
-    """(groups, slot, value, cnt) of all other columns; ``value`` is a text or the digest of one."""
+    """(groups, slot, value, cnt) of other columns; ``value`` is a text or the digest of one."""
     if not fields:
         return table.empty("slot int, value string, cnt bigint")
     keys = []
     for f in fields:
+        fixed = f.width is not None
         text = f.key_text
-        fixed = f.width is not None or f.kind == DECIMAL
-        keys.append(text if fixed else F.when(F.octet_length(text) < DIGEST_FROM, text).otherwise(F.sha2(text, 256)))
-    cells = _cells(table, fields, keys)
-    return cells.groupBy(*table.groups, "slot", "value").agg(F.count(F.lit(1)).alias("cnt"))
+        keys.append(text if fixed else f"if(octet_length({text}) < {DIGEST_FROM}, {text}, sha2({text}, 256))")
+    cells = _cells(table, fields, keys, "cell as value")
+    return aggregate(cells, [*table.groups, "slot", "value"], ["count(1) as cnt"])
 
 
 def distinct_from(table: Table, values: DataFrame) -> DataFrame:
-    """(groups, slot, distinct, top, filled) from frequencies."""
-    return values.groupBy(*table.groups, "slot").agg(
-        F.count(F.lit(1)).alias("distinct"), F.max("cnt").alias("top"), F.sum("cnt").alias("filled")
-    )
-
-
-def counted_by_text(f: Field) -> bool:
-    """Whether distinct values are counted by text: decimals are, for doubles would merge them."""
-    return f.kind not in (INTEGRAL, FLOAT)
+    """(groups, slot, uniques, top) from frequencies."""
+    return aggregate(values, [*table.groups, "slot"], ["count(1) as uniques", "max(cnt) as top"])
 
 
 def distinct_stats(table: Table, fields: list[Field], numeric: DataFrame | None = None) -> DataFrame:
-    """Distinct and most frequent values per column. ``numeric`` may pass known frequencies.
+    """Distinct values per column and the count of the most frequent one.
 
-    A column without any value has no row here.
+    ``numeric`` may pass known frequencies. A column without any value has no row here. Decimals
+    are counted by their text, for as doubles some would be merged.
     """
-    by_number = [f for f in fields if not counted_by_text(f)]
-    by_text = [f for f in fields if counted_by_text(f)]
+    by_number = [f for f in fields if f.kind in (INTEGRAL, FLOAT)]
+    by_text = [f for f in fields if f.kind not in (INTEGRAL, FLOAT)]
     parts = []
     if by_number:
-        known = numeric_values(table, by_number) if numeric is None else numeric.where(
-            F.col("slot").isin([f.slot for f in by_number])
-        )
+        known = numeric_values(table, by_number) if numeric is None else numeric.where(table.among(by_number))
         parts.append(distinct_from(table, known))
     if by_text:
         parts.append(distinct_from(table, text_values(table, by_text)))
     if not parts:
-        return table.empty("slot int, distinct bigint, top bigint, filled bigint")
+        return table.empty("slot int, uniques bigint, top bigint")
     return reduce(DataFrame.unionByName, parts)
 
 
 def lexical_stats(table: Table, fields: list[Field]) -> DataFrame:
-    """(groups, slot, distinct, top, filled, dates, one count per lexical class) of text columns.
+    """(groups, slot, uniques, top, dates, one count per lexical class) of text columns.
 
     The patterns run once per distinct value. A digest stands for a text too long to be a number
     or a date, and is itself too long, so it is classed as text like the text it stands for.
     """
     dated = text_values(table, fields).withColumn("is_date", is_date_text(F.col("value")))
     classed = dated.withColumn("class", lexical_class(F.col("value"), F.col("is_date")))
-    return classed.groupBy(*table.groups, "slot").agg(
-        F.count(F.lit(1)).alias("distinct"),
-        F.max("cnt").alias("top"),
-        F.sum("cnt").alias("filled"),
-        # More than the class "date": years and packed days are integers by shape.
-        F.coalesce(F.sum(F.when(F.col("is_date"), F.col("cnt"))), F.lit(0)).alias("dates"),
-        *[F.coalesce(F.sum(F.when(F.col("class") == c, F.col("cnt"))), F.lit(0)).alias(f"n_{c}") for c in LEXICAL_CLASSES],
+    return aggregate(
+        classed, [*table.groups, "slot"],
+        [
+            "count(1) as uniques",
+            "max(cnt) as top",
+            # More than the class "date": years and packed days are integers by shape.
+            "sum(if(is_date, cnt, 0)) as dates",
+            *[f"sum(if(class = '{c}', cnt, 0)) as n_{c}" for c in LEXICAL_CLASSES],
+        ],
     )

@@ -13,6 +13,7 @@ def local_session(cores: int | None = None, memory: str = "8g") -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tablegauge")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
