@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,9 +70,14 @@ def profile_tables(source, outlier_method: str = "mad", **options) -> dict[str,
 
 def write_profile(source, folder: str, run: str, outlier_method: str = "mad", **options) -> None:
     """Write every section under ``folder``, partitioned by run, so that runs add up to a history."""
-    for name, df in profile_tables(source, outlier_method, **options).items():
+    def write(name: str, df: DataFrame) -> None:
         df.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(f"{folder}/{name}")
 
+    tables = profile_tables(source, outlier_method, **options)
+    with ThreadPoolExecutor(8) as pool:
+        for written in [pool.submit(write, name, df) for name, df in tables.items()]:
+            written.result()
+
 
 def _sections(p: Profile) -> dict[str, str]:
     """The sections made from the columns of a group, in SQL over the sorted array ``cols``."""

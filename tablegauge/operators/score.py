@@ -6,7 +6,7 @@ group where there are groups.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 
@@ -18,81 +18,77 @@ from ..plans.table import quoted
 from .numeric import correlated
 
 
-def _of_columns(p: Profile, facts: tuple[str, ...], *figures: str) -> DataFrame:
-    return aggregate(p.facts(*facts), p.table.groups, list(figures))
-
-
-def _hits(p: Profile, flag: str) -> DataFrame:
-    needs, hit = p.flags[flag]
-    return _of_columns(p, needs, f"count_if({hit}) as hits")
-
-
-def _counted(p: Profile, pairs: DataFrame) -> DataFrame:
-    return aggregate(pairs, p.table.groups, ["count(1) as hits"])
-
-
-def _missing(p: Profile) -> DataFrame:
-    # The worst column counts most; the average of all columns still registers.
-    return _of_columns(p, ("missing", "rows"), f"0.7D * (max({PERCENTAGE}) / 100) + 0.3D * (avg({PERCENTAGE}) / 100) as part")
-
-
-def _outliers(p: Profile) -> DataFrame:
-    # Always by distance from the median.
-    figures = "try_divide(sum(outliers_mad), sum(filled)) * 100 as part"
-    return aggregate(p.facts("outliers_mad", "filled", fields=p.table.numeric), p.table.groups, [figures])
-
-
-def _skewed(p: Profile) -> DataFrame:
-    shaped, skewed = (p.flags[f][1] for f in ("shaped", "skewed"))
-    needs = ("filled", "low", "high", "skew")
-    figures = f"try_divide(count_if({shaped} and {skewed}), count_if({shaped})) * 2 as part"
-    return aggregate(p.facts(*needs, fields=p.table.numeric), p.table.groups, [figures])
+def _figures(p: Profile) -> dict[str, tuple[tuple[str, ...], str]]:
+    """category -> (facts it needs, points before the cap as an aggregate over the columns)."""
+    flags, numeric = p.flags, p.table.among(p.table.numeric)
+    shaped, skewed = flags["shaped"][1], flags["skewed"][1]
+    caps = DEDUCTION_CAPS
+
+    def each(flag: str, points: str) -> tuple[tuple[str, ...], str]:
+        needs, hit = flags[flag]
+        return needs, f"count_if({hit}) * {points}"
+
+    return {
+        # The worst column counts most; the average of all columns still registers.
+        "missing_values": (
+            ("missing", "rows"),
+            f"(0.7D * (max({PERCENTAGE}) / 100) + 0.3D * (avg({PERCENTAGE}) / 100)) * {caps['missing_values']}",
+        ),
+        # Always by distance from the median. One outlier in a hundred cells costs all points.
+        "outliers": (
+            ("outliers_mad", "filled"),
+            f"try_divide(sum(outliers_mad), sum(if({numeric}, filled, 0))) * 100 * {caps['outliers']}",
+        ),
+        "constant_columns": each("constant", "3"),
+        "mixed_type_columns": each("mixed_type", "2.5D"),
+        "negative_values": each("negative", "2.5D"),
+        # Half of the numeric columns skewed costs all points.
+        "skewed_distributions": (
+            flags["skewed"][0],
+            f"try_divide(count_if({shaped} and {skewed}), count_if({shaped})) * 2 * {caps['skewed_distributions']}",
+        ),
+    }
 
 
-# category -> (figures per group, points in SQL before the cap). ``part`` is a share of the cap.
-_CATEGORIES: dict[str, tuple[Callable[[Profile], DataFrame], str]] = {
-    "missing_values": (_missing, "part * cap"),
-    "duplicate_rows": (
-        lambda p: p.duplicates().selectExpr(*p.table.groups, "try_divide(duplicates, rows) as part"), "part * cap",
-    ),
-    # One outlier in a hundred cells costs all points.
-    "outliers": (_outliers, "part * cap"),
-    "duplicate_columns": (lambda p: _counted(p, p.equal_pairs()), "hits * 3"),
-    "constant_columns": (lambda p: _hits(p, "constant"), "hits * 3"),
-    "mixed_type_columns": (lambda p: _hits(p, "mixed_type"), "hits * 2.5D"),
-    "negative_values": (lambda p: _hits(p, "negative"), "hits * 2.5D"),
-    # Half of the numeric columns skewed costs all points.
-    "skewed_distributions": (_skewed, "part * cap"),
-    "correlated_columns": (lambda p: _counted(p, correlated(p)), "hits"),
-}
+def _points(p: Profile, categories: Iterable[str], groups: DataFrame) -> DataFrame:
+    """(groups, category, points): one row per group and category, one decimal, half to even.
 
-
-def _points(p: Profile, category: str, groups: DataFrame) -> DataFrame:
-    """(groups, category, points): one row per group, one decimal, half to even."""
-    label = f"{quoted(category)} as category"
-    if not p.table.fields:
-        return groups.selectExpr(*p.table.groups, label, "0D as points")
-    build, points = _CATEGORIES[category]
-    cap = DEDUCTION_CAPS[category]
-    # Where a group has no figures, it has no deduction.
-    figures = p.table.attach(groups.select(*p.table.groups, "rows"), build(p), how="left")
-    raw = points.replace("cap", f"{cap}D")
-    return figures.selectExpr(
-        *p.table.groups, label, f"bround(least({cap}D, coalesce(cast({raw} as double), 0D)), 1) as points"
-    )
+    ``groups`` has a row per group, with ``rows``. Where a group has no figures, it has no deduction.
+    """
+    keys, figures = p.table.groups, _figures(p)
+    categories = list(categories) if p.table.fields else []
+    made = groups.select(*keys, "rows")
+    of_columns = [c for c in categories if c in figures]
+    if of_columns:
+        needs = dict.fromkeys(n for c in of_columns for n in figures[c][0])
+        costs = aggregate(p.facts(*needs), keys, [f"{figures[c][1]} as {c}" for c in of_columns])
+        made = p.table.attach(made, costs, how="left")
+    if "duplicate_rows" in categories:
+        share = f"try_divide(duplicates, rows) * {DEDUCTION_CAPS['duplicate_rows']} as duplicate_rows"
+        made = p.table.attach(made, p.duplicates().selectExpr(*keys, share), how="left")
+    for category, pairs, points in (
+        ("duplicate_columns", p.equal_pairs, 3), ("correlated_columns", lambda: correlated(p), 1)
+    ):
+        if category in categories:
+            made = p.table.attach(made, aggregate(pairs(), keys, [f"count(1) * {points} as {category}"]), how="left")
+    rows = [
+        f"struct({quoted(c)} as category, bround(least({DEDUCTION_CAPS[c]}D, coalesce(cast({c} as double), 0D)), 1) as points)"
+        for c in categories
+    ] or [f"struct({quoted(c)} as category, 0D as points)" for c in DEDUCTION_CAPS]
+    return made.selectExpr(*keys, f"inline(array({', '.join(rows)}))")
 
 
 def deduction(source, category: str, **options) -> DataFrame:
     """(category, points) of one category, from only the bases it needs."""
     p = Profile.of(source, **options)
     groups = aggregate(p.table.df, p.table.groups, ["count(1) as rows"])
-    return p.table.present(_points(p, category, groups), "category", "points")
+    return p.table.present(_points(p, [category], groups).where(f"category = {quoted(category)}"), "category", "points")
 
 
 def all_points(p: Profile) -> DataFrame:
     """(groups, category, points) of every category."""
     p.gather()
-    return p._small("points", lambda: p.union([_points(p, c, p.duplicates()) for c in DEDUCTION_CAPS]))
+    return p.small("points", lambda: _points(p, DEDUCTION_CAPS, p.duplicates()))
 
 
 def scored(p: Profile) -> DataFrame:

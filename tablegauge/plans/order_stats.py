@@ -2,9 +2,9 @@
 
 ``percentile`` keeps all distinct values of a column in one map on one task, and a window over a
 column sorts it in one task. Here the frequencies are range-partitioned by (group, column, value),
-which splits a large column, or a hot group, over many tasks, and written with the number of the
-range. The count per range says in which range each wanted rank lies; only those ranges are
-ordered, each on its own.
+which splits a large column, or a hot group, over many tasks, sorted within its range, and written
+with the number of the block of consecutive rows it lies in. The count per block says in which
+block each wanted rank lies; only those blocks are looked into, each on its own.
 """
 
 from __future__ import annotations
@@ -12,49 +12,54 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .staging import Staging
 from .stats import aggregate
 from .table import Table
 
 
+# Rows per block, as a power of two.
+BLOCK_BITS = 14
+
+
 def write_ranges(table: Table, values: DataFrame, order: str, staging: Staging, name: str) -> DataFrame:
-    """``values`` range-partitioned and sorted by (groups, slot, order), with the range number.
+    """``values`` range-partitioned and sorted by (groups, slot, order), with the number of the block.
+
+    The row number of a sorted partition, without its last bits, numbers the blocks in order.
 
     It must be a written table: the range limits come from a sample, so a second computation
     could cut the ranges elsewhere.
     """
     keys = [*table.groups, "slot", order]
     ranged = values.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    return staging.write(ranged.withColumn("part", F.spark_partition_id()), name)
+    return staging.write(ranged.selectExpr("*", f"shiftright(monotonically_increasing_id(), {BLOCK_BITS}) as block"), name)
 
 
 def order_statistics(table: Table, ranges: DataFrame, order: str, shares: Sequence[float]) -> DataFrame:
     """(groups, slot, n, at_0, at_1, ...): linearly interpolated quantiles of ``order``."""
     keys = [*table.groups, "slot"]
     by = ", ".join(keys)
-    counts = aggregate(ranges, [*keys, "part"], ["sum(cnt) as inside"]).selectExpr(
-        *keys, "part",
-        f"sum(inside) over (partition by {by} order by part rows unbounded preceding) - inside as before",
+    counts = aggregate(ranges, [*keys, "block"], ["sum(cnt) as inside"]).selectExpr(
+        *keys, "block",
+        f"sum(inside) over (partition by {by} order by block rows unbounded preceding) - inside as before",
         "inside",
         f"sum(inside) over (partition by {by}) as n",
     )
-    # Both neighbours of each wanted position, as ranks from 0; kept where the rank is in the range.
+    # Both neighbours of each wanted position, as ranks from 0; kept where the rank is in the block.
     ranks = []
     for share in shares:
         below = f"cast(floor((n - 1) * {share}D) as bigint)"
         ranks += [below, f"least({below} + 1, n - 1)"]
     wanted = [f"t{w}" for w in range(len(ranks))]
     located = counts.selectExpr(
-        *keys, "part", "n", "before",
+        *keys, "block", "n", "before",
         *[f"if({r} >= before and {r} < before + inside, {r}, null) as {t}" for r, t in zip(ranks, wanted)],
     ).where(f"coalesce({', '.join(wanted)}) is not null")
 
-    hit = table.attach(ranges.select(*keys, "part", order, "cnt"), located, "slot", "part")
+    hit = table.attach(ranges.select(*keys, "block", order, "cnt"), located, "slot", "block")
     ordered = hit.selectExpr(
         *keys, "n", *wanted, order, "cnt",
-        f"before + sum(cnt) over (partition by {by}, part order by {order} rows unbounded preceding) as upto",
+        f"before + sum(cnt) over (partition by {by}, block order by {order} rows unbounded preceding) as upto",
     )
     picks = [
         f"max(if({t} < upto and {t} >= upto - cnt, {order}, null)) as v{w}" for w, t in enumerate(wanted)

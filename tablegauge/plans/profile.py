@@ -81,7 +81,7 @@ class Profile:
             self._known[name] = self.staging.pin(build(), name, bounded=not self.table.groups)
         return self._known[name]
 
-    def _small(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def small(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A small base: computed once while gathering, else a part of the plan that asks for it."""
         return self._pinned(name, build) if self.gathered or name in self._known else build()
 
@@ -92,11 +92,12 @@ class Profile:
         return values.numeric_cells(self.table, self.table.numeric).selectExpr("*", "cast(1 as bigint) as cnt")
 
     def value_counts(self) -> DataFrame:
-        """(groups, slot, whole, value, cnt) of the numeric columns, sorted in ranges and written."""
+        """(groups, slot, value, cnt) of the numeric columns, sorted in ranges and written."""
         if self.mode == "approx":
             return self.cells()
         if "ranges" not in self._known:
-            counted = values.numeric_values(self.table, self.table.numeric)
+            # Two integers beyond 2^53 may have the same double: they stay two rows, as two values.
+            counted = values.numeric_values(self.table, self.table.numeric).drop("whole")
             self._known["ranges"] = write_ranges(self.table, counted, "value", self.staging, "ranges")
         return self._known["ranges"]
 
@@ -112,7 +113,7 @@ class Profile:
                 f"{not_nan_sql(f'at_0 - {reach}')} as lower", f"{not_nan_sql(f'at_2 + {reach}')} as upper",
             )
 
-        return self._small("quartiles", build)
+        return self.small("quartiles", build)
 
     def deviations(self) -> DataFrame:
         """(groups, slot, median, mad): the median and the median distance from it."""
@@ -131,7 +132,7 @@ class Profile:
                 found = order_statistics(self.table, self._known["distances"], "distance", (0.5,))
             return self.table.attach(centre, found.selectExpr(*self.keys, "at_0 as mad"), "slot", how="left")
 
-        return self._small("deviations", build)
+        return self.small("deviations", build)
 
     def outside_fences(self) -> DataFrame:
         """(groups, slot, outliers_iqr, whisker_low, whisker_high) of columns that have values."""
@@ -145,7 +146,7 @@ class Profile:
                 f"coalesce(max(if({near}, value, null)), max(value)) as whisker_high",
             ])
 
-        return self._small("iqr", build)
+        return self.small("iqr", build)
 
     def far_from_median(self) -> DataFrame:
         """(groups, slot, outliers_mad) of columns that have values."""
@@ -156,13 +157,13 @@ class Profile:
             z = not_nan_sql(f"abs(try_divide({t.mad_z_constant}D * (value - median), mad))")
             return aggregate(scored, self.keys, [f"sum(if({z} > {t.mad_outlier}D, cnt, 0)) as outliers_mad"])
 
-        return self._small("mad", build)
+        return self.small("mad", build)
 
     # Other bases --------------------------------------------------------------------------
 
     def text(self, fields: list[Field] | None = None) -> DataFrame:
         """(groups, slot, uniques, top, dates, n_integer, ...) of the text columns."""
-        return self._small("text", lambda: values.lexical_stats(self.table, self.table.textual))
+        return self.small("text", lambda: values.lexical_stats(self.table, self.table.textual))
 
     def uniques(self, fields: list[Field]) -> DataFrame:
         """(groups, slot, uniques, top) of columns that have values."""
@@ -179,15 +180,15 @@ class Profile:
 
     def correlations(self) -> DataFrame:
         """(groups, slot_a, slot_b, value) for pairs of numeric columns."""
-        return self._small("correlations", lambda: pairs.correlations(self.table))
+        return self.small("correlations", lambda: pairs.correlations(self.table))
 
     def equal_pairs(self) -> DataFrame:
         """(groups, slot_a, slot_b) of identical columns."""
-        return self._small("equal_pairs", lambda: pairs.equal_pairs(self.table))
+        return self.small("equal_pairs", lambda: pairs.equal_pairs(self.table))
 
     def duplicates(self) -> DataFrame:
         """(groups, rows, duplicates)."""
-        return self._small("duplicates", lambda: rows.duplicate_rows(self.table))
+        return self.small("duplicates", lambda: rows.duplicate_rows(self.table))
 
     # Facts: a row per group and column ----------------------------------------------------
 
@@ -266,18 +267,24 @@ class Profile:
             return self
         self.gathered = True
 
+        def measured() -> DataFrame:
+            return self._pinned("stats", lambda: stats.column_stats(self.table, stats.MEASURES))
+
         def numeric() -> None:
+            self.outside_fences()
+            self.far_from_median()
+
+        with ThreadPoolExecutor(6) as pool:
+            counted = [pool.submit(self.value_counts), pool.submit(self.text)]
+            others = [pool.submit(f) for f in (self.duplicates, measured, self.correlations, self.equal_pairs)]
+            for done in counted:
+                done.result()
+            # These stand on the two frequency tables.
             if self.table.numeric:
-                self.outside_fences()
-                self.far_from_median()
-
-        def measured() -> None:
-            self._pinned("stats", lambda: stats.column_stats(self.table, stats.MEASURES))
-
-        chains = [numeric, self.text, self.duplicates, measured, self.correlations, self.equal_pairs]
-        with ThreadPoolExecutor(len(chains)) as pool:
-            for chain in [pool.submit(c) for c in chains]:
-                chain.result()
+                others.append(pool.submit(numeric))
+            others.append(pool.submit(self.uniques, self.table.fields))
+            for done in others:
+                done.result()
         self.facts()
         return self
 

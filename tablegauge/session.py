@@ -18,5 +18,7 @@ def local_session(cores: int | None = None, memory: str = "8g") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # A full profile compiles more generated classes than the default cache of 100 holds.
+        .config("spark.sql.codegen.cache.maxEntries", "5000")
         .getOrCreate()
     )

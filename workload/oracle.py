@@ -650,7 +650,7 @@ def oracle() -> dict[str, str]:
             "CASE o_orderstatus WHEN 'F' THEN ',' WHEN 'O' THEN ';' ELSE '|' END AS delimiter FROM orders GROUP BY o_orderstatus"
         ),
         "detect_delimiter": (
-            "SELECT p_partkey, CASE WHEN p_size > 25 THEN ';' ELSE '|' END AS delimiter, 4::BIGINT AS columns FROM part"
+            "SELECT p_partkey, CASE WHEN p_size > 40 THEN ',' WHEN p_size > 25 THEN ';' ELSE '|' END AS delimiter, 4::BIGINT AS columns FROM part"
         ),
         "generate_messy": GENERATED_ROWS,
         "profile_files": f"{MESSY} " + each(

@@ -50,7 +50,9 @@ def _messy_as_csv(spark: SparkSession, sf_dir: str) -> str:
     """The messy view as CSV files, one folder per return flag (which stays a column as well)."""
     folder = _new_folder(spark)
     table = messy(spark, sf_dir).withColumn("flag", F.col("return_flag"))
-    table.write.partitionBy("flag").option("header", True).option("escape", '"').csv(folder)
+    # White space within cells is content.
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    table.write.partitionBy("flag").options(header=True, escape='"', **kept).csv(folder)
     return folder
 
 
