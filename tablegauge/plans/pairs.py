@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from .stats import aggregate
 from .table import Field, Table
 
-CORRELATIONS_PER_SCAN = 7
+CORRELATIONS_PER_SCAN = 6
 EQUALITIES_PER_SCAN = 100
 MARKS_PER_SCAN = 50
 
@@ -39,11 +39,15 @@ def _per_pair(
 
 
 def _pearson(a: Field, b: Field) -> str:
-    """Correlation over the rows where both are present; null or 0 where either does not vary there.
+    """Correlation over the rows where both are present; null where either does not vary there.
 
-    ``corr`` divides by zero on a constant column; ``regr_r2`` does not, but loses the sign.
+    ``corr`` divides by zero on a constant column; ``regr_r2`` does not, but loses the sign. Merged
+    means can be off in the last digit, so the variance of a constant need not be zero: the ends
+    decide whether a column varies.
     """
-    return f"signum(covar_pop({a.number}, {b.number})) * sqrt(regr_r2({b.number}, {a.number}))"
+    varies = [f"min(if({y.sql} is null, null, {x.sql})) < max(if({y.sql} is null, null, {x.sql}))" for x, y in ((a, b), (b, a))]
+    r = f"signum(covar_pop({a.number}, {b.number})) * sqrt(regr_r2({b.number}, {a.number}))"
+    return f"if({' and '.join(varies)}, {r}, null)"
 
 
 def correlations(table: Table) -> DataFrame:
