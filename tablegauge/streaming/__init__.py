@@ -1,0 +1 @@
+"""Empty on purpose: a profile is a batch measurement, and nothing measured here is a stream."""
