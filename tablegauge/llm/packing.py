@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -15,12 +16,16 @@ from .shared import Work, parts_of
 
 CAPACITY = 2048
 GROUP = 16_384
-CACHED_WORDS = 300_000
+CACHED_WORDS = 1_000_000
 # Sequences with more room than this after packing are opened again and packed together.
 ROOM = 64
 END = 0
 
 _SEPARATOR = "<|startoftext|>"
+# Marks at the end of a word, behind an ASCII letter or digit; an apostrophe may begin a contraction.
+_MARKS_BEHIND = re.compile(rb"""(.*[a-z0-9])([!"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]+)""", re.S).fullmatch
+# Accents that join the letter before them are U+0300 to U+036F, so their first byte is CC or CD.
+_AS_WRITTEN = re.compile(rb"[\xcc\xcd]|<\|").search
 _TOKENIZERS: dict[str, "WordIds"] = {}
 
 
@@ -28,8 +33,10 @@ class WordIds:
     """Token ids of whole texts, from a cache of the ids of words between ASCII white space.
 
     The vocabulary drops white space and never merges across it, so a text's ids are those of its
-    words on end. Unknown words go through the tokenizer together, with a special token between
-    them; words that spell such a token go through it alone. The cache is emptied when full.
+    words on end. It ignores case; ASCII letters are lowered here unless an accent of their own may
+    follow them. It never merges letters with marks either, so the marks behind a word are looked up
+    by themselves. Unknown words go through the tokenizer together, with a special token between
+    them; words that may spell such a token go through it alone. The cache is emptied when full.
     """
 
     def __init__(self, path: str):
@@ -37,37 +44,62 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = self.tokenizer.token_to_id(_SEPARATOR)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[n for t, n in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > CACHED_WORDS:
-            self.known = {}
-        alone = [w for w in words if b"<|" in w]
-        plain = [w for w in words if b"<|" not in w]
-        for w, e in zip(alone, self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        runs = [plain[i : i + 512] for i in range(0, len(plain), 512)]
-        texts = [f" {_SEPARATOR} ".join([w.decode() for w in run]) for run in runs]
-        for run, e in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            cuts = np.flatnonzero(ids == self.separator).tolist()
-            data = ids.tobytes()
-            begin = 0
-            for w, cut in zip(run, [*cuts, len(ids)]):
+    def _encode(self, words: list[bytes]) -> None:
+        """Learn words: those of letters only are runs of ids that each close with a word end."""
+        letters, others = [], []
+        for w in words:
+            text = w.decode()
+            (letters if text.isalpha() and text.lower().isalpha() else others).append((w, text))
+        runs = [letters[i : i + 256] for i in range(0, len(letters), 256)]
+        for run, e in zip(runs, self._ids([" ".join([t for _, t in run]) for run in runs])):
+            ends = np.flatnonzero(self.closes[e]) + 1
+            if len(ends) != len(run) or ends[-1] != len(e):
+                others += run
+                continue
+            data, begin = e.tobytes(), 0
+            for (w, _), end in zip(run, (4 * ends).tolist()):
+                self.known[w] = data[begin:end]
+                begin = end
+        alone = [x for x in others if "<|" in x[1]]
+        for (w, _), e in zip(alone, self._ids([t for _, t in alone])):
+            self.known[w] = e.tobytes()
+        apart = [x for x in others if "<|" not in x[1]]
+        runs = [apart[i : i + 256] for i in range(0, len(apart), 256)]
+        for run, e in zip(runs, self._ids([f" {_SEPARATOR} ".join([t for _, t in run]) for run in runs])):
+            data, begin = e.tobytes(), 0
+            for (w, _), cut in zip(run, [*np.flatnonzero(e == self.separator).tolist(), len(e)]):
                 self.known[w] = data[4 * begin : 4 * cut]
                 begin = cut + 1
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, split, whole = self.known, [], set()
+        for w in words:
+            m = None if b"<|" in w else _MARKS_BEHIND(w)
+            if m:
+                split.append((w, *m.groups()))
+                whole.update(m.groups())
+            else:
+                whole.add(w)
+        self._encode(list(whole.difference(known)))
+        for w, stem, marks in split:
+            known[w] = known[stem] + known[marks]
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit numbers."""
-        split = [t.split() for t in texts]
-        known = self.known
-        new = {w for words in split for w in words if w not in known}
-        kept = {}
-        if new:
-            if len(known) + len(new) > CACHED_WORDS:  # what this call needs survives
-                kept = {w: known[w] for words in split for w in words if w in known}
-            self._learn(list(new))
-            self.known.update(kept)
+        split = [(t if _AS_WRITTEN(t) else t.lower()).split() for t in texts]
+        words = set().union(*split)
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > CACHED_WORDS:  # what this call needs survives
+            self.known = {w: self.known[w] for w in words.difference(new)}
+        self._learn(new)
         find = self.known.__getitem__
         return [b"".join(map(find, words)) for words in split]
 
