@@ -15,10 +15,12 @@ from .graph import components
 from .shared import Work, bytes_of, fresh, mixed, parts_of, word_hashes
 
 SHINGLE = 5
-COORDINATES = 64
-# A pair at 0.75 agrees in 48 of 64 coordinates; below 32 with a probability of 3 in a million.
-MATCHES = 32
+COORDINATES = 128
+# A pair at 0.75 agrees in 96 of 128 coordinates on average, in fewer than 76 with a probability of
+# about 3 in 100,000; a pair at 0.8 with one of 2 in a hundred million.
+MATCHES = 76
 NUMERATOR, DENOMINATOR = 75, 100
+BLOCK = 256
 
 _RANDOM = np.random.default_rng(20_240_501)
 _STEPS = _RANDOM.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -49,7 +51,7 @@ def shingle_sets(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 
 
 def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(texts, 64) coordinates and (texts, 2) digests of non-empty sets."""
+    """(texts, COORDINATES) coordinates and (texts, 2) digests of non-empty sets."""
     sizes = np.array([len(s) for s in sets])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     every = np.concatenate(sets)
@@ -97,6 +99,59 @@ def _enough_matches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pairs.loc[same.sum(axis=1) >= MATCHES, ["a", "b"]]
 
 
+def _close_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different parts, one of block p and one of block q, with enough matches."""
+    for batch in batches:
+        sides = []
+        for side in "pq":
+            lists = batch.column(side)
+            members = lists.flatten()
+            ends = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths(), dtype=np.int64))])
+            sides.append((
+                ends, members.field("node"), members.field("part").to_numpy(zero_copy_only=False), np.asarray(members.field("n_shingles")),
+                np.asarray(members.field("signature").flatten()).reshape(-1, COORDINATES),
+            ))
+        (p_ends, p_node, p_part, p_n, p_sign), (q_ends, q_node, q_part, q_n, q_sign) = sides
+        one, two = [], []
+        for r in range(len(batch)):
+            p, q = slice(p_ends[r], p_ends[r + 1]), slice(q_ends[r], q_ends[r + 1])
+            x, y = p_n[p][:, None], q_n[q][None]
+            fits = (p_part[p][:, None] != q_part[q][None]) & (DENOMINATOR * x >= NUMERATOR * y) & (DENOMINATOR * y >= NUMERATOR * x)
+            i, j = np.nonzero(fits)
+            for k in range(0, len(i), 1 << 14):
+                a, b = i[k : k + (1 << 14)] + p.start, j[k : k + (1 << 14)] + q.start
+                same = (p_sign[a] == q_sign[b]).sum(axis=1) >= MATCHES
+                one.append(a[same])
+                two.append(b[same])
+        if one:
+            a, b = p_node.take(pa.array(np.concatenate(one))), q_node.take(pa.array(np.concatenate(two)))
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+
+
+def _across_parts(lists: DataFrame, signatures: DataFrame, work: Work, id_type: str) -> DataFrame:
+    """Pairs (a, b), a < b, of members of a list (key, node, part, n_shingles) in different parts."""
+    sizes = lists.groupBy("key", "part").agg(F.count("*").alias("size"))
+    pools = sizes.groupBy("key").agg(
+        F.count("*").alias("parts"), F.sum(F.when(F.col("size") < BLOCK, F.col("size")).otherwise(0)).alias("pool"),
+    ).where("parts > 1")
+    own = F.when(F.col("size") >= BLOCK, F.col("part"))
+    among = F.when(F.col("size") >= BLOCK, F.col("size")).otherwise(F.col("pool"))
+    members = lists.join(sizes, ["key", "part"]).join(pools, "key").select(
+        "key", "node", "part", "n_shingles", own.alias("own"), F.pmod(F.xxhash64("node"), F.ceil(among / BLOCK)).alias("number"),
+    )
+    blocks = members.join(signatures, "node").groupBy("key", "own", "number").agg(
+        F.collect_list(F.struct("node", "part", "n_shingles", "signature")).alias("members"),
+    ).withColumn("number", F.struct(F.col("own").isNotNull().alias("pure"), "own", "number"))
+    blocks = work.write(blocks.drop("own"), "blocks")
+    # Blocks of one large part hold no pair; a block of small parts is compared with itself as well.
+    alone = blocks.where("NOT number.pure").select(F.col("members").alias("p"), F.col("members").alias("q"))
+    p, q = (blocks.select("key", F.col("number").alias(f"{x}_number"), F.col("members").alias(x)) for x in "pq")
+    apart = p.join(q, "key").where(
+        "p_number < q_number AND NOT (p_number.pure AND q_number.pure AND p_number.own = q_number.own)").select("p", "q")
+    found = alone.unionAll(apart).mapInArrow(_close_in_blocks, f"a {id_type}, b {id_type}")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pairs in batches:
         keep = []
@@ -117,14 +172,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null id counts for no link but its text's copies. An empty table gives an empty result.
 
     1. Documents with the same set are one class; its smallest id stands for it from here on.
-    2. Each class is posted under its 64 (coordinate, value) pairs. Values only one class has are
-       dropped, and with them most of the table: 32 must agree.
-    3. Of m remaining postings ordered from rare to frequent, two classes that agree in 32 share one
-       of their first m - 31 (the prefix), so a passage that everybody quotes is not looked up.
+    2. Each class is posted under its 128 (coordinate, value) pairs. Values only one class has are
+       dropped, and with them most of the table: 76 must agree.
+    3. Of m remaining postings ordered from rare to frequent, two classes that agree in 76 share one
+       of their first m - 75 (the prefix), so a passage that everybody quotes is not looked up.
     4. In each posting list all members are compared with the smallest one: as many pairs as
        postings. Links found this way put a group of copies into one component.
-    5. What is left are pairs of a list in different components; all of them are compared.
-    Compared means: equal signature coordinates are counted, pairs with 32 or more are confirmed on
+    5. What is left are pairs of a list in different components. Lists are cut into blocks, large
+       components into blocks of their own, and blocks are compared with each other unless they are
+       of one component; only pairs with enough matches leave a comparison.
+    Compared means: equal signature coordinates are counted, pairs with 76 or more are confirmed on
     the full sets.
     """
     work = Work(docs.sparkSession)
@@ -138,16 +195,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             F.min("id").alias("node"), F.max("signature").alias("signature")), "classes",
     )
 
-    postings = classes.select("node", "d1", F.posexplode("signature").alias("at", "value")).select(
-        "node", "d1",
+    postings = classes.select("node", "d1", "n_shingles", F.posexplode("signature").alias("at", "value")).select(
+        "node", "d1", "n_shingles",
         F.shiftleft(F.col("at").cast("bigint"), 32).bitwiseOR(F.col("value").cast("bigint").bitwiseAND(0xFFFFFFFF)).alias("key"),
     )
     shared = postings.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
     postings = postings.join(shared.hint("shuffle_hash"), "key")
     of_node = Window.partitionBy("node", "d1")
     postings = postings.select(
-        "node", "key", F.count("*").over(of_node).alias("m"), F.row_number().over(of_node.orderBy("often", "key")).alias("place"),
-    ).where(f"m >= {MATCHES} AND place <= m - {MATCHES - 1}").select("node", "key").distinct()
+        "node", "key", "n_shingles", F.count("*").over(of_node).alias("m"), F.row_number().over(of_node.orderBy("often", "key")).alias("place"),
+    ).where(f"m >= {MATCHES} AND place <= m - {MATCHES - 1}").select("node", "key", "n_shingles").distinct()
     postings = work.write(postings, "prefixes")
 
     signatures = classes.select("node", "signature")
@@ -155,32 +212,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = rows.join(active, rows.id == active.node, "left_semi").mapInArrow(_sets, f"node {id_type}, shingles binary")
     sets = work.write(sets, "sets")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Of candidate pairs (a, b), those with enough matches whose sets are similar."""
+    pair = f"a {id_type}, b {id_type}"
+
+    def matched(pairs: DataFrame) -> DataFrame:
+        """Of the pairs (a, b), those with enough matches."""
         sign = {x: signatures.toDF(x, f"{x}_signature") for x in "ab"}
+        return pairs.join(sign["a"], "a").join(sign["b"], "b").mapInPandas(_enough_matches, pair).distinct()
+
+    def confirmed(close: DataFrame) -> DataFrame:
+        """Of the pairs (a, b), those whose sets are similar."""
         full = {x: sets.toDF(x, f"{x}_shingles") for x in "ab"}
-        pair = f"a {id_type}, b {id_type}"
-        close = pairs.join(sign["a"], "a").join(sign["b"], "b").mapInPandas(_enough_matches, pair).distinct()
         return close.join(full["a"], "a").join(full["b"], "b").mapInPandas(_similar, pair).distinct()
 
     lowest = postings.groupBy("key").agg(F.min("node").alias("a"))
     stars = postings.join(lowest, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    links = work.write(linked(stars), "links-to-lowest")
+    links = work.write(confirmed(matched(stars)), "links-to-lowest")
 
     label = components(links, work, "first")
-    lists = work.write(
-        postings.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")), "lists",
-    )
-    parts = lists.select("key", "part").distinct()
-    several = parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    parts = parts.join(several, "key", "left_semi")
-    crossing = parts.toDF("key", "p").join(parts.toDF("key", "q"), "key").where("p < q")
-    # A list's parts first, then their members: pairs within a part never come up.
-    left, right = lists.toDF("key", "x", "p"), lists.toDF("key", "y", "q")
-    rest = crossing.join(left, ["key", "p"]).join(right, ["key", "q"]).select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
-    ).distinct()
-    links = links.unionAll(linked(rest))
+    lists = postings.join(label, "node", "left").select(
+        "key", "node", F.coalesce("component", "node").alias("part"), "n_shingles")
+    rest = _across_parts(lists, signatures, work, id_type)
+    links = links.unionAll(confirmed(rest))
     label = components(work.write(links, "links"), work, "all")
 
     known = classes.join(label, "node", "left").select(
