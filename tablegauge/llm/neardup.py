@@ -66,7 +66,7 @@ def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in parts_of(whole, "text", 1 << 20):
+        for batch in parts_of(whole, "text", 1 << 19):
             sets = shingle_sets(*bytes_of(batch.column("text")))
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             full = np.flatnonzero(sizes)
@@ -85,7 +85,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in parts_of(whole, "text", 1 << 20):
+        for batch in parts_of(whole, "text", 1 << 19):
             sets = shingle_sets(*bytes_of(batch.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"],

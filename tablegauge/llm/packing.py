@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,8 @@ from .shared import Work, parts_of
 
 CAPACITY = 2048
 GROUP = 16_384
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 400_000
+KEPT_WORDS = 150_000  # from one task to the next in the same Python process
 # Sequences with more room than this after packing are opened again and packed together.
 ROOM = 64
 END = 0
@@ -49,6 +51,11 @@ class WordIds:
         self.closes[[n for t, n in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
+    def trim(self) -> None:
+        """Keep the words that were learnt first, which are mostly the frequent ones."""
+        if len(self.known) > KEPT_WORDS:
+            self.known = dict(islice(self.known.items(), KEPT_WORDS))
+
     def _encode(self, words: list[bytes]) -> None:
         """Learn words: those of letters only are runs of ids that each close with a word end."""
         letters, others = [], []
@@ -117,7 +124,7 @@ def _pieces_of(path: str, capacity: int, with_ids: bool):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_ids(path)
         for whole in batches:
-            for batch in parts_of(whole, "text"):
+            for batch in parts_of(whole, "text", 2 << 20):
                 ids = batch.column("id").to_pylist()
                 row, piece, start, length, crc, tokens = [], [], [], [], [], []
                 texts = batch.column("text").fill_null("").cast(pa.large_binary()).to_pylist()
@@ -139,6 +146,7 @@ def _pieces_of(path: str, capacity: int, with_ids: bool):
                     columns.append(pa.array(tokens, pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        tokenizer.trim()
 
     return pieces
 

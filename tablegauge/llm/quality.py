@@ -133,7 +133,7 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in parts_of(whole, "text"):
+        for batch in parts_of(whole, "text", 1 << 19):
             rows, buckets, values = hashed_features(*bytes_of(batch.column("text")))
             key = rows * BUCKETS + buckets
             key, place = np.unique(key, return_inverse=True)
@@ -184,7 +184,7 @@ def quality_scores(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             named = whole.rename_columns([f"c{i}" for i in range(whole.num_columns)])  # names may clash
-            for batch in parts_of(named, f"c{place if keep_columns else 1}", 1 << 20):
+            for batch in parts_of(named, f"c{place if keep_columns else 1}", 1 << 19):
                 text = batch.column(place if keep_columns else 1)
                 grade, upper = shared.value.judge(*hashed_features(*bytes_of(text)), len(batch))
                 if keep_columns:

@@ -83,7 +83,7 @@ def in_fold(id_column: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def parts_of(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def parts_of(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes of ``column``, so that memory stays bounded."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     ends = np.cumsum(sizes)
@@ -115,7 +115,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        n = max(n, 5 << 20)
+        n = max(n + (n >> 3), 1 << 20)
         inverse = pow(_BASE, -1, 1 << 64)
         for name, base in (("up", _BASE), ("down", inverse)):
             steps = np.full(n, base, dtype=np.uint64)

@@ -30,7 +30,7 @@ _POWERS: list[np.ndarray] = []
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        steps = [np.full(max(n, 3 << 20), b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+        steps = [np.full(max(n + (n >> 3), 1 << 20), b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
         for x in steps:
             x[0] = 1
         _POWERS[:] = [np.cumprod(x) for x in steps]
@@ -291,7 +291,7 @@ def toxic_spans(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in parts_of(whole, "text", 2 << 20):
+            for batch in parts_of(whole, "text", 1 << 20):
                 data, at = bytes_of(batch.column("text"))
                 begin, end, hashes, first = letter_words(data, at)
                 p = shared.value.marginals(hashes, first) if len(begin) else np.empty(0)
