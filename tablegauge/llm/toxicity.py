@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .shared import bytes_of, mixed, parts_of, ship_package
 
 BUCKETS = 1 << 18
-SAMPLE = 1_500  # labelled documents of either label
+SAMPLE = 800  # labelled documents of either label
 MIN_DOCUMENTS = 5
 MIN_LIFT = 10.0
 CUT = 0.7
@@ -150,14 +150,15 @@ def chain_marginals(score: np.ndarray, transitions: np.ndarray, starts: np.ndarr
     return both[:, 1] / both.sum(axis=1)
 
 
-def train_toxic(texts: list[bytes], labels: np.ndarray) -> ToxicModel:
+def train_toxic(texts: list[bytes], labels: np.ndarray, clean_per_toxic: float | None = None) -> ToxicModel:
     """Learn from labelled texts.
 
     Words are labelled first: a word of a toxic text is toxic if it is in ``MIN_LIFT`` times as
     large a share of the toxic texts as of the clean ones and in ``MIN_DOCUMENTS`` of them; all
     others are clean. Near copies, recognised by their smallest hash of three words, count once.
     Then the chain is trained by gradient descent on stretches: toxic words with their context, and
-    stretches of clean texts. At last the score of a document is fitted to the labels.
+    stretches of clean texts. At last the score of a document is fitted to the labels, clean texts
+    weighted so that there are ``clean_per_toxic`` as many of them, as in the whole table of labels.
     """
     data = np.frombuffer(b"".join(texts), np.uint8)
     at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
@@ -174,9 +175,10 @@ def train_toxic(texts: list[bytes], labels: np.ndarray) -> ToxicModel:
     kin = kin.ravel()
     kin_label = np.zeros(kin.max() + 1, np.int64)
     kin_label[kin] = labels
-    pairs = np.unique(np.stack([word, kin[of_text].astype(np.uint64)], axis=1), axis=0)
-    names, place = np.unique(pairs[:, 0], return_inverse=True)
-    toxic_text = kin_label[pairs[:, 1].astype(np.int64)] == 1
+    # A word counts once in a kin.
+    _, once = np.unique(mixed(word + kin[of_text].astype(np.uint64) * np.uint64(_BASE)), return_index=True)
+    names, place = np.unique(word[once], return_inverse=True)
+    toxic_text = kin_label[kin[of_text[once]]] == 1
     n_toxic, n_clean = max(int((kin_label == 1).sum()), 1), max(int((kin_label != 1).sum()), 1)
     in_toxic = np.bincount(place, toxic_text, minlength=len(names))
     in_clean = np.bincount(place, ~toxic_text, minlength=len(names))
@@ -219,21 +221,29 @@ def train_toxic(texts: list[bytes], labels: np.ndarray) -> ToxicModel:
         bias -= 0.5 * g.sum() / np.sqrt(past_b)
         trans -= 0.1 * g_t / np.sqrt(past_t)
     model = ToxicModel(w, float(bias), trans)
-    model.scale = _fitted_scale(model, hashes, first, of_text, labels)
+    here = max(int((labels != 1).sum()), 1) / max(int((labels == 1).sum()), 1)
+    weights = np.where(labels == 1, 1.0, (clean_per_toxic or here) / here)
+    model.scale = _fitted_scale(model, hashes, first, of_text, labels, weights)
     return model
 
 
-def _fitted_scale(model: ToxicModel, hashes, first, of_text, labels: np.ndarray) -> tuple[float, float]:
+def _fitted_scale(model: ToxicModel, hashes, first, of_text, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
     """The logistic scale of document scores, by Newton's method in short steps."""
-    p = model.marginals(hashes, first)
-    x = np.log(np.bincount(of_text, -np.log1p(-np.minimum(p * p, 1 - 1e-9)), minlength=len(labels)) + 1e-6)
+    evidence = np.zeros(len(labels))
+    cuts = np.unique(np.searchsorted(first, np.arange(0, len(of_text) + 100_000, 100_000)))  # some texts at a time
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        b = min(b, len(labels))
+        part = slice(first[a], first[b])
+        p = model.marginals([h[part] for h in hashes], first[a : b + 1] - first[a])
+        evidence += np.bincount(of_text[part], -np.log1p(-np.minimum(p * p, 1 - 1e-9)), minlength=len(labels))
+    x = np.log(evidence + 1e-6)
     mean, spread = x.mean(), x.std() + 1e-6
     x = np.stack([(x - mean) / spread, np.ones_like(x)], axis=1)
     theta = np.zeros(2)
     for _ in range(100):
         s = 1.0 / (1.0 + np.exp(-(x @ theta)))
-        hessian = (x * (s * (1 - s))[:, None]).T @ x + 0.1 * np.eye(2)
-        move = np.linalg.solve(hessian, x.T @ (s - labels) + 0.1 * theta)
+        hessian = (x * (weights * s * (1 - s))[:, None]).T @ x + 0.1 * np.eye(2)
+        move = np.linalg.solve(hessian, x.T @ (weights * (s - labels)) + 0.1 * theta)
         theta = theta - move * min(1.0, 0.5 / (np.abs(move).max() + 1e-12))
     a = float(max(theta[0], 0.05)) / float(spread)
     return a, float(theta[1]) - a * float(mean)
@@ -268,12 +278,13 @@ def fit_toxicity(
 ) -> ToxicModel:
     """Learn from at most ``sample`` documents of either label, those with the smallest id hashes."""
     marked = labels.select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("toxic")).dropna()
+    clean, toxic = marked.agg(F.count(F.when(F.col("toxic") == 0, 1)), F.count(F.when(F.col("toxic") == 1, 1))).first()
     by_hash = [F.xxhash64("id"), F.col("id"), F.col("toxic")]
     marked = marked.where("toxic = 1").orderBy(*by_hash).limit(sample).unionAll(marked.where("toxic = 0").orderBy(*by_hash).limit(sample))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropna().join(F.broadcast(marked), "id")
     found = texts.orderBy(*by_hash).limit(2 * sample).select("text", "toxic").toArrow()
     raw = [t.encode() for t in found["text"].to_pylist()]
-    return train_toxic(raw, np.asarray(found["toxic"], dtype=np.int64))
+    return train_toxic(raw, np.asarray(found["toxic"], dtype=np.int64), clean / toxic if clean and toxic else None)
 
 
 def toxic_spans(
