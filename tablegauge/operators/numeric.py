@@ -144,9 +144,8 @@ def boxplot_points(p: Profile, limit: int, order_by: str | None = None) -> DataF
         )
         nth = f"row_number() over (partition by {by} order by distance desc, value desc) as nth"
     else:
-        sort_key = next(f for f in p.table.fields if f.name == order_by)
         cells = ", ".join(f"struct({f.slot} as slot, {f.number} as value)" for f in p.table.numeric)
-        raw = p.table.df.selectExpr(*p.table.groups, f"{sort_key.sql} as sort_key", f"inline(array({cells}))")
+        raw = p.table.with_sort_key(order_by).selectExpr(*p.table.groups, "sort_key", f"inline(array({cells}))")
         points = p.table.attach(raw.where("value is not null"), fences, "slot").where(far)
         nth = f"row_number() over (partition by {by} order by sort_key, value) as nth"
     return points.selectExpr(*p.keys, "value", nth).where(f"nth <= {limit}")

@@ -180,6 +180,11 @@ def findings(source, outlier_method: str = "mad", **options) -> DataFrame:
     return p.table.present(ordered, "rule_no", "rule", "severity", "column_a", "column_b", "value", "message")
 
 
+CHECKS = (
+    "missing_percentage", "outliers_iqr", "outliers_mad", "outlier_columns", "constant_columns", "rows", "duplicate_rows", "score",
+)
+
+
 def measures(p: Profile) -> DataFrame:
     """(groups, check, actual): the figures a gate can test."""
     p.gather()
@@ -212,12 +217,16 @@ def measures(p: Profile) -> DataFrame:
 def quality_gate(source, limits: dict[str, tuple[str, float]] | DataFrame, **options) -> DataFrame:
     """(check, actual, bound, limit, passed): measures against limits.
 
-    ``limits`` maps a check to ("max" or "min", limit), or is a table (check, bound, limit).
+    ``limits`` maps a check to ("max" or "min", limit), or is a table (check, bound, limit). A check
+    that does not exist is an error in the first case, and fails with no actual value in the second.
     """
     p = Profile.of(source, **options)
     if isinstance(limits, dict):
+        unknown = sorted(set(limits) - set(CHECKS))
+        if unknown:
+            raise ValueError(f"no such check: {', '.join(unknown)}")
         rows = [(check, bound, float(limit)) for check, (bound, limit) in limits.items()]
         limits = p.table.spark.createDataFrame(rows, "check string, bound string, limit double")
-    tested = measures(p).join(limits, "check")
-    passed = "if(bound = 'min', actual >= limit, actual <= limit) as passed"
+    tested = measures(p).join(limits, "check", "right")
+    passed = "coalesce(if(bound = 'min', actual >= limit, actual <= limit), false) as passed"
     return p.table.present(tested, "check", "actual", "bound", "limit", passed)

@@ -27,9 +27,8 @@ def _first_values(p: Profile, sample_size: int, order_by: str) -> DataFrame:
 
     Every task keeps its own first values before the shuffle, so no column is gathered.
     """
-    sort_key = next(f for f in p.table.fields if f.name == order_by)
     cells = ", ".join(f"struct({f.slot} as slot, {f.sql} as value)" for f in p.table.textual)
-    text = p.table.df.selectExpr(*p.table.groups, f"{sort_key.sql} as sort_key", f"inline(array({cells}))")
+    text = p.table.with_sort_key(order_by).selectExpr(*p.table.groups, "sort_key", f"inline(array({cells}))")
     nth = f"row_number() over (partition by {', '.join(p.keys)} order by sort_key, value) as nth"
     first = text.where("value is not null").selectExpr("*", nth).where(f"nth <= {sample_size}")
     dated = first.withColumn("is_date", is_date_text(F.col("value")))

@@ -67,7 +67,7 @@ def _marks(table: Table) -> DataFrame:
     The hash of a cell is multiplied by a hash of its row, so that columns with the same values in
     another order differ.
     """
-    row = f"pmod(xxhash64({', '.join(f.comparable for f in table.fields[:8])}), {1 << 30})"
+    row = f"pmod(xxhash64({', '.join(f.comparable for f in table.fields)}), {1 << 30})"
     parts = []
     for i in range(0, len(table.fields), MARKS_PER_SCAN):
         chunk = table.fields[i : i + MARKS_PER_SCAN]
@@ -83,9 +83,9 @@ def _marks(table: Table) -> DataFrame:
 def equal_pairs(table: Table) -> DataFrame:
     """(groups, slot_a, slot_b) of columns of one type with the same value in every row."""
     pairs = [(a, b) for a, b in combinations(table.fields, 2) if a.data_type == b.data_type]
-    if len(pairs) > EQUALITIES_PER_SCAN:
-        # A wide table: one scan marks the columns, and only pairs with the same mark in some group
-        # are compared cell by cell. The driver reads pairs of columns, which the schema bounds.
+    if pairs:
+        # One scan marks the columns, and only pairs with the same mark in some group are compared
+        # cell by cell. The driver reads pairs of columns, which the schema bounds.
         same = aggregate(_marks(table), [*table.groups, "mark"], ["collect_list(slot) as slots"])
         firsts = same.where("size(slots) > 1").selectExpr("explode(slots) as slot_a", "slots")
         twins = firsts.selectExpr("slot_a", "explode(slots) as slot_b").where("slot_a < slot_b").distinct()

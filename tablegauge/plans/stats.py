@@ -41,9 +41,10 @@ MEASURES: dict[str, tuple[str, tuple[str, ...] | None, str]] = {
     "min_length": ("int", (TEXT,), "min(length({c}))"),
     "max_length": ("int", (TEXT,), "max(length({c}))"),
     "blank": ("bigint", (TEXT,), "count_if({blank})"),
-    # The leading type name only, so the set is bounded by the number of variant types.
+    # The leading type name only, so the set is bounded by the number of variant types. A JSON null is
+    # a missing value, not a type.
     "variant_types": (
-        "int", (VARIANT,), "size(collect_set(regexp_extract(schema_of_variant({c}), '^[A-Z]+', 0)))"
+        "int", (VARIANT,), "size(collect_set(nullif(regexp_extract(schema_of_variant({c}), '^[A-Z]+', 0), 'VOID')))"
     ),
 }
 # For these the column itself is the finite one: integers and decimals have no infinity.

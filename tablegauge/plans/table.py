@@ -115,7 +115,14 @@ class Table:
         for slot, i in enumerate(profiled):
             floating = isinstance(schema[i].dataType, (T.FloatType, T.DoubleType))
             select.append(f"if(isnan(r{i}), null, r{i}) as c{slot}" if floating else f"r{i} as c{slot}")
-        self.df = df.toDF(*[f"r{i}" for i in range(len(schema))]).selectExpr(*select)
+        self._raw, self._position, self._select = df.toDF(*[f"r{i}" for i in range(len(schema))]), position, select
+        self.df = self._raw.selectExpr(*select)
+
+    def with_sort_key(self, name: str) -> DataFrame:
+        """The table and any column of the source, profiled or not, as ``sort_key``."""
+        if name not in self._position:
+            raise ValueError(f"no such column: {name}")
+        return self._raw.selectExpr(*self._select, f"r{self._position[name]} as sort_key")
 
     @property
     def numeric(self) -> list[Field]:

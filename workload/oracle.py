@@ -1,6 +1,7 @@
 """The results of the registered queries in plain SQL over the same tables.
 
-Every statement is written out per column from the schema, and shares nothing with the operators.
+Every statement is written out per column from the schema. It shares with the operators the fixed
+values of ``tablegauge.constants`` and the expressions of the generated messy table, nothing else.
 """
 
 from __future__ import annotations
@@ -8,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from itertools import combinations
 
+from tablegauge.constants import ID_NAME_WORDS, NONNEGATIVE_KEYWORDS, TARGET_NAME_WORDS
 from tablegauge.sources.messy import messy_columns_sql, source_row_sql
 
 from .queries import GATE_LIMITS
@@ -36,9 +38,7 @@ ALL = list(MESSY_COLUMNS)
 AT = {c: i for i, c in enumerate(ALL)}
 MESSY = f"WITH messy AS ({messy_sql()})"
 
-ID_WORDS = "id uuid guid key code number num no index idx ref".split()
-TARGET_WORDS = "target label labels class outcome churn response result diagnosis prediction output".split()
-QUANTITY_PARTS = "count age price quantity amount qty total".split()
+ID_WORDS, TARGET_WORDS, QUANTITY_PARTS = list(ID_NAME_WORDS), list(TARGET_NAME_WORDS), list(NONNEGATIVE_KEYWORDS)
 
 
 def each(columns: Iterable[str], select: Callable[[int, str], str], joiner: str = " UNION ALL ") -> str:
