@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ COORDINATES = 128
 MATCHES = 76
 NUMERATOR, DENOMINATOR = 75, 100
 BLOCK = 256
+# Shingles of either side whose sets one task holds at a time.
+TILE = 1 << 18
 
 _RANDOM = np.random.default_rng(20_240_501)
 _STEPS = _RANDOM.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -99,37 +102,88 @@ def _enough_matches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pairs.loc[same.sum(axis=1) >= MATCHES, ["a", "b"]]
 
 
+def _members(lists: pa.Array) -> tuple:
+    """The members of all lists on end, where each list begins, and what is compared of them."""
+    every = lists.flatten()
+    ends = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths(), dtype=np.int64))])
+    prefix = np.stack([np.asarray(every.field(x), dtype=np.int64) for x in ("low", "high")], axis=1)
+    return (
+        ends, every.field("node"), every.field("part").to_numpy(zero_copy_only=False),
+        np.asarray(every.field("n_shingles"), dtype=np.int64), np.asarray(every.field("signature").flatten()).reshape(-1, COORDINATES),
+        np.unpackbits(prefix.view(np.uint8), axis=1, bitorder="little").astype(bool),
+    )
+
+
 def _close_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different parts, one of block p and one of block q, with enough matches."""
+    """Pairs of different parts, one of block p and one of block q, with enough matches.
+
+    Two classes that meet in several lists are paired in that of their lowest common coordinate. The
+    pairs of two blocks come as one row, or as several where the sets of their members are large.
+    """
     for batch in batches:
-        sides = []
-        for side in "pq":
-            lists = batch.column(side)
-            members = lists.flatten()
-            ends = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths(), dtype=np.int64))])
-            sides.append((
-                ends, members.field("node"), members.field("part").to_numpy(zero_copy_only=False), np.asarray(members.field("n_shingles")),
-                np.asarray(members.field("signature").flatten()).reshape(-1, COORDINATES),
-            ))
-        (p_ends, p_node, p_part, p_n, p_sign), (q_ends, q_node, q_part, q_n, q_sign) = sides
+        p_ends, p_node, p_part, p_n, p_sign, p_prefix = _members(batch.column("p"))
+        q_ends, q_node, q_part, q_n, q_sign, q_prefix = _members(batch.column("q"))
+        coordinates, alone = np.asarray(batch.column("key")) >> 32, batch.column("alone").to_pylist()
         one, two = [], []
         for r in range(len(batch)):
             p, q = slice(p_ends[r], p_ends[r + 1]), slice(q_ends[r], q_ends[r + 1])
             x, y = p_n[p][:, None], q_n[q][None]
             fits = (p_part[p][:, None] != q_part[q][None]) & (DENOMINATOR * x >= NUMERATOR * y) & (DENOMINATOR * y >= NUMERATOR * x)
-            i, j = np.nonzero(fits)
+            i, j = np.nonzero(np.triu(fits, 1) if alone[r] else fits)
+            close = [np.empty((2, 0), np.int64)]
             for k in range(0, len(i), 1 << 14):
                 a, b = i[k : k + (1 << 14)] + p.start, j[k : k + (1 << 14)] + q.start
-                same = (p_sign[a] == q_sign[b]).sum(axis=1) >= MATCHES
-                one.append(a[same])
-                two.append(b[same])
+                same = p_sign[a] == q_sign[b]
+                enough = same.sum(axis=1) >= MATCHES
+                a, b, same = a[enough], b[enough], same[enough]
+                before = slice(0, coordinates[r])
+                first = ~(same[:, before] & p_prefix[a, before] & q_prefix[b, before]).any(axis=1)
+                close.append(np.stack([a[first], b[first]]))
+            a, b = np.concatenate(close, axis=1)
+            if len(a):
+                tile = np.stack([(np.cumsum(p_n[p]) // TILE)[a - p.start], (np.cumsum(q_n[q]) // TILE)[b - q.start]])
+                order = np.lexsort(tile)
+                tile = tile[:, order]
+                cuts = np.flatnonzero((tile[:, 1:] != tile[:, :-1]).any(axis=0)) + 1
+                one += np.split(a[order], cuts)
+                two += np.split(b[order], cuts)
         if one:
-            a, b = p_node.take(pa.array(np.concatenate(one))), q_node.take(pa.array(np.concatenate(two)))
+            offsets = pa.array(np.cumsum([0, *map(len, one)]).astype(np.int32))
+            a, b = (pa.ListArray.from_arrays(offsets, x.take(pa.array(np.concatenate(y)))) for x, y in ((p_node, one), (q_node, two)))
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
 
 
-def _across_parts(lists: DataFrame, signatures: DataFrame, work: Work, id_type: str) -> DataFrame:
-    """Pairs (a, b), a < b, of members of a list (key, node, part, n_shingles) in different parts."""
+def _links_in_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the pairs of each row, similar ones that connect all that are similar, directly or not."""
+    for batch in batches:
+        id_type = batch.column("a").type.value_type
+        one, two = [], []
+        for firsts, seconds, members in zip(batch.column("a"), batch.column("b"), batch.column("members")):
+            members = members.values
+            sets = defaultdict(list)
+            for node, shingles in zip(members.field("node").to_pylist(), members.field("shingles")):
+                sets[node].append(np.frombuffer(shingles.as_buffer(), np.uint64))
+            lead = {node: node for node in sets}
+            for a, b in zip(firsts.as_py(), seconds.as_py()):
+                x, y = _leader(lead, a), _leader(lead, b)
+                if x != y and any(_alike(s, t) for s in sets[a] for t in sets[b]):
+                    lead[y] = x
+                    one.append(a)
+                    two.append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(one, id_type), pa.array(two, id_type)], names=["a", "b"])
+
+
+def _leader(lead: dict, node):
+    while lead[node] != node:
+        lead[node] = node = lead[lead[node]]
+    return node
+
+
+def _links_across_parts(lists: DataFrame, signatures: DataFrame, sets: DataFrame, work: Work, id_type: str) -> DataFrame:
+    """Links (a, b) between members of a list (key, node, d1, part, n_shingles) in different parts.
+
+    Of links that would close a circle among the members of two blocks some are left out.
+    """
     sizes = lists.groupBy("key", "part").agg(F.count("*").alias("size"))
     pools = sizes.groupBy("key").agg(
         F.count("*").alias("parts"), F.sum(F.when(F.col("size") < BLOCK, F.col("size")).otherwise(0)).alias("pool"),
@@ -137,28 +191,36 @@ def _across_parts(lists: DataFrame, signatures: DataFrame, work: Work, id_type:
     own = F.when(F.col("size") >= BLOCK, F.col("part"))
     among = F.when(F.col("size") >= BLOCK, F.col("size")).otherwise(F.col("pool"))
     members = lists.join(sizes, ["key", "part"]).join(pools, "key").select(
-        "key", "node", "part", "n_shingles", own.alias("own"), F.pmod(F.xxhash64("node"), F.ceil(among / BLOCK)).alias("number"),
+        "key", "node", "d1", "part", "n_shingles", own.alias("own"), F.pmod(F.xxhash64("node"), F.ceil(among / BLOCK)).alias("number"),
     )
-    blocks = members.join(signatures, "node").groupBy("key", "own", "number").agg(
-        F.collect_list(F.struct("node", "part", "n_shingles", "signature")).alias("members"),
+    blocks = members.join(signatures, ["node", "d1"]).groupBy("key", "own", "number").agg(
+        F.collect_list(F.struct("node", "part", "n_shingles", "low", "high", "signature")).alias("members"),
     ).withColumn("number", F.struct(F.col("own").isNotNull().alias("pure"), "own", "number"))
     blocks = work.write(blocks.drop("own"), "blocks")
     # Blocks of one large part hold no pair; a block of small parts is compared with itself as well.
-    alone = blocks.where("NOT number.pure").select(F.col("members").alias("p"), F.col("members").alias("q"))
+    alone = blocks.where("NOT number.pure").select("key", F.col("members").alias("p"), F.col("members").alias("q"), F.lit(True).alias("alone"))
     p, q = (blocks.select("key", F.col("number").alias(f"{x}_number"), F.col("members").alias(x)) for x in "pq")
     apart = p.join(q, "key").where(
-        "p_number < q_number AND NOT (p_number.pure AND q_number.pure AND p_number.own = q_number.own)").select("p", "q")
-    found = alone.unionAll(apart).mapInArrow(_close_in_blocks, f"a {id_type}, b {id_type}")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        "p_number < q_number AND NOT (p_number.pure AND q_number.pure AND p_number.own = q_number.own)",
+    ).select("key", "p", "q", F.lit(False).alias("alone"))
+    tiles = alone.unionAll(apart).mapInArrow(_close_in_blocks, f"a array<{id_type}>, b array<{id_type}>")
+    tiles = work.write(tiles.select(F.monotonically_increasing_id().alias("tile"), "a", "b"), "tiles")
+    # Each set travels once per tile, not once per pair.
+    needed = tiles.select("tile", F.explode(F.array_distinct(F.concat("a", "b"))).alias("node"))
+    filled = needed.join(sets, "node").groupBy("tile").agg(F.collect_list(F.struct("node", "shingles")).alias("members"))
+    return tiles.join(filled, "tile").select("a", "b", "members").mapInArrow(_links_in_tiles, f"a {id_type}, b {id_type}")
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both)
 
 
 def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pairs in batches:
-        keep = []
-        for x, y in zip(pairs.a_shingles, pairs.b_shingles):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both))
+        keep = [
+            _alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(pairs.a_shingles, pairs.b_shingles)
+        ]
         yield pairs.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
 
@@ -180,7 +242,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        postings. Links found this way put a group of copies into one component.
     5. What is left are pairs of a list in different components. Lists are cut into blocks, large
        components into blocks of their own, and blocks are compared with each other unless they are
-       of one component; only pairs with enough matches leave a comparison.
+       of one component; only pairs with enough matches leave a comparison, together with the other
+       pairs of their blocks, so that each full set is looked up once for all of them.
     Compared means: equal signature coordinates are counted, pairs with 76 or more are confirmed on
     the full sets.
     """
@@ -203,11 +266,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     postings = postings.join(shared.hint("shuffle_hash"), "key")
     of_node = Window.partitionBy("node", "d1")
     postings = postings.select(
-        "node", "key", "n_shingles", F.count("*").over(of_node).alias("m"), F.row_number().over(of_node.orderBy("often", "key")).alias("place"),
-    ).where(f"m >= {MATCHES} AND place <= m - {MATCHES - 1}").select("node", "key", "n_shingles").distinct()
+        "node", "d1", "key", "n_shingles", F.count("*").over(of_node).alias("m"), F.row_number().over(of_node.orderBy("often", "key")).alias("place"),
+    ).where(f"m >= {MATCHES} AND place <= m - {MATCHES - 1}").select("node", "d1", "key", "n_shingles")
     postings = work.write(postings, "prefixes")
 
     signatures = classes.select("node", "signature")
+    # The coordinates of a class's prefix, as 128 bits.
+    bit = "bit_or(if(shiftright(key, 38) = {}, shiftleft(1L, int(shiftright(key, 32) & 63)), 0L))"
+    prefixes = postings.groupBy("node", "d1").agg(F.expr(bit.format(0)).alias("low"), F.expr(bit.format(1)).alias("high"))
+    prefixed = classes.select("node", "d1", "signature").join(prefixes, ["node", "d1"])
     active = postings.select("node").distinct()
     sets = rows.join(active, rows.id == active.node, "left_semi").mapInArrow(_sets, f"node {id_type}, shingles binary")
     sets = work.write(sets, "sets")
@@ -230,9 +297,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     label = components(links, work, "first")
     lists = postings.join(label, "node", "left").select(
-        "key", "node", F.coalesce("component", "node").alias("part"), "n_shingles")
-    rest = _across_parts(lists, signatures, work, id_type)
-    links = links.unionAll(confirmed(rest))
+        "key", "node", "d1", F.coalesce("component", "node").alias("part"), "n_shingles")
+    links = links.unionAll(_links_across_parts(lists, prefixed, sets, work, id_type))
     label = components(work.write(links, "links"), work, "all")
 
     known = classes.join(label, "node", "left").select(

@@ -88,6 +88,21 @@ def test_a_large_family_of_near_copies(spark):
     assert all(found[i] == 0 for i in range(300)) and all(found[i] == i for i in range(300, 600))
 
 
+@pytest.mark.parametrize("tile", [neardup.TILE, 1 << 10])
+def test_a_family_around_the_threshold(spark, monkeypatch, tile):
+    monkeypatch.setattr(neardup, "TILE", tile)
+    rng = random.Random(11)
+    text = " ".join(f"w{rng.randrange(9000)}" for _ in range(160))
+    rows = []
+    for i in range(150):
+        tail = " ".join(f"v{rng.randrange(9000)}" for _ in range(rng.randrange(14, 40)))
+        rows.append((i * 7 % 1009, f"{text} {tail}", "en", "a", 1, "", "", 1))
+    rows += [(rows[k][0], rows[k + 40][1], "en", "a", 1, "", "", 1) for k in range(3)]  # ids with two texts
+    wanted = near_by_hand(rows)
+    assert 3 < len(set(wanted.values())) < 150
+    assert {x.doc_id: x.component_id for x in neardup.near_duplicates(frame(spark, rows)).collect()} == wanted
+
+
 def test_empty_tables(spark):
     assert exactdup.exact_duplicates(empty(spark)).collect() == []
     assert neardup.near_duplicates(empty(spark)).collect() == []
