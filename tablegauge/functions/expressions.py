@@ -16,11 +16,13 @@ _BLANK = r"r'(?U)^[\s\x1c-\x1f]*$'"
 
 # Anchored shapes guard every parse, so that free text and id-like numbers never reach a cast.
 # (shape, expression over the trimmed text that is non-null when the date exists)
-_MONTH = "(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
+_MONTH = (
+    "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?"
+    "|nov(?:ember)?|dec(?:ember)?)"
+)
 _YEAR = r"(1[6-9]|2[0-2])\d\d"
 _TIME = r"([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d{1,9})?)?"
 _ZONE = r"( ?(Z|UTC|[+-]\d\d:?\d\d))?"
-LONGEST_DATE = 40
 
 
 def name_words_sql(name: str) -> str:
@@ -97,10 +99,7 @@ def is_date_text(text: Column) -> Column:
         .when(F.lower(t).isin("now", "today"), True)
         .otherwise(False)
     )
-    # A long text is no date: decide by length before any pattern runs. One digit is needed as
-    # well, but for the two words.
-    plausible = (F.length(text) <= LONGEST_DATE) & (F.length(text) > 0)
-    return F.when(plausible, shapes).otherwise(False)
+    return F.when(F.length(text) > 0, shapes).otherwise(False)
 
 
 INTEGER_SHAPE = r"^\s*[+-]?\d+\s*$"
@@ -110,11 +109,8 @@ BOOLEAN_WORDS = ("true", "false")
 
 def lexical_class(text: Column, is_date: Column) -> Column:
     """What a text spells: integer, decimal, boolean, date or text. ``is_date``: is_date_text."""
-    # Numbers longer than this are codes; it also keeps long documents away from the patterns.
-    short = F.length(text) <= LONGEST_DATE
     return (
-        F.when(~short, "text")
-        .when(text.rlike(INTEGER_SHAPE), "integer")
+        F.when(text.rlike(INTEGER_SHAPE), "integer")
         .when(text.rlike(DECIMAL_SHAPE), "decimal")
         .when(F.lower(F.trim(text)).isin(*BOOLEAN_WORDS), "boolean")
         .when(is_date, "date")

@@ -13,14 +13,21 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import is_date_text, lexical_class
+from ..functions.expressions import DECIMAL_SHAPE, is_date_text, lexical_class
 from .stats import aggregate
 from .table import DECIMAL, FLOAT, INTEGRAL, Field, Table
 
-# Texts of this many bytes or more are represented by their SHA-256 digest (64 characters). A text
-# kept as it is has fewer bytes than a digest, so the two can never be mistaken for each other.
+# Texts of this many bytes or more are represented by a mark and their SHA-256 digest, unless they may
+# spell a number, a truth value or a date: all of these but numbers are shorter once trimmed. What is
+# kept as it is never looks like a marked digest.
 DIGEST_FROM = 64
 
+
+def _key(text: str) -> str:
+    plain = f"octet_length({text}) < {DIGEST_FROM} or octet_length(trim({text})) < {DIGEST_FROM} or rlike({text}, r'{DECIMAL_SHAPE}')"
+    return f"if({plain}, {text}, concat('sha256:', sha2({text}, 256)))"
+
+
 LEXICAL_CLASSES = ("integer", "decimal", "boolean", "date", "text")
 
 
@@ -62,7 +69,7 @@ def text_values(table: Table, fields: list[Field]) -> DataFrame:
     for f in fields:
         fixed = f.width is not None
         text = f.key_text
-        keys.append(text if fixed else f"if(octet_length({text}) < {DIGEST_FROM}, {text}, sha2({text}, 256))")
+        keys.append(text if fixed else _key(text))
     cells = _cells(table, fields, keys, "cell as value")
     return aggregate(cells, [*table.groups, "slot", "value"], ["count(1) as cnt"])
 
@@ -94,8 +101,8 @@ def distinct_stats(table: Table, fields: list[Field], numeric: DataFrame | None
 def lexical_stats(table: Table, fields: list[Field]) -> DataFrame:
     """(groups, slot, uniques, top, dates, one count per lexical class) of text columns.
 
-    The patterns run once per distinct value. A digest stands for a text too long to be a number
-    or a date, and is itself too long, so it is classed as text like the text it stands for.
+    The patterns run once per distinct value. A digest stands for a text that is neither a number nor
+    a date, and is classed as text like the text it stands for.
     """
     dated = text_values(table, fields).withColumn("is_date", is_date_text(F.col("value")))
     classed = dated.withColumn("class", lexical_class(F.col("value"), F.col("is_date")))

@@ -21,36 +21,48 @@ from ..plans.stats import aggregate
 from ..plans.table import quoted
 from .quick_scan import FIRST_LINE, PLAIN, delimiter_sql, text_lines
 
-# A name no header has. A cell there means that the row is too long.
-_SPARE = "_beyond_last_column"
+# A name no header has: the whole text of a row that has more or fewer cells than the header.
+_RAW = "_raw_row"
 
 
 @dataclass(frozen=True)
 class _FileClass:
-    """Files with the same header and encoding."""
+    """Files with the same header and encoding; open: whether a line leaves a quote open."""
 
     header: str
     encoding: str
+    open: bool
     files: list[str]
 
 
 def encoding_check(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, valid_utf8, header): whether all lines of each file are UTF-8, and its first line."""
+    return _checked(spark, paths).drop("open")
+
+
+def _checked(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, valid_utf8, header, open): open says that a line has an odd number of quotes."""
+    quotes = """length(value) - length(replace(value, '"', ''))"""
     return aggregate(
-        text_lines(spark, paths), ["file"], ["bool_and(is_valid_utf8(value)) as valid_utf8", f"{FIRST_LINE} as header"]
+        text_lines(spark, paths), ["file"],
+        ["bool_and(is_valid_utf8(value)) as valid_utf8", f"{FIRST_LINE} as header", f"bool_or(({quotes}) % 2 = 1) as open"],
     )
 
 
 def _file_classes(spark: SparkSession, paths: str | list[str], encoding: str) -> list[_FileClass]:
     """Which files can be read together. The driver lists files anyway; it learns their class."""
-    checked = encoding_check(spark, paths).selectExpr(
+    checked = _checked(spark, paths).selectExpr(
         "file",
         # In a file that is no UTF-8, bytes of the header may be lost: it is read again below.
         "if(valid_utf8, 'UTF-8', 'ISO-8859-1') as encoding" if encoding == "auto" else f"{quoted(encoding)} as encoding",
         "header",
+        "open",
     )
-    per_class = aggregate(checked, ["header", "encoding"], ["sort_array(collect_list(file)) as files"])
-    classes = [_FileClass(r["header"], r["encoding"], r["files"]) for r in per_class.orderBy("header", "encoding").collect()]
+    per_class = aggregate(checked, ["header", "encoding", "open"], ["sort_array(collect_list(file)) as files"])
+    classes = [
+        _FileClass(r["header"], r["encoding"], r["open"], r["files"])
+        for r in per_class.orderBy("header", "encoding", "open").collect()
+    ]
     if not classes:
         raise EmptyTableError(f"File is empty: {paths}")
     return classes
@@ -70,8 +82,23 @@ def header_names(header: str, sep: str) -> list[str]:
     return names
 
 
-def _read_class(spark: SparkSession, found: _FileClass, sep: str, multi_line: bool) -> tuple[DataFrame, list[str]]:
-    """(file, c0.., spare) as text, and the names of the columns."""
+def _cells_sql(raw: str, sep: str) -> str:
+    """The cells of a row of CSV text, in SQL: an array of texts without their quotes."""
+    mark = "".join(f"\\x{{{ord(c):x}}}" for c in sep)
+    cell = f"""{mark}("(?:[^"]++|"")*+"(?:(?!{mark})[^\\n])*+|(?:(?!{mark})(?s:.))*+)"""
+    # Every cell is looked for behind a delimiter, so the first one gets one as well.
+    found = f"regexp_extract_all(concat({quoted(sep)}, {raw}), r'{cell}', 1)"
+    inner = """replace(substring(x, 2, length(x) - 2), '""', '"')"""
+    return f"""transform({found}, x -> if(length(x) > 1 and startswith(x, '"') and endswith(x, '"'), {inner}, x))"""
+
+
+def _read_class(
+    spark: SparkSession, found: _FileClass, sep: str, multi_line: bool | None
+) -> tuple[DataFrame, list[str]]:
+    """(file, c0.., raw, cells) as text, and the names of the columns.
+
+    ``cells`` holds all cells of a row with a filled cell beyond the last column, else null.
+    """
     header = found.header
     if found.encoding != "UTF-8":
         first = spark.read.option("encoding", found.encoding).option("sep", "\u0000").option("quote", "")
@@ -80,17 +107,22 @@ def _read_class(spark: SparkSession, found: _FileClass, sep: str, multi_line: bo
         sep = spark.range(1).selectExpr(f"{delimiter_sql(quoted(header))} as sep").collect()[0]["sep"]
     names = header_names(header, sep)
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    schema = schema.add(_SPARE, T.StringType())
+    schema = schema.add(_RAW, T.StringType())
     reader = spark.read.schema(schema).options(
-        header=True, sep=sep, escape='"', encoding=found.encoding, multiLine=multi_line, mode="PERMISSIVE",
-        emptyValue="",
+        header=True, sep=sep, escape='"', encoding=found.encoding, mode="PERMISSIVE", emptyValue="",
+        multiLine=found.open if multi_line is None else multi_line, columnNameOfCorruptRecord=_RAW,
+        columnPruning=False,  # else rows are measured by the columns that a plan needs
     )
     rows = reader.csv(found.files).selectExpr(f"{PLAIN.format('_metadata.file_path')} as file", "*")
-    return rows, names
+    # Only rows that do not fit the header are split a second time. The length is always true: Spark
+    # does not read the raw row without a column beside it.
+    cells = f"if({_RAW} is null and coalesce(length(c0), 0) >= 0, null, {_cells_sql(_RAW, sep)})"
+    beyond = f"exists(slice(cells, {len(names) + 1}, greatest(size(cells), 1)), x -> x <> '')"
+    return rows.selectExpr("*", f"{cells} as cells").selectExpr("* except (cells)", f"if({beyond}, cells, null) as cells"), names
 
 
 def _text_table(
-    spark: SparkSession, paths: str | list[str], sep: str, encoding: str, multi_line: bool
+    spark: SparkSession, paths: str | list[str], sep: str, encoding: str, multi_line: bool | None
 ) -> tuple[DataFrame, list[str]]:
     parts, names = [], None
     for found in _file_classes(spark, paths, encoding):
@@ -162,7 +194,7 @@ def read_csv(
     *,
     sep: str = ",",
     encoding: str = "auto",
-    multi_line: bool = False,
+    multi_line: bool | None = None,
     on_bad_rows: str = "error",
     typed: bool = True,
     narrow: bool = False,
@@ -171,20 +203,22 @@ def read_csv(
     """One table from CSV files with the same header.
 
     ``encoding="auto"`` reads files that are no UTF-8 as Latin-1. ``sep="auto"`` takes the
-    delimiter from the header. A row with too few cells is filled with missing ones; one with more
+    delimiter from the header. Files in which a line leaves a quote open are read as a whole each, for
+    line breaks within quotes (``multi_line=None``); True or False holds for all files. A row with too few cells is filled with missing ones; one with more
     (a cell that is not empty beyond the last column) is an error, or left out with ``on_bad_rows="drop"`` (see ``bad_rows``).
     """
     if on_bad_rows not in ("error", "drop"):
         raise ValueError("on_bad_rows is 'error' or 'drop'")
     rows, names = _text_table(spark, paths, sep, encoding, multi_line)
     if on_bad_rows == "drop":
-        rows = rows.where(f"{_SPARE} is null")
+        rows = rows.where("cells is null")
     else:
         message = quoted(f"a row has more cells than the header: expected {len(names)}")
-        rows = rows.where(f"if({_SPARE} is null, true, raise_error({message}))")
+        rows = rows.where(f"if(cells is null, true, raise_error({message}))")
     columns = [f"c{i}" for i in range(len(names))]
-    # A line of white space only is no row.
-    rows = rows.where(f"not (c0 is not null and trim(c0) = '' and coalesce({', '.join(columns[1:]) or 'null'}) is null)")
+    # A line of white space only is no row; blank cells with delimiters between them are one.
+    line = _RAW if len(names) > 1 else "c0"
+    rows = rows.where(f"{line} is null or trim({line}) <> ''")
     if rows.isEmpty():
         raise EmptyTableError(f"File is empty: {paths}")
     cells = na_to_null(rows.select(*columns))
@@ -197,12 +231,11 @@ def read_csv(
 
 
 def bad_rows(
-    spark: SparkSession, paths: str | list[str], *, sep: str = ",", encoding: str = "auto", multi_line: bool = False
+    spark: SparkSession, paths: str | list[str], *, sep: str = ",", encoding: str = "auto", multi_line: bool | None = None
 ) -> DataFrame:
-    """(file, cells): the rows with more cells than the header."""
-    rows, names = _text_table(spark, paths, sep, encoding, multi_line)
-    cells = ", ".join([*[f"c{i}" for i in range(len(names))], _SPARE])
-    return rows.where(f"{_SPARE} is not null").selectExpr("file", f"array({cells}) as cells")
+    """(file, cells): the rows with a filled cell beyond the header's last column, with all their cells."""
+    rows, _ = _text_table(spark, paths, sep, encoding, multi_line)
+    return rows.where("cells is not null").select("file", "cells")
 
 
 def profile_files(

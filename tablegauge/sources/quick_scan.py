@@ -12,8 +12,8 @@ from ..plans.stats import aggregate
 from ..plans.table import quoted
 
 
-# Spark names a local file in two ways.
-PLAIN = "regexp_replace({}, '^file:/+', 'file:/')"
+# Spark names a local file in two ways, and blanks and other letters of a path by their codes.
+PLAIN = "regexp_replace(url_decode(replace({}, '+', '%2B')), '^file:/+', 'file:/')"
 
 
 def text_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -78,7 +78,37 @@ def test_delimiter_and_narrow_types(spark, write):
 
 def test_quoted_line_breaks(spark, write):
     path = write("q.csv", 'a,b\n1,"x\ny"\n2,z\n')
-    assert sorted(sources.read_csv(spark, path, multi_line=True).collect()) == [(1, "x\ny"), (2, "z")]
+    for multi_line in (True, None):
+        assert sorted(sources.read_csv(spark, path, multi_line=multi_line).collect()) == [(1, "x\ny"), (2, "z")]
+    both = [path, write("plain.csv", "a,b\n3,w\n")]
+    assert sorted(sources.read_csv(spark, both).collect()) == [(1, "x\ny"), (2, "z"), (3, "w")]
+
+
+def test_all_cells_of_overlong_rows(spark, write):
+    path = write("long.csv", 'k,m\n1,2\n3,4,,x\n5,6,7,"8 ""b"", c",9\n"10,1",11,\n12\n')
+    with pytest.raises(Exception, match="more cells than the header"):
+        sources.read_csv(spark, path).collect()
+    kept = sources.read_csv(spark, path, on_bad_rows="drop").collect()
+    assert sorted(kept, key=str) == [("1", 2), ("10,1", 11), ("12", None)]
+    cells = sorted(r["cells"] for r in sources.bad_rows(spark, path).collect())
+    assert cells == [["3", "4", "", "x"], ["5", "6", "7", '8 "b", c', "9"]]
+    piped = write("piped.csv", "k|m\n1|2|3|4\n")
+    assert [r["cells"] for r in sources.bad_rows(spark, piped, sep="|").collect()] == [["1", "2", "3", "4"]]
+
+
+def test_rows_of_blank_cells_are_rows(spark, write):
+    found = sources.read_csv(spark, write("blank.csv", "k,m,n\n  ,,\n   \nu,v,w\n")).collect()
+    assert sorted(map(tuple, found), key=str) == [("  ", None, None), ("u", "v", "w")]
+
+
+def test_names_of_files(spark, tmp_path):
+    for name in ("my data.csv", "50%+ü#1.csv"):
+        path = tmp_path / "a folder" / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_text("k,m\n1,2\n")
+        df = sources.read_csv(spark, str(path), file_column="from")
+        assert [(r["from"].rsplit("/", 1)[1], r["k"]) for r in df.collect()] == [(name, 1)]
+        assert sources.quick_scan(spark, str(path)).collect()[0]["rows"] == 1
 
 
 def test_quick_scan(spark, write):

@@ -48,6 +48,7 @@ def test_mixed_types(spark, table):
 
 
 def test_lexical_types(table):
-    df = table("t string", t=["1", "-2", "1.5", "1e3", "true", "2024-01-05", "word", "2024", None, "1" * 60])
+    df = table("t string", t=["1", "-2", "1.5", "1e3", "true", "2024-01-05", "word", "2024", None, "1" * 60, "7" * 90, " " * 45 + "2024-01-06",
+                                    " " * 70 + "false", "x" * 200, "September 12, 2024 10:00:00.123456789 +05:30"])
     found = {r["class"]: r["count"] for r in ops.lexical_types(df).collect()}
-    assert found == {"integer": 3, "decimal": 2, "boolean": 1, "date": 1, "text": 2}
+    assert found == {"integer": 5, "decimal": 2, "boolean": 2, "date": 3, "text": 2}
