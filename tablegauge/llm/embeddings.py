@@ -12,18 +12,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import TableGaugeError
 from .graph import components
 from .shared import Work
 
 COSINE = 0.95
 NEIGHBOURS = 10
-TABLES = 6
+SEEDED = 0.998  # chance that two vectors at the threshold are on the same side of all planes of some table
 BUCKET = 128
 BLOCK = 256
 MEETING = 64  # neighbours that meet at one node in one task at most
-ROUNDS = 3
 QUIET = 0.01  # a round that changes a smaller share of the lists is the last
-AUDIT = 256
+AUDIT = 256  # nodes drawn at first, and nodes planted
+ENOUGH = 64  # linked nodes to be among those drawn
+MOST = 4096  # nodes drawn, each of which is compared with every node
 RECALL = 0.99
 SLACK = 1e-5  # of single precision; pairs this near the threshold are looked at in double
 
@@ -52,7 +54,13 @@ def _unit_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def _codes(bits: int, seed: int):
+def tables_for(bits: int) -> int:
+    """How many tables of ``bits`` planes it takes for a pair at the threshold to meet in one."""
+    together = (1 - np.arccos(COSINE) / np.pi) ** bits
+    return max(1, int(np.ceil(np.log(1 - SEEDED) / np.log(1 - together))))
+
+
+def _codes(bits: int, tables: int, seed: int):
     """Which side of ``bits`` random planes a vector is on, for each of several tables."""
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -60,13 +68,13 @@ def _codes(bits: int, seed: int):
         for nodes in batches:
             for dim, part in nodes.groupby("dim"):
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, dim]).normal(size=(dim, TABLES * bits))
+                    planes[dim] = np.random.default_rng([seed, dim]).normal(size=(dim, tables * bits))
                 units = np.stack([np.frombuffer(u, np.float32) for u in part.single])
-                sides = (units @ planes[dim] > 0).reshape(len(part), TABLES, bits)
+                sides = (units @ planes[dim] > 0).reshape(len(part), tables, bits)
                 codes = sides @ (1 << np.arange(bits, dtype=np.int64))
                 yield pd.DataFrame({
-                    "node": np.repeat(part.node.to_numpy(), TABLES), "dim": np.int32(dim),
-                    "number": np.tile(np.arange(TABLES, dtype=np.int32), len(part)), "code": codes.ravel(),
+                    "node": np.repeat(part.node.to_numpy(), tables), "dim": np.int32(dim),
+                    "number": np.tile(np.arange(tables, dtype=np.int32), len(part)), "code": codes.ravel(),
                 })
 
     return code
@@ -163,14 +171,20 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     1. Equal vectors are one node, named by the smallest id.
     2. The first neighbour lists come from tables of random planes: vectors on the same side of all
-       planes meet in blocks of a bounded size.
+       planes meet in blocks of a bounded size. More vectors take more planes a table, and more
+       tables, so that the chance to meet does not fall.
     3. NN-descent: in each round a node's neighbours, and those whose neighbour it is, meet at the
-       node, are compared with each other and propose themselves to each other's lists.
+       node, are compared with each other and propose themselves to each other's lists, until a
+       round changes few of them.
     4. Pairs of the lists above the threshold are links. A list that is full of links is saturated:
        there may be more than it holds. So the lists of whole components are enlarged to all their
        members, compared in blocks, which makes n_links exact within a component.
-    5. Recall is audited: for a sample of at most 256 nodes all links are found by comparing them
-       with every node. Below 0.99, the lists are doubled and descend again.
+    5. Recall is audited in two ways. Nodes are drawn, and all their links found by comparing them
+       with every node, until enough of them have links; and partners are planted that have a cosine
+       just above the threshold with one node. Either mean over nodes of the share of links found
+       has to be 0.99. Below, lists are doubled, more tables added, and the lists descend again;
+       when lists as long as the table do not suffice, it is an error. If all nodes are drawn, what
+       the audit finds is all there is.
     """
     work = Work(vectors.sparkSession)
     element = vectors.schema[vector_col].dataType.elementType
@@ -192,25 +206,25 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         in_single, "digest binary, dim int, node bigint, copies bigint, unit binary, single binary",
     ).withColumnRenamed("node", "id").withColumn("node", F.monotonically_increasing_id()), "nodes")
     total = nodes.count()
-    single = nodes.select("node", "single")
-
     bits = max(1, int(np.ceil(np.log2(max(total, 2) / BUCKET)))) if total > BUCKET else 1
+    truth, planted, complete = _audit(nodes, total, work)
+    search = work.write(nodes.select("node", "dim", "unit", "single").unionAll(planted.drop("at")), "search")
+    single = search.select("node", "single")
 
     def seeded(seed: int, neighbours: int) -> DataFrame:
-        codes = work.write(nodes.select("node", "dim", "single").mapInPandas(
-            _codes(bits, seed), "node bigint, dim int, number int, code bigint"), f"codes{seed}")
+        codes = work.write(search.select("node", "dim", "single").mapInPandas(
+            _codes(bits, tables_for(bits), seed), "node bigint, dim int, number int, code bigint"), f"codes{seed}")
         size = codes.groupBy("dim", "number", "code").agg(F.count("*").alias("n"))
         members = codes.join(size, ["dim", "number", "code"]).withColumn(
             "part", F.pmod(F.xxhash64("node", "number"), F.ceil(F.col("n") / BLOCK)))
         return _met(members.drop("n"), single, ["dim", "number", "code", "part"], neighbours)
 
     neighbours, graph, links, step = NEIGHBOURS, None, None, 0
-    sample = nodes.orderBy(F.xxhash64("digest"), "node").limit(AUDIT).select("node", "dim", "unit").toPandas()
-    truth = work.write(_all_links_of(nodes, sample), "audited")
     while True:
         start = seeded(step, neighbours)
-        graph = work.write(_nearest(start if graph is None else graph.unionAll(start), neighbours), f"graph{step}-0")
-        for k in range(1, ROUNDS + 1):
+        graph, k = work.write(_nearest(start if graph is None else graph.unionAll(start), neighbours), f"graph{step}-0"), 0
+        while True:
+            k += 1
             before, graph = graph, _descended(graph, single, neighbours, work, f"graph{step}-{k}")
             changed = graph.join(before.select("node", "other"), ["node", "other"], "left_anti").count()
             if changed <= QUIET * max(total * neighbours, 1):
@@ -219,22 +233,23 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "cosine",
         ).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
         unsure = pairs.where(F.col("cosine") < COSINE + SLACK).select("a", "b")
-        full = {x: nodes.select(F.col("node").alias(x), F.col("unit").alias(f"{x}_unit")) for x in "ab"}
+        full = {x: search.select(F.col("node").alias(x), F.col("unit").alias(f"{x}_unit")) for x in "ab"}
         checked = unsure.join(full["a"], "a").join(full["b"], "b").mapInPandas(_in_double, "a bigint, b bigint")
         links = pairs.where(F.col("cosine") >= COSINE + SLACK).select("a", "b").unionAll(checked)
         links = work.write(links, f"links{step}")
-        label = components(links, work, f"component{step}")
-        mine = {x: label.select(F.col("node").alias(x), F.col("component").alias(f"{x}_component")) for x in "ab"}
-        together = truth.join(mine["a"], "a", "left").join(mine["b"], "b", "left")
-        hits, wanted = together.agg(
-            F.count(F.when(F.col("a_component") == F.col("b_component"), 1)), F.count("*"),
-        ).first()
-        step += 1
-        if step > 2 or hits >= RECALL * wanted:
+        # What is planted links itself, and must not link others.
+        real = links.where("a >= 0")
+        if complete or min(
+            recall(truth, components(real, work, f"component{step}")),
+            recall(planted.select(F.col("node").alias("a"), F.col("at").alias("b")), components(links, work, f"planted{step}")),
+        ) >= RECALL:
             break
-        neighbours *= 2
+        if neighbours >= total:
+            raise TableGaugeError(f"near_vectors: lists of {neighbours} neighbours do not hold {RECALL:.0%} of the links")
+        neighbours, step = 2 * neighbours, step + 1
+    links = real
     # What the audit found counts as well.
-    label = components(links.unionAll(truth).distinct(), work, "components")
+    label = components(links.unionAll(truth.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), work, "components")
 
     member = nodes.join(label, "node")
     block = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK)).alias("block")
@@ -259,8 +274,40 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     ).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
 
 
+def recall(truth: DataFrame, label: DataFrame) -> float:
+    """Mean over the nodes ``a`` of the share of their links (a, b) that join one component; 1 without links."""
+    mine = {x: label.select(F.col("node").alias(x), F.col("component").alias(f"{x}_component")) for x in "ab"}
+    together = truth.join(mine["a"], "a", "left").join(mine["b"], "b", "left")
+    found = F.coalesce(F.col("a_component") == F.col("b_component"), F.lit(False)).cast("double")
+    share = together.groupBy("a").agg(F.avg(found).alias("share")).agg(F.avg("share")).first()[0]
+    return 1.0 if share is None else share
+
+
+def _audit(nodes: DataFrame, total: int, work: Work) -> tuple[DataFrame, DataFrame, bool]:
+    """The links (a, b) of the nodes drawn, planted (node, dim, unit, single, at), and whether all nodes are drawn."""
+    drawn, truth = 0, None
+    while True:
+        size = min(max(2 * drawn, AUDIT), total, MOST)
+        order = nodes.select("node", "dim", "unit", F.xxhash64("digest").alias("at")).orderBy("at", "node").limit(size)
+        sample = order.toPandas()
+        part = work.write(_all_links_of(nodes, sample.iloc[drawn:]), f"audited{drawn}")
+        truth, drawn = part if truth is None else truth.unionAll(part), size
+        if drawn >= min(total, MOST) or truth.select("a").distinct().count() >= ENOUGH:
+            break
+    planted, random, cosine = [], np.random.default_rng(11), COSINE + 10 * SLACK
+    for row in sample.iloc[:AUDIT].itertuples() if drawn < total else ():
+        if row.dim > 1:
+            unit = np.frombuffer(row.unit)
+            away = random.normal(size=row.dim)
+            away -= (away @ unit) * unit
+            near = cosine * unit + np.sqrt(1 - cosine**2) * away / np.sqrt(away @ away)
+            planted.append((-1 - len(planted), int(row.dim), bytearray(near.tobytes()), bytearray(near.astype(np.float32).tobytes()), int(row.node)))
+    partners = nodes.sparkSession.createDataFrame(planted, "node bigint, dim int, unit binary, single binary, at bigint")
+    return truth, partners, drawn >= total
+
+
 def _all_links_of(nodes: DataFrame, sample: pd.DataFrame) -> DataFrame:
-    """All links (a, b) of the sampled nodes, which are at most AUDIT, against every node."""
+    """All links (a, b) of the sampled nodes a, which are at most MOST, against every node."""
     queries = {
         int(dim): (part.node.to_numpy(), np.stack([np.frombuffer(u) for u in part.unit])) for dim, part in sample.groupby("dim")
     }
@@ -271,10 +318,11 @@ def _all_links_of(nodes: DataFrame, sample: pd.DataFrame) -> DataFrame:
             for dim, part in every.groupby("dim"):
                 if int(dim) in shared.value:
                     ids, units = shared.value[int(dim)]
-                    mine = part.node.to_numpy()
-                    i, j = np.nonzero(np.stack([np.frombuffer(u) for u in part.unit]) @ units.T >= COSINE)
-                    a, b = mine[i], ids[j]
-                    keep = a != b
-                    yield pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
-
-    return nodes.select("node", "dim", "unit").mapInPandas(compare, "a bigint, b bigint").distinct()
+                    for at in range(0, len(part), 1024):
+                        mine = part.node.to_numpy()[at : at + 1024]
+                        i, j = np.nonzero(np.stack([np.frombuffer(u) for u in part.unit[at : at + 1024]]) @ units.T >= COSINE)
+                        a, b = ids[j], mine[i]
+                        keep = a != b
+                        yield pd.DataFrame({"a": a[keep], "b": b[keep]})
+
+    return nodes.select("node", "dim", "unit").mapInPandas(compare, "a bigint, b bigint")

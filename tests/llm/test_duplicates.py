@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 
+from tablegauge.errors import TableGaugeError
 from tablegauge.llm import embeddings, exactdup, graph, neardup
 from tablegauge.llm.shared import Work
 
@@ -142,3 +143,36 @@ def test_near_vectors(spark):
         assert got[i] == (close[n].sum() - 1, label[n], bool(label[n] == i))
     assert got[5005] == (1, 5005, True) and got[5007] == (1, 5005, False)
     assert all(got[i] == (0, i, True) for i in (5000, 5001, 5002, 5003, 5004, 5006))
+
+
+def test_near_vectors_finds_isolated_pairs(spark):
+    """Links that are rare are found, not only those of large families."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(12_000, 24))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    away = rng.normal(size=(400, 24))
+    away -= (away * base[:400]).sum(axis=1, keepdims=True) * base[:400]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    family = base[500] + 0.01 * rng.normal(size=(3000, 24))
+    vectors = np.concatenate([base, 0.9503 * base[:400] + np.sqrt(1 - 0.9503**2) * away, family])
+    rows = list(enumerate(vectors.tolist()))
+    found = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)).collect()
+    got = {r.vec_id: r.component_id for r in found}
+    assert sum(got[12_000 + i] == i for i in range(400)) >= 396
+
+
+def test_near_vectors_raises_without_recall(spark, monkeypatch):
+    for name, value in (("AUDIT", 64), ("MOST", 64), ("NEIGHBOURS", 1000)):
+        monkeypatch.setattr(embeddings, name, value, raising=False)
+    monkeypatch.setattr(embeddings, "_nearest", lambda proposals, neighbours: proposals.limit(0))
+    rng = np.random.default_rng(3)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(300, 16)).tolist())]
+    with pytest.raises(TableGaugeError):
+        embeddings.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+
+
+def test_recall_counts_nodes_not_pairs(spark):
+    label = spark.createDataFrame([(i, 0) for i in range(100)], "node bigint, component bigint")
+    pairs = [(0, i) for i in range(1, 100)] + [(200, 201)]
+    assert embeddings.recall(spark.createDataFrame(pairs, "a bigint, b bigint"), label) == 0.5
+    assert embeddings.tables_for(23) > 4 * embeddings.tables_for(9)
