@@ -3,134 +3,277 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Work, bytes_of, parts_of, ship_package, word_hashes
+from .shared import Work, bytes_of, mixed, parts_of, word_hashes
 
-# A word belongs to the vocabulary if it is at least one in 200,000 words, so there are at most
-# 200,000; a pair counts as a bigram from one in a million pairs on, so there are at most a million.
-WORD_SHARE = 1 / 200_000
-PAIR_SHARE = 1 / 1_000_000
+# A word or pair counts if the target has it or the background has it twice, however large both are.
+LEAST_BACKGROUND = 2
 PRIOR = 20.0  # words' worth of the unigram model in each bigram distribution
 ADDED = 0.5
-HELD = 2_000_000
+HELD = 2_000_000  # keys a task adds up before they leave it
+BLOCK = 8 << 20  # bytes of text that look up their n-grams together
+BUCKET_BITS = 10  # ranges of keys, at least
+BUCKET_BYTES = 16 << 20  # of the corpus's text for each range of keys, beyond those
+TOTAL = 0  # the key under which all words are counted
 
 
-def _pair_keys(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Keys of (word before, word); the word before a text's first one is none (-1)."""
-    before = np.empty(len(ids), np.int64)
-    before[1:] = ids[:-1]
-    before[first[:-1][first[1:] > first[:-1]]] = -1
-    return (before + 1) << 32 | ids
+def _word_keys(hashes: np.ndarray) -> np.ndarray:
+    """Even keys above TOTAL."""
+    return np.maximum(hashes & ~np.uint64(1), np.uint64(2))
 
 
-def _counted(batches: Iterator[pa.RecordBatch], keys_of) -> Iterator[pa.RecordBatch]:
-    """(key, n) of a task's texts, added up before they leave it."""
-    held, size = [], 0
+def _pair_keys(words: np.ndarray) -> np.ndarray:
+    """Odd keys of (word before, word), for all words but the first."""
+    return mixed(words[:-1] * np.uint64(0xD1342543DE82EF95) + words[1:]) | np.uint64(1)
 
-    def flush():
-        key, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
-    for whole in batches:
-        for batch in parts_of(whole, "text"):
-            keys = keys_of(*bytes_of(batch.column("text")))
-            held.append(keys)
-            size += len(keys)
-            if size >= HELD:
-                yield flush()
-                held, size = [], 0
-    if size:
-        yield flush()
+def _follows(number: int, first: np.ndarray) -> np.ndarray:
+    """Whether each word has a word before it in its text."""
+    follows = np.ones(number, bool)
+    follows[first[:-1][first[1:] > first[:-1]]] = False
+    return follows
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _counted(batches, lambda data, at: word_hashes(data, at)[0])
+def _gram_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    words = _word_keys(hashes)
+    return np.concatenate([words, _pair_keys(words)[_follows(len(words), first)[1:]]])
 
 
-def _ids(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Places in the sorted vocabulary; words outside it share the place behind its end."""
-    if not len(vocabulary):
-        return np.zeros(len(words), np.int64)
-    place = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-    return np.where(vocabulary[place] == words, place, len(vocabulary))
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted; np.unique hashes first, which takes several times as long."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers of eight bytes, their first bytes first: small ones leave runs of zeros."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpack(data: bytes, kind=np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data, np.uint64))
+
+
+def _in_buckets(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """The ranges of keys, which are sorted, that have any."""
+    buckets = keys >> np.uint64(64 - bits)
+    starts = np.flatnonzero(np.diff(buckets, prepend=buckets[:1] + np.uint64(1)))
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]):
+        yield int(buckets[a]), slice(a, b)
+
+
+def _gram_counts(bits: int, side: int):
+    """(bucket, side, keys, n) of a task's texts, added up before they leave it."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, words = [], 0, 0
+
+        def flush():
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            key, n = np.append(np.uint64(TOTAL), key), np.append(words, n).astype(np.int64)
+            rows = [(k, _pack_keys(key[s]), _pack(n[s])) for k, s in _in_buckets(key, bits)]
+            bucket, keys, numbers = zip(*rows)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(bucket, pa.int64()), pa.array([side] * len(rows), pa.int32()), pa.array(keys, pa.binary()), pa.array(numbers, pa.binary())],
+                names=["bucket", "side", "keys", "n"],
+            )
+
+        for whole in batches:
+            for batch in parts_of(whole, "text"):
+                hashes, first = word_hashes(*bytes_of(batch.column("text")))
+                held.append(_gram_keys(hashes, first))
+                size, words = size + len(held[-1]), words + len(hashes)
+                if size >= HELD:
+                    yield flush()
+                    held, size, words = [], 0, 0
+        if size:
+            yield flush()
+
+    return counts
+
+
+_GRAMS = "bucket bigint, keys binary, target binary, background binary, words bigint, known_target bigint, known_background bigint, " \
+    "total_target bigint, total_background bigint"
+
+
+def _added_up(group: pa.Table) -> pa.Table:
+    """The counts of a range of keys over all tasks, those that count."""
+    sides = group.column("side").to_pylist()
+    keys = [_unpack_keys(x) for x in group.column("keys").to_pylist()]
+    every, place = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.zeros((2, len(every)), np.int64)
+    start = 0
+    for side, mine, number in zip(sides, keys, group.column("n").to_pylist()):
+        n[side, place[start : start + len(mine)]] += _unpack(number)  # a task's keys are distinct
+        start += len(mine)
+    total = n[:, every == TOTAL].sum(axis=1)
+    keep = ((n[0] > 0) | (n[1] >= LEAST_BACKGROUND)) & (every != TOTAL)
+    every, n = every[keep], n[:, keep]
+    word = every & np.uint64(1) == 0
+    known = n[:, word].sum(axis=1)
+    row = [group.column("bucket")[0].as_py(), _pack_keys(every), _pack(n[0]), _pack(n[1]), int(word.sum()), *known.tolist(), *total.tolist()]
+    kinds = [pa.int64(), *[pa.binary()] * 3, *[pa.int64()] * 5]
+    names = [c.split()[0] for c in _GRAMS.split(", ")]
+    return pa.table({name: pa.array([x], kind) for name, x, kind in zip(names, row, kinds)})
+
+
+_ANSWERS = "block bigint, bucket bigint, target binary, background binary"
+
+
+def _answered(grams: pa.Table, asked: pa.Table) -> pa.Table:
+    """The counts of the keys that blocks ask for, in their order; 0 for those that do not count."""
+    known, counts = np.empty(0, np.uint64), np.zeros((2, 0), np.int64)
+    if grams.num_rows:
+        known = _unpack_keys(grams.column("keys")[0].as_py())
+        counts = np.stack([_unpack(grams.column(c)[0].as_py()) for c in ("target", "background")])
+    found: list[list[bytes]] = [[], []]
+    for data in asked.column("keys").to_pylist():
+        keys = _unpack_keys(data)
+        n = np.zeros((2, len(keys)), np.int64)
+        if len(known):
+            place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            n = np.where(known[place] == keys, counts[:, place], 0)
+        for side in (0, 1):
+            found[side].append(_pack(n[side]))
+    return pa.table({
+        "block": asked.column("block"), "bucket": asked.column("bucket"),
+        "target": pa.array(found[0], pa.binary()), "background": pa.array(found[1], pa.binary()),
+    })
+
+
+def _counts_of(answers: pa.Table, size: int) -> np.ndarray:
+    """(2, keys) counts in the order of a block's sorted keys, from the answers of all ranges."""
+    if not size:
+        return np.zeros((2, 0))
+    answers = answers.sort_by("bucket")
+    return np.stack([
+        np.concatenate([_unpack(x) for x in answers.column(c).to_pylist()]) for c in ("target", "background")
+    ]).astype(float)
+
+
+@dataclass(frozen=True)
+class Smoothing:
+    """What the losses need beside the counts: three numbers of either corpus, and the vocabulary's size."""
+
+    total: tuple[float, float]
+    unknown: tuple[float, float]
+    words: int
+
+    def losses(self, hashes: np.ndarray, first: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """(2, words) negative log probabilities; grams: the sorted keys of these words and pairs; (2, grams) counts."""
+        if not len(hashes):
+            return np.zeros((2, 0))
+        words, follows = _word_keys(hashes), _follows(len(hashes), first)
+        total = np.array(self.total)[:, None]
+        scale = np.where(total > 0, total[:1] / np.maximum(total, 1), 1.0)  # the background at the target's size
+        mine = counts[:, np.searchsorted(grams, words)]
+        known = mine.any(axis=0)
+        unigrams = np.where(known, mine, np.array(self.unknown)[:, None]) * scale
+        share = (unigrams + ADDED) / (total * scale + ADDED * (self.words + 1))
+        # A text's first word has no word before it, and no pair with an unknown word counts: the unigram model alone.
+        seen, context = np.zeros_like(unigrams), np.zeros_like(unigrams)
+        at = np.flatnonzero(follows)
+        seen[:, at] = counts[:, np.searchsorted(grams, _pair_keys(words)[at - 1])] * scale
+        context[:, at] = np.where(known[at - 1], unigrams[:, at - 1], 0.0)
+        return -np.log((seen + PRIOR * share) / (np.maximum(context, seen) + PRIOR))
 
 
 class DifferenceModel:
-    """Losses of words given the word before under the target and the background model."""
+    """Losses of words given the word before under the target and the background model.
+
+    The counts stay in a written table with a row per range of keys; what grows with the corpora
+    never comes to the driver, but for ``vocabulary``.
+    """
+
+    def __init__(self, grams: DataFrame, bits: int, smoothing: Smoothing):
+        self.grams, self.bits, self.smoothing = grams, bits, smoothing
 
-    def __init__(self, vocabulary, unigrams, pairs, pair_counts):
-        """vocabulary: sorted hashes; unigrams: (2, words + 1) counts; pairs: sorted keys; (2, pairs) counts."""
-        self.vocabulary, self.pairs = vocabulary, pairs
-        totals = unigrams.sum(axis=1, keepdims=True)
-        scale = np.where(totals > 0, totals[:1] / np.maximum(totals, 1), 1.0)  # the background at the target's size
-        self.unigrams, self.pair_counts = unigrams * scale, pair_counts * scale
-        size = unigrams.shape[1]
-        self.share = (self.unigrams + ADDED) / (self.unigrams.sum(axis=1, keepdims=True) + ADDED * size)
+    @property
+    def vocabulary(self) -> np.ndarray:
+        """The sorted keys of all known words, for small corpora."""
+        keys = [_unpack_keys(r.keys) for r in self.grams.select("keys").collect()]
+        keys = np.concatenate([np.empty(0, np.uint64), *keys])
+        return np.sort(keys[keys & np.uint64(1) == 0])
+
+    def answers(self, asked: DataFrame) -> DataFrame:
+        """The counts of the keys asked for (block, bucket, keys): (block, bucket, target, background)."""
+        mine = self.grams.select("bucket", "keys", "target", "background")
+        return mine.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_answered, _ANSWERS)
 
     def losses(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """(2, words) negative log probabilities under target and background."""
-        ids = _ids(words, self.vocabulary)
-        keys = _pair_keys(ids, first)
-        before = (keys >> 32) - 1
-        if len(self.pairs):
-            place = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-            seen = np.where(self.pairs[place] == keys, self.pair_counts[:, place], 0.0)
-        else:
-            seen = np.zeros((2, len(ids)))
-        # A text's first word has no word before it: the unigram model alone.
-        context = np.where(before >= 0, self.unigrams[:, np.maximum(before, 0)], 0.0)
-        seen = np.where(before >= 0, seen, 0.0)
-        return -np.log((seen + PRIOR * self.share[:, ids]) / (np.maximum(context, seen) + PRIOR))
+        """(2, words) negative log probabilities of a few texts' hashed words under target and background."""
+        keys = _distinct(_gram_keys(words, first))
+        rows = [(0, k, bytearray(_pack_keys(keys[s]))) for k, s in _in_buckets(keys, self.bits)]
+        asked = self.grams.sparkSession.createDataFrame(rows, "block bigint, bucket bigint, keys binary")
+        return self.smoothing.losses(words, first, keys, _counts_of(self.answers(asked).toArrow(), len(keys)))
 
 
 def fit_difference(target: DataFrame, background: DataFrame, text_col: str = "text") -> DifferenceModel:
     """Count words and pairs over all of both corpora.
 
-    Each task adds up its words before they travel, and Spark adds up the tasks' sums. Only words
-    and pairs above their share of the background are read by the driver; the shares bound how many.
+    Each task adds up its n-grams before they travel, as packed ranges of keys; each range is added
+    up over the tasks by itself and written. There are more ranges where there is more text.
     """
     work = Work(background.sparkSession)
+    sides = [docs.select(F.col(text_col).alias("text")) for docs in (target, background)]
+    size = sum(x.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] for x in sides)
+    bits = max(BUCKET_BITS, int(np.ceil(np.log2(max(size, 1) / BUCKET_BYTES))))
+    counts = [x.mapInArrow(_gram_counts(bits, n), "bucket bigint, side int, keys binary, n binary") for n, x in enumerate(sides)]
+    grams = work.write(counts[0].unionAll(counts[1]).groupBy("bucket").applyInArrow(_added_up, _GRAMS), "grams")
+    names = ("words", "known_target", "known_background", "total_target", "total_background")
+    words, known_t, known_b, total_t, total_b = grams.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in names]).first()
+    return DifferenceModel(grams, bits, Smoothing((total_t, total_b), (total_t - known_t, total_b - known_b), words))
+
+
+def _cut_blocks(bits: int):
+    """The texts with a block number, and for each block the n-grams it holds, in ranges of keys."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size, held = TaskContext.get().partitionId() << 32, 0, []
+
+        def asks(kind):
+            keys = _distinct(np.concatenate(held))
+            rows = [(k, _pack_keys(keys[s])) for k, s in _in_buckets(keys, bits)]
+            none = [None] * len(rows)
+            return pa.RecordBatch.from_arrays([
+                pa.array([block] * len(rows), pa.int64()), pa.array(none, kind), pa.array(none, pa.string()),
+                pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary()),
+            ], names=["block", "id", "text", "bucket", "keys"])
+
+        kind = None
+        for whole in batches:
+            for batch in parts_of(whole, "text"):
+                rows, kind = batch.num_rows, batch.column("id").type
+                hashes, first = word_hashes(*bytes_of(batch.column("text")))
+                held.append(_distinct(_gram_keys(hashes, first)))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([block] * rows, pa.int64()), batch.column("id"), batch.column("text").cast(pa.string()),
+                    pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary()),
+                ], names=["block", "id", "text", "bucket", "keys"])
+                size += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+                if size >= BLOCK:
+                    yield asks(kind)
+                    block, size, held = block + 1, 0, []
+        if held:
+            yield asks(kind)
 
-    def counts(keys_of) -> DataFrame:
-        sides = []
-        for side, docs in (("target", target), ("background", background)):
-            found = docs.select(F.col(text_col).alias("text")).mapInArrow(keys_of, "key bigint, n bigint")
-            zero = F.lit(0).cast("bigint")
-            sides.append(found.select(
-                "key", (F.col("n") if side == "target" else zero).alias("target"),
-                (F.col("n") if side == "background" else zero).alias("background"),
-            ))
-        return sides[0].unionAll(sides[1]).groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-    words = work.write(counts(_word_counts), "words")
-    total_t, total_b = words.agg(F.coalesce(F.sum("target"), F.lit(0)), F.coalesce(F.sum("background"), F.lit(0))).first()
-    frequent = words.where(F.col("background") >= max(2.0, WORD_SHARE * total_b)).toArrow()
-    key = np.asarray(frequent["key"], dtype=np.int64).view(np.uint64)
-    order = np.argsort(key)
-    vocabulary = key[order]
-    known = np.stack([np.asarray(frequent[n], dtype=float)[order] for n in ("target", "background")])
-    unigrams = np.concatenate([known, np.array([[total_t], [total_b]]) - known.sum(axis=1, keepdims=True)], axis=1)
-
-    shared = background.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def pair_counts(batches):
-        def keys_of(data, at):
-            hashes, first = word_hashes(data, at)
-            return _pair_keys(_ids(hashes, shared.value), first).view(np.uint64)
-
-        yield from _counted(batches, keys_of)
-
-    pairs = counts(pair_counts).where(F.col("background") >= max(2.0, PAIR_SHARE * total_b)).toArrow()
-    key = np.asarray(pairs["key"], dtype=np.int64)
-    order = np.argsort(key)
-    counted = np.stack([np.asarray(pairs[n], dtype=float)[order] for n in ("target", "background")])
-    work.drop("words")
-    return DifferenceModel(vocabulary, unigrams, key[order], counted)
+    return cut
 
 
 def difference_scores(docs: DataFrame, model: DifferenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,25 +281,34 @@ def difference_scores(docs: DataFrame, model: DifferenceModel, id_col: str = "do
 
     The losses are means over all words of the text; score is target less background, so low means
     like the target. A null text or one without words has 0 tokens and null losses and score.
-    """
-    spark = docs.sparkSession
-    ship_package(spark)
-    shared = spark.sparkContext.broadcast(model)  # bounded by the shares above
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in parts_of(whole, "text", 1 << 20):
-                hashes, first = word_hashes(*bytes_of(batch.column("text")))
-                number = np.diff(first)
-                of_text = np.repeat(np.arange(len(number)), number)
-                each = shared.value.losses(hashes, first)
-                mean = [np.bincount(of_text, x, minlength=len(number)) / np.maximum(number, 1) for x in each]
-                none = number == 0
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("id"), pa.array(number.astype(np.int64)), pa.array(mean[0], mask=none), pa.array(mean[1], mask=none),
-                    pa.array(mean[0] - mean[1], mask=none),
-                ], names=[id_col, "n_tokens", "target_loss", "background_loss", "score"])
 
+    Texts are cut into blocks, each block looks up its distinct words and pairs in the model's
+    table by ranges of keys, and the counts found come back to the block's texts.
+    """
+    work = Work(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
+    cut = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
+        _cut_blocks(model.bits), f"block bigint, id {kind}, text string, bucket bigint, keys binary")
+    blocks = work.write(cut.withColumn("asks", F.col("bucket").isNotNull()), "blocks", "asks", compression="zstd")
+    texts = blocks.where("NOT asks").select("block", "id", "text")
+    answers = work.write(model.answers(blocks.where("asks").select("block", "bucket", "keys")), "answers")
+    work.drop("blocks/asks=true")
+    smoothing = model.smoothing
+
+    def score(mine: pa.Table, answers: pa.Table) -> pa.Table:
+        found = [word_hashes(*bytes_of(part.column("text"))) for batch in mine.to_batches() for part in parts_of(batch, "text")]
+        hashes = np.concatenate([np.empty(0, np.uint64), *[h for h, _ in found]])
+        number = np.concatenate([np.empty(0, np.int64), *[np.diff(f) for _, f in found]])
+        first = np.append(0, np.cumsum(number))
+        grams = _distinct(_gram_keys(hashes, first))
+        each = smoothing.losses(hashes, first, grams, _counts_of(answers, len(grams)))
+        of_text = np.repeat(np.arange(len(number)), number)
+        mean = [np.bincount(of_text, x, minlength=len(number)) / np.maximum(number, 1) for x in each]
+        none = number == 0
+        return pa.table({
+            id_col: mine.column("id"), "n_tokens": pa.array(number.astype(np.int64)), "target_loss": pa.array(mean[0], mask=none),
+            "background_loss": pa.array(mean[1], mask=none), "score": pa.array(mean[0] - mean[1], mask=none),
+        })
+
     schema = f"`{id_col}` {kind}, n_tokens bigint, target_loss double, background_loss double, score double"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(score, schema)
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)

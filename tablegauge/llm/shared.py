@@ -60,8 +60,9 @@ class Work:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.folder}/{name}")
+    def write(self, df: DataFrame, name: str, *partitions: str, **options: str) -> DataFrame:
+        """Partition columns are the last ones of ``df``; each of their values can be dropped by itself."""
+        df.write.options(**options).partitionBy(*partitions).parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def drop(self, *names: str) -> None:

@@ -2,12 +2,14 @@
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tablegauge.llm import language, lmscore, pii, quality, toxicity
-from tablegauge.llm.shared import bytes_of
+from tablegauge.llm.shared import bytes_of, word_hashes
 
 from .corpora import SCHEMA, documents, empty, frame, words
 
@@ -180,3 +182,43 @@ def test_language_model_scores(spark):
     assert (np.exp(-losses).sum(axis=1) < 1.05).all()
     assert lmscore.difference_scores(empty(spark), model).collect() == []
     lmscore.fit_difference(empty(spark).select("text"), empty(spark))
+
+
+def test_language_model_keeps_rare_passages(spark, monkeypatch):
+    """However large the background, what the target holds counts, and so does what the background has twice."""
+    rng = random.Random(3)
+    passage = "zyx wvu tsr qpo nml kji"
+    target = spark.createDataFrame([(passage,)], "text string")
+    rows = [(i, " ".join(words(rng, 1500)), None, "s", 1, "", "", 1) for i in range(300)]
+    rows += [(1000, passage, None, "s", 1, "", "", 1), (1001, " ".join(passage.split()[::-1]), None, "s", 1, "", "", 1)]
+    rows += [(1002 + i, "only twice", None, "s", 1, "", "", 1) for i in range(2)] + [(1004, "only once", None, "s", 1, "", "", 1)]
+    docs = frame(spark, rows)
+    monkeypatch.setattr(lmscore, "BLOCK", 1 << 18)
+    model = lmscore.fit_difference(target, docs)
+    known = lmscore._word_keys(word_hashes(*bytes_of(pa.array([passage + " only twice once"])))[0])
+    assert np.isin(known, model.vocabulary).tolist() == [True] * 8 + [False]
+    scores = lmscore.difference_scores(docs, model).collect()
+    assert sorted(r.doc_id for r in scores) == sorted(r[0] for r in rows)
+    found = {r.doc_id: r for r in scores}
+    # The order of the words tells the passage from the same words: pairs count although they are rare.
+    assert found[1000].target_loss < found[1001].target_loss and found[1000].score < min(r.score for i, r in found.items() if i != 1000)
+    # The scores are those of counts in plain Python.
+    texts = [passage, *[r[1] for r in rows]]
+    split = [t.split() for t in texts]
+    ones = [Counter(split[0]), Counter(w for t in split[1:] for w in t)]
+    twos = [Counter(zip(split[0], split[0][1:])), Counter(p for t in split[1:] for p in zip(t, t[1:]))]
+    total = [sum(c.values()) for c in ones]
+    kept = {w for w in ones[1] if ones[0][w] or ones[1][w] >= 2}
+    for doc_id, text in [(1000, split[0]), (1001, split[0][::-1]), (1004, ["only", "once"]), (0, split[1])]:
+        for side, name in enumerate(("target_loss", "background_loss")):
+            scale = total[0] / total[side]
+            unknown = total[side] - sum(ones[side][w] for w in kept)
+            loss = 0.0
+            for n, w in enumerate(text):
+                share = ((ones[side][w] if w in kept else unknown) * scale + 0.5) / (total[0] + 0.5 * (len(kept) + 1))
+                pair = (text[n - 1], w) if n else None
+                counts = pair and (twos[0][pair] or twos[1][pair] >= 2)
+                seen = twos[side][pair] * scale if counts else 0.0
+                context = ones[side][pair[0]] * scale if pair and pair[0] in kept else 0.0
+                loss -= np.log((seen + 20 * share) / (context + 20))
+            assert np.isclose(found[doc_id][name], loss / len(text))
