@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -293,36 +295,58 @@ def fit_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
 def added_spans(model: PiiModel, texts: list[str], base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
     """Spans the model finds beside the base ones.
 
-    A span belongs to the window in whose middle it starts, so overlapping windows do not report it
-    twice. Those that overlap a base span, or lack the parts of their kind, do not count.
+    The tags of the windows' middles, which tile a text, are put on end, and spans are read from
+    that sequence, however long they are. Where a span leaves the windows looked at, the next window
+    is looked at as well. Spans that overlap a base span, or lack the parts of their kind, do not count.
     """
-    rows, owner, begin = [], [], []
-    for n, text in enumerate(texts):
-        begins = telling_windows(text)
-        if begins:
-            rows.append(cut_windows(char_classes(text), begins))
-            owner += [n] * len(begins)
-            begin += begins
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    if not rows:
-        return out
-    rows = np.concatenate(rows)
     edge = (WINDOW - STRIDE) // 2
-    for i in range(0, len(rows), 4096):
-        tags = model.decode(rows[i : i + 4096])
-        for r, t in zip(*np.nonzero((tags % 2 == 1) & (np.arange(WINDOW) >= edge) & (np.arange(WINDOW) < edge + STRIDE))):
-            kind = (tags[r, t] - 1) // 2
-            stop = t + 1
-            while stop < WINDOW and tags[r, stop] == tags[r, t] + 1:
-                stop += 1
-            n = owner[i + r]
-            a, b = begin[i + r] + int(t), min(begin[i + r] + int(stop), len(texts[n]))
+    wanted = [(n, (begin + edge) // STRIDE) for n, text in enumerate(texts) for begin in telling_windows(text)]
+    classes = {n: char_classes(texts[n]) for n in {n for n, _ in wanted}}
+    looked, middles = set(wanted), {}
+    while wanted:
+        further = set()
+        for i in range(0, len(wanted), 4096):
+            part = wanted[i : i + 4096]
+            tags = model.decode(np.concatenate([
+                cut_windows(classes[n], [k * STRIDE - edge for _, k in own]) for n, own in groupby(part, itemgetter(0))
+            ]))
+            middle = tags[:, edge : edge + STRIDE]
+            for r in np.flatnonzero(middle.any(axis=1)).tolist():
+                n, k = part[r]
+                middles[n, k] = middle[r]
+                if k > 0 and _goes_on(middle[r, 0]):
+                    further.add((n, k - 1))
+                if (k + 1) * STRIDE < len(texts[n]) and _goes_on(tags[r, edge + STRIDE]):
+                    further.add((n, k + 1))
+        wanted = sorted(further - looked)
+        looked |= further
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    order = sorted(middles)
+    # Windows of a text that follow each other differ from their place by the same number.
+    for (n, _), run in groupby(range(len(order)), lambda i: (order[i][0], order[i][1] - i)):
+        run = [order[i] for i in run]
+        start = run[0][1] * STRIDE
+        for kind, a, b in _spans_of(np.concatenate([middles[x] for x in run])):
+            a, b = start + a, min(start + b, len(texts[n]))
             free = all(b <= s[1] or a >= s[2] for s in (*base[n], *out[n]))
-            if stop < WINDOW and 0 <= a < b and free and plausible(int(kind), texts[n][a:b]):
-                out[n].append((int(kind), a, b))
+            if a < b and free and plausible(kind, texts[n][a:b]):
+                out[n].append((kind, a, b))
     return out
 
 
+def _goes_on(tag: int) -> bool:
+    """Whether the character is a further one of a span."""
+    return tag > 0 and tag % 2 == 0
+
+
+def _spans_of(tags: np.ndarray) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of a sequence of tags; a further character of another kind starts a span."""
+    kinds = (tags + 1) // 2
+    before = np.concatenate([[0], kinds[:-1]])
+    cuts = np.flatnonzero((tags % 2 == 1) | (kinds != before)).tolist()
+    return [(int(kinds[a]) - 1, a, b) for a, b in zip(cuts, [*cuts[1:], len(tags)]) if kinds[a] > 0]
+
+
 def personal_data(docs: DataFrame, model: PiiModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: its id and spans (kind, start, end, by_rule), by kind as in KINDS, then start.
 

@@ -164,6 +164,22 @@ def test_personal_data(spark):
     assert pii.personal_data(empty(spark), model).collect() == []
 
 
+class Spelled:
+    """Tags every run of characters between spaces as an email, as far as a window shows it."""
+
+    def decode(self, x):
+        inside = (x > 0) & (x != pii.char_classes(" ")[0])
+        before = np.concatenate([np.zeros((len(x), 1), bool), inside[:, :-1]], axis=1)
+        return np.where(inside, np.where(before, 2, 1), 0).astype(np.int8)
+
+
+@pytest.mark.parametrize("email", ["ann.of.some.long.name@mail.example.org", "a" * 150 + "@" + "b" * 190 + ".org"])
+def test_added_spans_anywhere_and_of_any_length(email):
+    for offset in range(100):
+        for after in ("", " then"):
+            assert pii.added_spans(Spelled(), ["", " " * offset + email + after], [[], []]) == [[], [(0, offset, offset + len(email))]]
+
+
 def test_language_model_scores(spark):
     rng = random.Random(7)
     target = spark.createDataFrame([(" ".join(words(rng, 40)),) for _ in range(20)] + [(None,)], "text string")
