@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -14,139 +12,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Work, parts_of
+from .tokens import token_ids
 
 CAPACITY = 2048
 GROUP = 16_384
-CACHED_WORDS = 400_000
-KEPT_WORDS = 150_000  # from one task to the next in the same Python process
 # Sequences with more room than this after packing are opened again and packed together.
 ROOM = 64
+LEAST_SAVED = 0.005  # share of its sequences that a further round must save
 END = 0
 
-_SEPARATOR = "<|startoftext|>"
-# Marks at the end of a word, behind an ASCII letter or digit; an apostrophe may begin a contraction.
-_MARKS_BEHIND = re.compile(rb"""(.*[a-z0-9])([!"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]+)""", re.S).fullmatch
-# Accents that join the letter before them are U+0300 to U+036F, so their first byte is CC or CD.
-_AS_WRITTEN = re.compile(rb"[\xcc\xcd]|<\|").search
-_TOKENIZERS: dict[str, "WordIds"] = {}
-
-
-class WordIds:
-    """Token ids of whole texts, from a cache of the ids of words between ASCII white space.
-
-    The vocabulary drops white space and never merges across it, so a text's ids are those of its
-    words on end. It ignores case; ASCII letters are lowered here unless an accent of their own may
-    follow them. It never merges letters with marks either, so the marks behind a word are looked up
-    by themselves. Unknown words go through the tokenizer together, with a special token between
-    them; words that may spell such a token go through it alone. The cache is emptied when full.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.separator = self.tokenizer.token_to_id(_SEPARATOR)
-        vocabulary = self.tokenizer.get_vocab()
-        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.closes[[n for t, n in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-
-    def trim(self) -> None:
-        """Keep the words that were learnt first, which are mostly the frequent ones."""
-        if len(self.known) > KEPT_WORDS:
-            self.known = dict(islice(self.known.items(), KEPT_WORDS))
-
-    def _encode(self, words: list[bytes]) -> None:
-        """Learn words: those of letters only are runs of ids that each close with a word end."""
-        letters, others = [], []
-        for w in words:
-            text = w.decode()
-            (letters if text.isalpha() and text.lower().isalpha() else others).append((w, text))
-        runs = [letters[i : i + 256] for i in range(0, len(letters), 256)]
-        for run, e in zip(runs, self._ids([" ".join([t for _, t in run]) for run in runs])):
-            ends = np.flatnonzero(self.closes[e]) + 1
-            if len(ends) != len(run) or ends[-1] != len(e):
-                others += run
-                continue
-            data, begin = e.tobytes(), 0
-            for (w, _), end in zip(run, (4 * ends).tolist()):
-                self.known[w] = data[begin:end]
-                begin = end
-        alone = [x for x in others if "<|" in x[1]]
-        for (w, _), e in zip(alone, self._ids([t for _, t in alone])):
-            self.known[w] = e.tobytes()
-        apart = [x for x in others if "<|" not in x[1]]
-        runs = [apart[i : i + 256] for i in range(0, len(apart), 256)]
-        for run, e in zip(runs, self._ids([f" {_SEPARATOR} ".join([t for _, t in run]) for run in runs])):
-            data, begin = e.tobytes(), 0
-            for (w, _), cut in zip(run, [*np.flatnonzero(e == self.separator).tolist(), len(e)]):
-                self.known[w] = data[4 * begin : 4 * cut]
-                begin = cut + 1
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[bytes]) -> None:
-        known, split, whole = self.known, [], set()
-        for w in words:
-            m = None if b"<|" in w else _MARKS_BEHIND(w)
-            if m:
-                split.append((w, *m.groups()))
-                whole.update(m.groups())
-            else:
-                whole.add(w)
-        self._encode(list(whole.difference(known)))
-        for w, stem, marks in split:
-            known[w] = known[stem] + known[marks]
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        """Per text its ids as little-endian unsigned 32-bit numbers."""
-        split = [(t if _AS_WRITTEN(t) else t.lower()).split() for t in texts]
-        words = set().union(*split)
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > CACHED_WORDS:  # what this call needs survives
-            self.known = {w: self.known[w] for w in words.difference(new)}
-        self._learn(new)
-        find = self.known.__getitem__
-        return [b"".join(map(find, words)) for words in split]
-
-
-def word_ids(path: str) -> WordIds:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordIds(path)
-    return _TOKENIZERS[path]
-
-
 def _pieces_of(path: str, capacity: int, with_ids: bool):
-    end = np.array([END], "<u4").tobytes()
-    step = 4 * capacity
-
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = word_ids(path)
+        tokenizer = token_ids(path)
         for whole in batches:
             for batch in parts_of(whole, "text", 2 << 20):
-                ids = batch.column("id").to_pylist()
+                ids, at = tokenizer(batch.column("text"))
                 row, piece, start, length, crc, tokens = [], [], [], [], [], []
-                texts = batch.column("text").fill_null("").cast(pa.large_binary()).to_pylist()
-                for n, data in enumerate(tokenizer(texts)):
-                    data += end
-                    for k in range(0, len(data), step):
-                        part = data[k : k + step]
-                        row.append(ids[n])
-                        piece.append(k // step)
-                        start.append(k // 4)
+                for n, (begin, end) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                    data = np.append(ids[begin:end], np.uint32(END)).astype("<u4")
+                    for k in range(0, len(data), capacity):
+                        part = data[k : k + capacity].tobytes()
+                        row.append(n)
+                        piece.append(k // capacity)
+                        start.append(k)
                         length.append(len(part) // 4)
                         crc.append(zlib.crc32(part))
                         if with_ids:
                             tokens.append(part)
-                columns = [pa.array(row, batch.schema.field("id").type), pa.array(piece, pa.int32()),
+                columns = [batch.column("id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()),
                            pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 names = ["id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
                     columns.append(pa.array(tokens, pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
-        tokenizer.trim()
 
     return pieces
 
@@ -212,8 +111,8 @@ def packed_sequences(
     ones are cut, into pieces of ``capacity``; the last may be shorter. Whole pieces are sequences of
     their own. The others are dealt by a hash of their row into groups of about ``group`` pieces,
     and each group is packed by the sum-of-squares rule, largest first. Sequences that are left with
-    much room are opened and packed together in further rounds, with ever fewer groups. The order of
-    rows, ties and repeated rows change nothing but which piece goes where. Other columns are not
+    much room are opened and packed together in further rounds, in ever fewer groups of the same size,
+    until a round saves none. The order of rows, ties and repeated rows change nothing but which piece goes where. Other columns are not
     looked at; an empty table gives an empty result.
     """
     work = Work(docs.sparkSession)
@@ -225,7 +124,7 @@ def packed_sequences(
     pieces = work.write(pieces, "pieces")  # row numbers stay when a task runs again
 
     small = pieces.where(F.col("length") < capacity).select("row", "length")
-    packed, level, left = None, 0, small.count()
+    packed, level, left, before = None, 0, small.count(), None
     while left:
         groups = -(-left // group)
         packs = small.withColumn("group", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(groups)).cast("int"))
@@ -233,17 +132,18 @@ def packed_sequences(
             _pack(capacity), "row bigint, length bigint, number bigint, offset bigint, room bigint, group int",
         )
         out = work.write(out, f"packed{level}")
-        # One group left: nothing could be packed together with anything else.
-        again = out.where(F.col("room") > ROOM).select("row", "length") if groups > 1 else None
-        done = out if again is None else out.where(F.col("room") <= ROOM)
+        roomy = F.col("room") > ROOM
+        first = F.col("offset") == 0
+        sequences, reopened, left = out.agg(F.count_if(first), F.count_if(first & roomy), F.count_if(roomy)).first()
+        # One group left, or opening sequences again saves none: nothing more fits together.
+        last = groups == 1 or before is not None and sequences > (1 - LEAST_SAVED) * before
+        done = out if last else out.where(~roomy)
         done = done.select("row", "offset", F.lit(level).alias("level"), F.col("group").alias("within"), "number")
         packed = done if packed is None else packed.unionAll(done)
-        if again is None:
+        if last:
             break
-        small, before, left = again, left, again.count()
+        small, before = out.where(roomy).select("row", "length"), reopened
         level += 1
-        if left > 0.9 * before:
-            group *= 2
     # The first piece in a sequence gives it its number.
     if packed is None:
         packed = small.select("row", F.lit(0).cast("bigint").alias("offset"), F.lit(0).alias("level"),

@@ -66,18 +66,6 @@ def test_mixing_empty(spark):
     assert {(r.size, r.taken, r.target) for r in mixing.mixed_copies(none).collect()} == {(0, 0, 0.0)}
 
 
-def test_word_ids_are_the_tokenizers():
-    from tokenizers import Tokenizer
-
-    whole, cached = Tokenizer.from_file(tokenizer_path()), packing.WordIds(tokenizer_path())
-    rng = random.Random(1)
-    marks = [*"aAbSTd'’.,!?%<|>1 9éÉ̸́̀ΣİſK \t\n\x0b\x1c\x85 中😀", "<|endoftext|>", "<|startoftext|>", "'s", "'RE", "<|", "|>"]
-    texts = ["".join(rng.choices(marks, k=rng.randrange(30))) for _ in range(5000)]
-    texts += [r[1] or "" for r in documents()]
-    for text, ids in zip(texts, cached([t.encode() for t in texts])):
-        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
-
-
 def sum_of_squares_by_hand(sizes, capacity):
     gaps, out = [], []
     for s in sizes:
@@ -140,6 +128,26 @@ def test_packing(spark, group):
     assert packing.packed_sequences(empty(spark), tokenizer_path()).collect() == []
 
 
+def test_packing_stops_where_nothing_fits_together(spark):
+    """Pieces that cannot share a sequence: no group grows, and no more than one further round is tried."""
+    text = " ".join(["word"] * 1100)
+    rows = [(i, text, None, None, 0, "", "", 0) for i in range(300)]
+    docs = frame(spark, rows).select("doc_id", "text")
+    tasks = []
+    pack = packing._pack
+
+    def counted(capacity):
+        tasks.append(capacity)
+        return pack(capacity)
+
+    packing._pack = counted
+    try:
+        found = packing.packed_sequences(docs, tokenizer_path(), group=20).collect()
+    finally:
+        packing._pack = pack
+    assert len({r.sequence_id for r in found}) == len(found) == 300 and len(tasks) == 2
+
+
 SF_DIR = "/root/testdata/sf0.001"
 
 
