@@ -1,7 +1,7 @@
 """Pairs of columns: Pearson correlation and equality, as aggregates over whole rows.
 
-A pair costs a few buffers in a partial aggregate, and no row is shuffled. Many pairs are cut into
-chunks, small enough for the JVM to compile; each chunk reads only its own columns.
+A pair costs a few buffers in a partial aggregate, and no row is shuffled. Few pairs are aggregates in
+generated code; the correlations of many come from cross-products of tiles (``gram``).
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame
 
+from .gram import CORRELATION, UNCLEAR, cross_sums
 from .stats import aggregate
 from .table import Field, Table
 
 CORRELATIONS_PER_SCAN = 6
+FEW_CORRELATIONS = 24  # up to seven columns
 EQUALITIES_PER_SCAN = 100
 MARKS_PER_SCAN = 50
 
@@ -50,10 +52,26 @@ def _pearson(a: Field, b: Field) -> str:
     return f"if({' and '.join(varies)}, {r}, null)"
 
 
-def correlations(table: Table) -> DataFrame:
-    """(groups, slot_a, slot_b, value) for numeric columns a < b."""
+def correlations(table: Table, pin: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(groups, slot_a, slot_b, value) for numeric columns a < b.
+
+    ``pin`` computes a small table once. Pairs whose sums lost their digits, or hold infinite values, are
+    computed again one by one; the driver reads which, and the schema bounds them.
+    """
     pairs = list(combinations(table.numeric, 2))
-    return _per_pair(table, pairs, CORRELATIONS_PER_SCAN, _pearson, "double")
+    if len(pairs) <= FEW_CORRELATIONS:
+        return _per_pair(table, pairs, CORRELATIONS_PER_SCAN, _pearson, "double")
+    sums = pin(cross_sums(table), "cross_sums")
+    unclear = {(r["slot_a"], r["slot_b"]) for r in sums.where(UNCLEAR).select("slot_a", "slot_b").distinct().collect()}
+    shown = [*table.groups, "slot_a", "slot_b"]
+    if not unclear:
+        return sums.selectExpr(*shown, f"{CORRELATION} as value")
+    again = _per_pair(
+        table, [(a, b) for a, b in pairs if (a.slot, b.slot) in unclear], CORRELATIONS_PER_SCAN, _pearson, "double",
+    )
+    listed = ", ".join(f"struct({a}, {b})" for a, b in sorted(unclear))
+    clear = sums.where(f"struct(slot_a, slot_b) not in ({listed})").selectExpr(*shown, f"{CORRELATION} as value")
+    return clear.unionByName(again)
 
 
 def _equal(a: Field, b: Field) -> str:

@@ -76,9 +76,12 @@ class Profile:
     def keys(self) -> list[str]:
         return [*self.table.groups, "slot"]
 
+    def _pin(self, df: DataFrame, name: str) -> DataFrame:
+        return self.staging.pin(df, name, bounded=not self.table.groups)
+
     def _pinned(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._known:
-            self._known[name] = self.staging.pin(build(), name, bounded=not self.table.groups)
+            self._known[name] = self._pin(build(), name)
         return self._known[name]
 
     def small(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -180,7 +183,7 @@ class Profile:
 
     def correlations(self) -> DataFrame:
         """(groups, slot_a, slot_b, value) for pairs of numeric columns."""
-        return self.small("correlations", lambda: pairs.correlations(self.table))
+        return self.small("correlations", lambda: pairs.correlations(self.table, self._pin))
 
     def equal_pairs(self) -> DataFrame:
         """(groups, slot_a, slot_b) of identical columns."""
