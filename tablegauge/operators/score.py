@@ -1,7 +1,7 @@
 """The health score with its breakdown, the findings, and a gate on them.
 
-All of it is computed from the small per-column and per-pair tables of a gathered profile, per
-group where there are groups.
+All of it is computed from the small per-column and per-pair tables of a profile, per group where there
+are groups. Each category and each check names the facts it needs, and only their bases are computed.
 """
 
 from __future__ import annotations
@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..constants import DEDUCTION_CAPS, FINDING_RULES, GRADES
 from ..functions.expressions import PERCENTAGE
-from ..plans.profile import SKEWNESS, Profile
+from ..plans.profile import PAIRS, SKEWNESS, Profile
 from ..plans.stats import aggregate
 from ..plans.table import quoted
 from .numeric import correlated
@@ -87,7 +88,7 @@ def deduction(source, category: str, **options) -> DataFrame:
 
 def all_points(p: Profile) -> DataFrame:
     """(groups, category, points) of every category."""
-    p.gather()
+    p.gather(*dict.fromkeys(n for needs, _ in _figures(p).values() for n in needs), *PAIRS)
     return p.small("points", lambda: _points(p, DEDUCTION_CAPS, p.duplicates()))
 
 
@@ -180,15 +181,24 @@ def findings(source, outlier_method: str = "mad", **options) -> DataFrame:
     return p.table.present(ordered, "rule_no", "rule", "severity", "column_a", "column_b", "value", "message")
 
 
-CHECKS = (
-    "missing_percentage", "outliers_iqr", "outliers_mad", "outlier_columns", "constant_columns", "rows", "duplicate_rows", "score",
-)
+# check -> facts or bases it needs
+CHECKS: dict[str, tuple[str, ...]] = {
+    "missing_percentage": ("missing", "rows"),
+    "outliers_iqr": ("outliers_iqr",),
+    "outliers_mad": ("outliers_mad",),
+    "outlier_columns": ("outliers_mad",),
+    "constant_columns": ("uniques",),
+    "rows": (),
+    "duplicate_rows": ("duplicates",),
+    "score": (),
+}
 
 
-def measures(p: Profile) -> DataFrame:
-    """(groups, check, actual): the figures a gate can test."""
-    p.gather()
-    groups = p.table.groups
+def measures(p: Profile, checks: Iterable[str] = tuple(CHECKS)) -> DataFrame:
+    """(groups, check, actual): the figures a gate can test, from only the bases behind them."""
+    groups, checks = p.table.groups, [c for c in CHECKS if c in set(checks)]
+    if "score" in checks:
+        all_points(p)
     of_columns = {
         "missing_percentage": f"max({PERCENTAGE})",
         "outliers_iqr": "sum(outliers_iqr)",
@@ -196,22 +206,30 @@ def measures(p: Profile) -> DataFrame:
         "outlier_columns": "count_if(outliers_mad > 0)",
         "constant_columns": f"count_if({p.flags['constant'][1]})",
     }
-    of_rows = {"rows": "rows", "duplicate_rows": "duplicates"}
+    of_columns = {c: sql for c, sql in of_columns.items() if c in checks}
 
-    def listed(figures: dict[str, str]) -> str:
+    def listed(figures: Iterable[str]) -> str:
         rows = ", ".join(
             f"struct('{check}' as check, coalesce(cast({check} as double), 0D) as actual)" for check in figures
         )
         return f"inline(array({rows}))"
 
-    facts = p.facts("missing", "rows", "outliers_iqr", "outliers_mad", "uniques")
-    columns = aggregate(facts, groups, [f"{sql} as {check}" for check, sql in of_columns.items()])
-    counted = p.duplicates().selectExpr(*groups, *[f"{sql} as {check}" for check, sql in of_rows.items()])
-    return p.union([
-        columns.selectExpr(*groups, listed(of_columns)),
-        counted.selectExpr(*groups, listed(of_rows)),
-        scored(p).selectExpr(*groups, listed({"score": "score"})),
-    ])
+    needs = dict.fromkeys(n for c in checks for n in CHECKS[c])
+    if needs:
+        p.gather(*needs)
+    parts = []
+    if of_columns:
+        facts = p.facts(*[n for n in needs if n != "duplicates"])
+        columns = aggregate(facts, groups, [f"{sql} as {check}" for check, sql in of_columns.items()])
+        parts.append(columns.selectExpr(*groups, listed(of_columns)))
+    if "duplicate_rows" in checks:
+        counted = p.duplicates().selectExpr(*groups, "rows", "duplicates as duplicate_rows")
+        parts.append(counted.selectExpr(*groups, listed(c for c in ("rows", "duplicate_rows") if c in checks)))
+    elif "rows" in checks:
+        parts.append(aggregate(p.table.df, groups, ["count(1) as rows"]).selectExpr(*groups, listed(["rows"])))
+    if "score" in checks:
+        parts.append(scored(p).selectExpr(*groups, listed(["score"])))
+    return p.union(parts) if parts else p.table.empty("check string, actual double")
 
 
 def quality_gate(source, limits: dict[str, tuple[str, float]] | DataFrame, **options) -> DataFrame:
@@ -226,7 +244,9 @@ def quality_gate(source, limits: dict[str, tuple[str, float]] | DataFrame, **opt
         if unknown:
             raise ValueError(f"no such check: {', '.join(unknown)}")
         rows = [(check, bound, float(limit)) for check, (bound, limit) in limits.items()]
-        limits = p.table.spark.createDataFrame(rows, "check string, bound string, limit double")
-    tested = measures(p).join(limits, "check", "right")
+        limits, checks = p.table.spark.createDataFrame(rows, "check string, bound string, limit double"), list(limits)
+    else:
+        checks = [r["check"] for r in limits.where(F.col("check").isin(*CHECKS)).select("check").distinct().collect()]
+    tested = measures(p, checks).join(limits, "check", "right")
     passed = "coalesce(if(bound = 'min', actual >= limit, actual <= limit), false) as passed"
     return p.table.present(tested, "check", "actual", "bound", "limit", passed)

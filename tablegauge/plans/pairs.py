@@ -19,7 +19,7 @@ from .table import Field, Table
 CORRELATIONS_PER_SCAN = 6
 FEW_CORRELATIONS = 24  # up to seven columns
 EQUALITIES_PER_SCAN = 100
-MARKS_PER_SCAN = 50
+MARKS_PER_SCAN = 64
 
 Pair = tuple[Field, Field]
 
@@ -79,35 +79,44 @@ def _equal(a: Field, b: Field) -> str:
     return f"coalesce(bool_and({a.comparable} <=> {b.comparable}), true)"
 
 
-def _marks(table: Table) -> DataFrame:
-    """(groups, slot, mark): a sum of cell hashes per column; equal columns have equal sums.
-
-    The hash of a cell is multiplied by a hash of its row, so that columns with the same values in
-    another order differ.
-    """
-    row = f"pmod(xxhash64({', '.join(f.comparable for f in table.fields)}), {1 << 30})"
+def _sums_of(table: Table, df: DataFrame, fields: list[Field], size: int, sums: Callable[[Field], str]) -> DataFrame:
+    """(groups, slot, filled, mark): a bitwise sum of 64-bit hashes per column."""
     parts = []
-    for i in range(0, len(table.fields), MARKS_PER_SCAN):
-        chunk = table.fields[i : i + MARKS_PER_SCAN]
+    for i in range(0, len(fields), size):
+        chunk = fields[i : i + size]
         wide = aggregate(
-            table.df, table.groups,
-            [f"sum(cast(pmod(xxhash64({f.comparable}), {1 << 30}) * {row} as decimal(20,0))) as m{f.slot}" for f in chunk],
+            df, table.groups, [x for f in chunk for x in (f"bit_xor({sums(f)}) as m{f.slot}", f"count({f.sql}) as n{f.slot}")],
         )
-        rows = ", ".join(f"struct({f.slot} as slot, m{f.slot} as mark)" for f in chunk)
+        rows = ", ".join(f"struct({f.slot} as slot, n{f.slot} as filled, m{f.slot} as mark)" for f in chunk)
         parts.append(wide.selectExpr(*table.groups, f"inline(array({rows}))"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _alike(table: Table, marks: DataFrame) -> set[tuple[int, int]]:
+    """Pairs of columns of one type with the same mark in some group. The schema bounds what the driver reads."""
+    types = table.per_field([f.data_type.simpleString() for f in table.fields])
+    same = aggregate(
+        marks.selectExpr("*", f"{types} as type"), [*table.groups, "type", "filled", "mark"], ["sort_array(collect_list(slot)) as slots"]
+    )
+    found = same.where("size(slots) > 1").select("slots").distinct().collect()
+    return {pair for row in found for pair in combinations(row["slots"], 2)}
+
+
 def equal_pairs(table: Table) -> DataFrame:
-    """(groups, slot_a, slot_b) of columns of one type with the same value in every row."""
-    pairs = [(a, b) for a, b in combinations(table.fields, 2) if a.data_type == b.data_type]
-    if pairs:
-        # One scan marks the columns, and only pairs with the same mark in some group are compared
-        # cell by cell. The driver reads pairs of columns, which the schema bounds.
-        same = aggregate(_marks(table), [*table.groups, "mark"], ["collect_list(slot) as slots"])
-        firsts = same.where("size(slots) > 1").selectExpr("explode(slots) as slot_a", "slots")
-        twins = firsts.selectExpr("slot_a", "explode(slots) as slot_b").where("slot_a < slot_b").distinct()
-        alike = {(row["slot_a"], row["slot_b"]) for row in twins.collect()}
-        pairs = [(a, b) for a, b in pairs if (a.slot, b.slot) in alike]
-    checked = _per_pair(table, pairs, EQUALITIES_PER_SCAN, _equal, "boolean")
+    """(groups, slot_a, slot_b) of columns of one type with the same value in every row.
+
+    First every column has a mark that does not depend on the order of rows, from hashes of its own
+    cells, so each column is read once. Only columns that share one go on: with many such pairs, they
+    are marked again, now together with a hash of their row, so that other orders differ. The pairs
+    that are left are compared cell by cell.
+    """
+    by_slot = {f.slot: f for f in table.fields}
+    several = [f for f in table.fields if sum(f.data_type == g.data_type for g in table.fields) > 1]
+    alike = _alike(table, _sums_of(table, table.df, several, MARKS_PER_SCAN, lambda f: f"xxhash64({f.comparable})")) if several else set()
+    if len(alike) > EQUALITIES_PER_SCAN:
+        chosen = [by_slot[s] for s in sorted({s for pair in alike for s in pair})]
+        row = f"xxhash64({', '.join(f.comparable for f in chosen)})"
+        rows = table.df.selectExpr(*table.groups, *[f.sql for f in chosen], f"{row} as row_hash")
+        alike &= _alike(table, _sums_of(table, rows, chosen, MARKS_PER_SCAN, lambda f: f"xxhash64(row_hash, {f.comparable})"))
+    checked = _per_pair(table, [(by_slot[a], by_slot[b]) for a, b in sorted(alike)], EQUALITIES_PER_SCAN, _equal, "boolean")
     return checked.where("value").select(*table.groups, "slot_a", "slot_b")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from ..constants import NONNEGATIVE_KEYWORDS, Thresholds
 from ..functions.expressions import PERCENTAGE, finite_sql, not_nan_sql, target_name_sql, id_name_sql
 from . import pairs, rows, stats, values
-from .order_stats import order_statistics, write_ranges
+from .order_stats import block_index, median_distance, order_statistics, range_index, write_ranges
 from .sketches import approximate_order_statistics
 from .staging import Staging
 from .stats import aggregate
@@ -29,6 +29,7 @@ _FROM = {
 }
 _ZERO_WITHOUT_VALUES = ("uniques", "top", "outliers_iqr", "outliers_mad", "dates")
 FACTS = [*stats.MEASURES, *_FROM]
+PAIRS = ("duplicates", "correlations", "equal_pairs")
 
 
 class Profile:
@@ -54,7 +55,8 @@ class Profile:
         self.thresholds = thresholds or Thresholds()
         self.table = Table(df, group_cols, columns)
         self.staging = Staging(df.sparkSession)
-        self.gathered = False
+        self.gathered = False  # bases that are asked for are computed once
+        self.complete = False  # all of them are there
         self._known: dict[str, DataFrame] = {}
 
     @classmethod
@@ -70,7 +72,7 @@ class Profile:
     def close(self) -> None:
         self.staging.close()
         self._known.clear()
-        self.gathered = False
+        self.gathered = self.complete = False
 
     @property
     def keys(self) -> list[str]:
@@ -104,12 +106,40 @@ class Profile:
             self._known["ranges"] = write_ranges(self.table, counted, "value", self.staging, "ranges")
         return self._known["ranges"]
 
+    def index(self) -> DataFrame:
+        """(groups, slot, block, part, inside, low, high) of the sorted values, written."""
+        if "index" not in self._known:
+            self._known["index"] = self.staging.write(block_index(self.table, self.value_counts(), "value"), "index")
+        return self._known["index"]
+
+    def _pin_local(self, df: DataFrame) -> DataFrame:
+        """Without groups, what the ranges and a few of their blocks bound is computed once; with groups it is a plan."""
+        return df if self.table.groups else self.staging.pin(df, "", bounded=True)
+
+    def parts(self) -> DataFrame:
+        """(groups, slot, part, inside, low, high) of the ranges."""
+        if "parts" not in self._known:
+            self._known["parts"] = self._pin_local(range_index(self.table, self.index()))
+        return self._known["parts"]
+
+    def _quantiles(self, shares: Sequence[float]) -> DataFrame:
+        if self.mode == "approx":
+            return approximate_order_statistics(self.table, self.value_counts(), "value", shares)
+        return order_statistics(
+            self.table, self.value_counts(), self.index(), self.parts(), "value", shares, self._pin_local
+        )
+
+    def medians(self) -> DataFrame:
+        """(groups, slot, n, median): from the quartiles where they are known."""
+        if "quartiles" in self._known:
+            return self._known["quartiles"].select(*self.keys, "n", "median")
+        return self._pinned("medians", lambda: self._quantiles((0.5,)).selectExpr(*self.keys, "n", "at_0 as median"))
+
     def quartiles(self) -> DataFrame:
         """(groups, slot, n, q1, median, q3, lower, upper)."""
 
         def build() -> DataFrame:
-            quantiles = approximate_order_statistics if self.mode == "approx" else order_statistics
-            found = quantiles(self.table, self.value_counts(), "value", QUARTILES)
+            found = self._quantiles(QUARTILES)
             reach = f"{self.thresholds.iqr_multiplier}D * (at_2 - at_0)"
             return found.selectExpr(
                 *self.keys, "n", "at_0 as q1", "at_1 as median", "at_2 as q3",
@@ -122,18 +152,17 @@ class Profile:
         """(groups, slot, median, mad): the median and the median distance from it."""
 
         def build() -> DataFrame:
-            # Two plans need the quartiles now, so they are computed once.
-            centre = self._pinned("quartiles", self.quartiles).select(*self.keys, "median")
-            apart = self.table.attach(self.value_counts(), centre, "slot").selectExpr(
-                *self.keys, "cnt", f"{not_nan_sql('abs(value - median)')} as distance"
-            ).where("distance is not null")
+            centre = self.medians()
             if self.mode == "approx":
-                found = approximate_order_statistics(self.table, apart, "distance", (0.5,))
+                apart = self.table.attach(self.value_counts(), centre, "slot").selectExpr(
+                    *self.keys, "cnt", f"{not_nan_sql('abs(value - median)')} as distance"
+                ).where("distance is not null")
+                found = approximate_order_statistics(self.table, apart, "distance", (0.5,)).selectExpr(*self.keys, "at_0 as mad")
             else:
-                if "distances" not in self._known:
-                    self._known["distances"] = write_ranges(self.table, apart, "distance", self.staging, "distances")
-                found = order_statistics(self.table, self._known["distances"], "distance", (0.5,))
-            return self.table.attach(centre, found.selectExpr(*self.keys, "at_0 as mad"), "slot", how="left")
+                found = median_distance(
+                    self.table, self.value_counts(), self.index(), self.parts(), "value", centre, self._pin_local
+                )
+            return self.table.attach(centre.select(*self.keys, "median"), found, "slot", how="left")
 
         return self.small("deviations", build)
 
@@ -174,10 +203,10 @@ class Profile:
             return values.distinct_stats(self.table, fields)
 
         def build() -> DataFrame:
-            # The frequencies of the numeric and of the text columns are known already.
-            rest = [f for f in self.table.fields if f.kind != TEXT]
+            # The frequencies of the numeric columns, and perhaps of the texts, are known already.
+            rest = [f for f in self.table.fields if not self.complete or f.kind != TEXT]
             counted = values.distinct_stats(self.table, rest, self.value_counts() if self.mode == "exact" else None)
-            return counted.unionByName(self.text().select(*counted.columns))
+            return counted.unionByName(self.text().select(*counted.columns)) if self.complete else counted
 
         return self._pinned("uniques", build)
 
@@ -201,15 +230,28 @@ class Profile:
         Only the bases behind the asked names are computed.
         """
         chosen = self.table.fields if fields is None else fields
-        if self.gathered:
+        if not self.gathered:
+            return self._facts(names, chosen)
+        if self.complete:
             known = self._pinned("facts", lambda: self._facts(FACTS, self.table.fields))
-            return (known if fields is None else known.where(self.table.among(chosen))).select(*self.keys, *names)
-        return self._facts(names, chosen)
+        else:
+            known = self._facts(names, self.table.fields)
+        return (known if fields is None else known.where(self.table.among(chosen))).select(*self.keys, *names)
+
+    def _measured(self, measures: Sequence[str]) -> DataFrame:
+        """The measures of all columns, computed once; more of them take another scan of the columns."""
+        known = self._known.get("stats")
+        if known is None or not set(measures) <= set(known.columns):
+            wanted = [m for m in stats.MEASURES if m in measures or known is not None and m in known.columns]
+            self._known.pop("stats", None)
+            name = "stats" if known is None else f"stats{len(wanted)}"
+            self._known["stats"] = self._pin(stats.column_stats(self.table, wanted), name)
+        return self._known["stats"]
 
     def _facts(self, names: Sequence[str], fields: list[Field]) -> DataFrame:
         measures = [n for n in names if n not in _FROM]
         if self.gathered:
-            made = self._pinned("stats", lambda: stats.column_stats(self.table, stats.MEASURES))
+            made = self._measured(measures or ["rows"])
         else:
             made = stats.column_stats(self.table, measures or ["rows"], fields)
         bases = {
@@ -260,35 +302,45 @@ class Profile:
 
     # Gathering ----------------------------------------------------------------------------
 
-    def gather(self) -> Profile:
-        """Compute every base once; the operators then only combine small tables.
+    def gather(self, *names: str) -> Profile:
+        """Compute the bases behind the named facts and bases once, or all of them.
 
-        The bases do not depend on each other, so their jobs are submitted together and share the
-        executors.
+        The operators then only combine small tables. The bases do not depend on each other, but for those
+        that stand on the sorted values, so their jobs are submitted together and share the executors.
         """
-        if self.gathered:
+        if self.complete:
             return self
-        self.gathered = True
-
-        def measured() -> DataFrame:
-            return self._pinned("stats", lambda: stats.column_stats(self.table, stats.MEASURES))
-
-        def numeric() -> None:
-            self.outside_fences()
-            self.far_from_median()
-
-        with ThreadPoolExecutor(6) as pool:
-            counted = [pool.submit(self.value_counts), pool.submit(self.text)]
-            others = [pool.submit(f) for f in (self.duplicates, measured, self.correlations, self.equal_pairs)]
-            for done in counted:
+        self.gathered, self.complete = True, not names
+        names = names or (*FACTS, "quartiles", *PAIRS)
+        needs = {_FROM.get(n, n) for n in names}
+        measures = [n for n in names if n in stats.MEASURES]
+        sorted_values = needs & {"quartiles", "iqr", "mad"}
+
+        def numeric(pool: ThreadPoolExecutor) -> list[Future]:
+            if needs & {"quartiles", "iqr"}:
+                self.quartiles()
+            wanted = {"iqr": self.outside_fences, "mad": self.far_from_median}
+            return [pool.submit(build) for base, build in wanted.items() if base in needs]
+
+        with ThreadPoolExecutor(8) as pool:
+            pairs_and_rows = {"duplicates": self.duplicates, "correlations": self.correlations, "equal_pairs": self.equal_pairs}
+            running = [pool.submit(build) for base, build in pairs_and_rows.items() if base in needs]
+            if measures:
+                running.append(pool.submit(self._measured, measures))
+            text = [pool.submit(self.text)] if "text" in needs else []
+            if self.table.numeric and (sorted_values or "uniques" in needs):
+                self.value_counts()
+            for done in text:
                 done.result()
             # These stand on the two frequency tables.
-            if self.table.numeric:
-                others.append(pool.submit(numeric))
-            others.append(pool.submit(self.uniques, self.table.fields))
-            for done in others:
+            if "uniques" in needs:
+                running.append(pool.submit(self.uniques, self.table.fields))
+            if self.table.numeric and sorted_values:
+                running += numeric(pool)
+            for done in running:
                 done.result()
-        self.facts()
+        if self.complete:
+            self.facts()
         return self
 
     def union(self, parts: Sequence[DataFrame]) -> DataFrame:

@@ -1,32 +1,47 @@
-"""Duplicate rows: shuffle an eight-byte key per row first, whole rows only where keys repeat."""
+"""Duplicate rows: one aggregate over fingerprints; whole rows travel only where fingerprints disagree."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .stats import aggregate
 from .table import Table
 
+GAPS = 60
+
 
 def duplicate_rows(table: Table) -> DataFrame:
     """(groups, rows, duplicates): rows equal to another one of their group, less one per set of equals.
 
-    A row whose 64-bit key occurs once has no equal. The rows of repeated keys are then counted by
-    their full values, so a collision of the hash cannot count as a duplicate. Both counts combine
-    before their shuffle: one row copied a billion times costs no more than any other.
+    A row is its 64-bit key, with another 64-bit hash as its check. One aggregate counts the rows of a
+    key and keeps the ends of their checks, so copies leave a task as one row of four numbers. Where all
+    checks of a key agree, its rows are equal. A key whose checks differ belongs to different rows: only
+    the rows of such keys, some ten thousand among a trillion, are read again and counted by their full
+    values.
     """
-    per_group = aggregate(table.df, table.groups, ["count(1) as rows"])
+    keys = table.groups
     if not table.fields:
-        return per_group.selectExpr(*table.groups, "rows", "cast(0 as bigint) as duplicates")
+        return aggregate(table.df, keys, ["count(1) as rows", "cast(0 as bigint) as duplicates"])
     cells = [f.sql for f in table.fields]
-    # Null is skipped by the hash: its place must enter as well.
-    parts = ", ".join([*table.groups, *[f"{c}, {c} is null" for c in cells]])
-    keyed = table.df.selectExpr(*table.groups, *[f"{f.comparable} as {f.sql}" for f in table.fields]).selectExpr(
+    # Null is skipped by the hash: where cells are missing enters as numbers of up to 60 bits.
+    gaps = [
+        " + ".join(f"if({c} is null, {1 << n}L, 0L)" for n, c in enumerate(cells[i : i + GAPS])) for i in range(0, len(cells), GAPS)
+    ]
+    parts = ", ".join([*keys, *cells, *gaps])
+    keyed = table.df.selectExpr(*keys, *[f"{f.comparable} as {f.sql}" for f in table.fields]).selectExpr(
         "*", f"xxhash64({parts}) as row_key"
     )
-    repeated = aggregate(keyed, ["row_key"], ["count(1) as cnt"]).where("cnt > 1").select("row_key")
-    suspects = keyed.join(repeated, "row_key", "left_semi")
-    copies = aggregate(suspects, [*table.groups, *cells], ["count(1) as cnt"])
-    surplus = aggregate(copies, table.groups, ["sum(cnt - 1) as surplus"])
-    joined = table.attach(per_group, surplus, how="left")
-    return joined.selectExpr(*table.groups, "rows", "coalesce(surplus, 0) as duplicates")
+    # A leading value of its own makes the other hash take another course from the first cell on.
+    marked = keyed.selectExpr(*keys, "row_key", f"xxhash64('check', {parts}) as check")
+    counted = aggregate(
+        marked, [*keys, "row_key"], ["count(1) as cnt", "min(check) as low", "max(check) as high"]
+    ).selectExpr(*keys, "row_key", "cnt", "low = high as same")
+    clear = aggregate(counted, keys, ["coalesce(sum(cnt), 0) as rows", "coalesce(sum(if(same, cnt - 1, 0)), 0) as surplus"])
+
+    # Few keys at any size, so they are broadcast; without any, the rows are not read again.
+    unclear = F.broadcast(counted.where("not same and cnt > 1").select("row_key").distinct())
+    copies = aggregate(keyed.join(unclear, "row_key", "left_semi"), [*keys, *cells], ["count(1) as cnt"])
+    again = aggregate(copies, keys, ["sum(cnt - 1) as further"])
+    joined = table.attach(clear, again, how="left")
+    return joined.selectExpr(*keys, "rows", "surplus + coalesce(further, 0) as duplicates")

@@ -57,7 +57,8 @@ class Staging:
         """
         if not bounded:
             return self.write(df, name)
-        return self._spark.createDataFrame(df.toArrow(), schema=df.schema)
+        # One partition: what is derived from it needs no exchange.
+        return self._spark.createDataFrame(df.toArrow(), schema=df.schema).coalesce(1)
 
     def close(self) -> None:
         if self._folder is None:

@@ -158,3 +158,30 @@ def test_close_removes_written_tables(spark, tmp_path):
     assert os.path.isdir(folder)
     p.close()
     assert not os.path.exists(folder)
+
+
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Scan parquet")
+
+
+def test_only_the_bases_behind_a_figure(spark, tmp_path):
+    """A gate on rows is one scan and computes no base; the score needs no fences and no dates in text."""
+    path = str(tmp_path / "t")
+    spark.sql("select id, id % 7 as k, cast(id % 3 as string) as t, id * 2.5D as x from range(300)").write.parquet(path)
+    df = spark.read.parquet(path)
+    with Profile(df) as p:
+        gate = ops.quality_gate(p, {"rows": ("min", 1)})
+        assert scans(gate) == 1 and not p._known and p.staging._folder is None
+        assert [tuple(r) for r in gate.collect()] == [("rows", 300.0, "min", 1.0, True)]
+    with Profile(df) as p:
+        gate = ops.quality_gate(p, {"duplicate_rows": ("max", 0), "rows": ("min", 301)})
+        assert set(p._known) == {"duplicates"}
+        assert {r.check: r.passed for r in gate.collect()} == {"duplicate_rows": True, "rows": False}
+    with Profile(df) as p:
+        score = ops.health_score(p).first()
+        assert not {"quartiles", "iqr", "text", "facts"} & set(p._known) and "medians" in p._known
+        assert not {"avg_length", "bytes", "kurt"} & set(p._known["stats"].columns)
+        p.gather()
+        assert ops.health_score(p).first() == score == ops.health_score(df).first()
+        limits = spark.createDataFrame([("outliers_iqr", "max", 5.0), ("nothing", "max", 1.0)], "check string, bound string, limit double")
+        assert {r.check: r.actual for r in ops.quality_gate(p, limits).collect()} == {"outliers_iqr": 0.0, "nothing": None}
