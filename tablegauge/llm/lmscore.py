@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import Work, bytes_of, mixed, parts_of, word_hashes
 
@@ -18,7 +19,7 @@ from .shared import Work, bytes_of, mixed, parts_of, word_hashes
 LEAST_BACKGROUND = 2
 PRIOR = 20.0  # words' worth of the unigram model in each bigram distribution
 ADDED = 0.5
-HELD = 2_000_000  # keys a task adds up before they leave it
+HELD = 4_000_000  # keys a task adds up before they leave it
 BLOCK = 8 << 20  # bytes of text that look up their n-grams together
 BUCKET_BITS = 10  # ranges of keys, at least
 BUCKET_BYTES = 16 << 20  # of the corpus's text for each range of keys, beyond those
@@ -54,12 +55,27 @@ def _distinct(keys: np.ndarray) -> np.ndarray:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Numbers of eight bytes, their first bytes first: small ones leave runs of zeros."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Numbers of eight bytes, compressed: their first bytes first, so that small ones leave runs of zeros."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(x).to_bytes(8, "little") + (pa.compress(planes, "zstd", asbytes=True) if planes else b"")
 
 
 def _unpack(data: bytes, kind=np.int64) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+    size = 8 * int.from_bytes(data[:8], "little")
+    planes = pa.decompress(memoryview(data)[8:], size, "zstd", asbytes=True) if size else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def _pack_rows(batch: pa.RecordBatch) -> bytes:
+    """A batch as a compressed Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack_rows(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
@@ -242,36 +258,35 @@ def fit_difference(target: DataFrame, background: DataFrame, text_col: str = "te
 
 
 def _cut_blocks(bits: int):
-    """The texts with a block number, and for each block the n-grams it holds, in ranges of keys."""
+    """The texts, packed, with a block number, and for each block the n-grams it holds, in ranges of keys."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size, held = TaskContext.get().partitionId() << 32, 0, []
 
-        def asks(kind):
-            keys = _distinct(np.concatenate(held))
-            rows = [(k, _pack_keys(keys[s])) for k, s in _in_buckets(keys, bits)]
-            none = [None] * len(rows)
+        def rows(buckets: list, data: list[bytes], asks: bool) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([
-                pa.array([block] * len(rows), pa.int64()), pa.array(none, kind), pa.array(none, pa.string()),
-                pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary()),
-            ], names=["block", "id", "text", "bucket", "keys"])
+                pa.array([block] * len(data), pa.int64()), pa.array(buckets, pa.int64()), pa.array(data, pa.binary()),
+                pa.array([asks] * len(data)),
+            ], names=["block", "bucket", "data", "asks"])
+
+        def asked() -> pa.RecordBatch:
+            keys = _distinct(np.concatenate(held))
+            ranges = list(_in_buckets(keys, bits))
+            return rows([k for k, _ in ranges], [_pack_keys(keys[s]) for _, s in ranges], True)
 
-        kind = None
+        part = 0
         for whole in batches:
             for batch in parts_of(whole, "text"):
-                rows, kind = batch.num_rows, batch.column("id").type
                 hashes, first = word_hashes(*bytes_of(batch.column("text")))
                 held.append(_distinct(_gram_keys(hashes, first)))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([block] * rows, pa.int64()), batch.column("id"), batch.column("text").cast(pa.string()),
-                    pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary()),
-                ], names=["block", "id", "text", "bucket", "keys"])
+                part += 1
+                yield rows([part], [_pack_rows(batch)], False)
                 size += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
                 if size >= BLOCK:
-                    yield asks(kind)
+                    yield asked()
                     block, size, held = block + 1, 0, []
         if held:
-            yield asks(kind)
+            yield asked()
 
     return cut
 
@@ -287,16 +302,23 @@ def difference_scores(docs: DataFrame, model: DifferenceModel, id_col: str = "do
     """
     work = Work(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
+    id_type = to_arrow_type(docs.schema[id_col].dataType)
     cut = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        _cut_blocks(model.bits), f"block bigint, id {kind}, text string, bucket bigint, keys binary")
-    blocks = work.write(cut.withColumn("asks", F.col("bucket").isNotNull()), "blocks", "asks", compression="zstd")
-    texts = blocks.where("NOT asks").select("block", "id", "text")
-    answers = work.write(model.answers(blocks.where("asks").select("block", "bucket", "keys")), "answers")
+        _cut_blocks(model.bits), "block bigint, bucket bigint, data binary, asks boolean")
+    blocks = work.write(cut, "blocks", "asks")
+    texts = blocks.where("NOT asks").select("block", "bucket", "data")
+    asked = blocks.where("asks").select("block", "bucket", F.col("data").alias("keys"))
+    answers = work.write(model.answers(asked), "answers")
     work.drop("blocks/asks=true")
     smoothing = model.smoothing
 
     def score(mine: pa.Table, answers: pa.Table) -> pa.Table:
-        found = [word_hashes(*bytes_of(part.column("text"))) for batch in mine.to_batches() for part in parts_of(batch, "text")]
+        packed = mine.sort_by("bucket").column("data")
+        ids, found = [], []
+        for data in packed.to_pylist():
+            batch = _unpack_rows(data)
+            ids.append(batch.column("id"))
+            found.append(word_hashes(*bytes_of(batch.column("text"))))
         hashes = np.concatenate([np.empty(0, np.uint64), *[h for h, _ in found]])
         number = np.concatenate([np.empty(0, np.int64), *[np.diff(f) for _, f in found]])
         first = np.append(0, np.cumsum(number))
@@ -306,7 +328,7 @@ def difference_scores(docs: DataFrame, model: DifferenceModel, id_col: str = "do
         mean = [np.bincount(of_text, x, minlength=len(number)) / np.maximum(number, 1) for x in each]
         none = number == 0
         return pa.table({
-            id_col: mine.column("id"), "n_tokens": pa.array(number.astype(np.int64)), "target_loss": pa.array(mean[0], mask=none),
+            id_col: pa.chunked_array(ids, id_type), "n_tokens": pa.array(number.astype(np.int64)), "target_loss": pa.array(mean[0], mask=none),
             "background_loss": pa.array(mean[1], mask=none), "score": pa.array(mean[0] - mean[1], mask=none),
         })
 
