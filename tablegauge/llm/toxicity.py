@@ -15,6 +15,7 @@ BUCKETS = 1 << 18
 SAMPLE = 800  # labelled documents of either label
 MIN_DOCUMENTS = 5
 MIN_LIFT = 10.0
+BY_CHANCE = 0.01
 CUT = 0.7
 CONTEXT = 6
 EPOCHS = 60
@@ -154,8 +155,9 @@ def train_toxic(texts: list[bytes], labels: np.ndarray, clean_per_toxic: float |
     """Learn from labelled texts.
 
     Words are labelled first: a word of a toxic text is toxic if it is in ``MIN_LIFT`` times as
-    large a share of the toxic texts as of the clean ones and in ``MIN_DOCUMENTS`` of them; all
-    others are clean. Near copies, recognised by their smallest hash of three words, count once.
+    large a share of the toxic texts as of the clean ones, in ``MIN_DOCUMENTS`` of them, and this by
+    the likelihood ratio happens by chance to fewer than ``BY_CHANCE`` words in all; all others are
+    clean. Near copies, recognised by their smallest hash of three words, count once.
     Then the chain is trained by gradient descent on stretches: toxic words with their context, and
     stretches of clean texts. At last the score of a document is fitted to the labels, clean texts
     weighted so that there are ``clean_per_toxic`` as many of them, as in the whole table of labels.
@@ -183,8 +185,11 @@ def train_toxic(texts: list[bytes], labels: np.ndarray, clean_per_toxic: float |
     in_toxic = np.bincount(place, toxic_text, minlength=len(names))
     in_clean = np.bincount(place, ~toxic_text, minlength=len(names))
     lift = ((in_toxic + 0.5) / n_toxic) / ((in_clean + 0.5) / n_clean)
-    share = max(MIN_DOCUMENTS, 0.04 * n_toxic)
-    offending = names[(in_toxic >= share) & (lift >= MIN_LIFT)]
+    # How unlikely the split is by chance, with as many words to choose from.
+    both = in_toxic + in_clean
+    chance = [np.maximum(both * n / (n_toxic + n_clean), 1e-9) for n in (n_toxic, n_clean)]
+    ratio = sum(x * np.log(np.maximum(x, 1e-9) / e) for x, e in zip((in_toxic, in_clean), chance))
+    offending = names[(in_toxic >= MIN_DOCUMENTS) & (lift >= MIN_LIFT) & (ratio >= np.log(len(names) / BY_CHANCE))]
     tag = (np.isin(word, offending) & (labels[of_text] == 1)).astype(np.int8)
 
     buckets = ToxicModel.features(hashes, first)
