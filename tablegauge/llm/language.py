@@ -9,12 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bytes_of, parts_of, ship_package
+from .shared import bytes_of, drawn, parts_of, ship_package
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 SAMPLE = 1_500
+LEAST = 8  # documents of every language, however many there are
 WINDOWS_PER_LANGUAGE = 1_200
 STEPS = 300
 BATCH = 64
@@ -114,10 +115,13 @@ class ByteNet:
 def fit_language(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE,
 ) -> ByteNet:
-    """Learn from at most ``sample`` documents with a language, those with the smallest id hashes,
-    and of them at most ``WINDOWS_PER_LANGUAGE`` windows a language."""
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
-    found = found.where("text <> ''").orderBy(F.xxhash64("id"), "id", "lang").limit(sample).select("text", "lang").toArrow()
+    """Learn from about ``sample`` documents with a language, as many of each as there are, but not fewer than
+    ``LEAST`` of any, so that every language is learned: those with the smallest id hashes; and of them at
+    most ``WINDOWS_PER_LANGUAGE`` windows a language."""
+    named = docs.where(F.col(text_col) != "").withColumnRenamed(lang_col, "lang")
+    kinds = named.where(F.col("lang").isNotNull()).select("lang").distinct().count()
+    each = max(LEAST, -(-sample // max(kinds, 1)))
+    found = drawn(named, id_col, text_col, each, "lang", kinds).orderBy(F.xxhash64("id"), "id", "lang").select("text", "lang").toArrow()
     langs = np.array(found["lang"].to_pylist(), dtype=object)
     languages = sorted(set(langs.tolist())) or [NONE]
     if not len(langs):

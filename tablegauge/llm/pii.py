@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import parts_of, ship_package
+from .shared import drawn, parts_of, ship_package
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 1_500
@@ -287,8 +287,8 @@ def train_pii(texts: list[str]) -> PiiModel:
 
 def fit_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> PiiModel:
     """Learn from at most ``sample`` texts with a digit or an at sign, by the smallest id hashes."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    found = texts.orderBy(F.xxhash64("id"), "id").limit(sample).select("text").toArrow()
+    texts = drawn(docs.where(F.col(text_col).rlike("[0-9@]")), id_col, text_col, sample)
+    found = texts.orderBy(F.xxhash64("id"), "id").select("text").toArrow()
     return train_pii(found["text"].to_pylist())
 
 

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.staging import scratch_folder
@@ -79,6 +79,32 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+MOST_DRAWN = 1_000_000
+
+
+def drawn(docs: DataFrame, id_col: str, text_col: str, most: int, by: str | None = None, kinds: int = 1) -> DataFrame:
+    """Texts of the ``most`` smallest id hashes, per value of ``by`` if given: id, text and ``by``, one row per id.
+
+    Rows without an id, text or value of ``by`` are left out; ``kinds`` is how many values that has. Only ids
+    are ranked, and of those only about twice as many as wanted, whose hashes lie below a bound made from
+    the number of rows; texts are fetched last.
+    """
+    keys = [by] if by else []
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keys).dropna()
+    ids = docs.select("id", *keys, F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("double").alias("place"))
+    if by:
+        ids = ids.join(docs.groupBy(by).agg(F.count("*").alias("rows")), by)
+    else:
+        ids = ids.withColumn("rows", F.lit(docs.count()))
+    below = ids.where(F.col("place") * F.col("rows") < float((2 * most + 100) << 30))
+    order = Window.partitionBy(*keys).orderBy("place", "id")
+    chosen = below.select("id", *keys, "place").distinct().withColumn("nth", F.row_number().over(order))
+    chosen = chosen.where(F.col("nth") <= most).select("id", *keys)
+    if most * kinds <= MOST_DRAWN:
+        chosen = F.broadcast(chosen)
+    return docs.join(chosen, ["id", *keys]).dropDuplicates(["id", *keys])
+
+
 def in_fold(id_column: Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the id as text leaves ``fold`` modulo ``folds`` (a null id: never)."""
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % folds == fold, F.lit(False))

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from tablegauge.llm import language, lmscore, pii, quality, toxicity
-from tablegauge.llm.shared import bytes_of, word_hashes
+from tablegauge.llm.shared import bytes_of, drawn, word_hashes
 
 from .corpora import SCHEMA, documents, empty, frame, words
 
@@ -79,6 +79,43 @@ def test_language(spark):
     assert language.languages_of(empty(spark), model).collect() == []
 
 
+def test_rare_languages_are_learned(spark):
+    """Ten documents of a language among thousands: it is a class of the net, and they are found."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["the", "that", "thing", "with", "ing"]) + rng.choice("aeo") for _ in range(40)), "en") for i in range(3000)]
+    rows += [(5000 + i, " ".join(rng.choice(["quux", "zyx", "wyqu", "xuz"]) + rng.choice("uxy") for _ in range(40)), "la") for i in range(10)]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id bigint, text string, lang string").repartition(4)
+    model = language.fit_language(docs, sample=200)
+    assert model.languages == ["en", "la"]
+    found = language.languages_of(docs, model).collect()
+    assert all(r.lang_pred == ("la" if r.doc_id >= 5000 else "en") for r in found)
+
+
+def test_drawn_texts(spark):
+    rows = [(i % 500, f"text {i % 500}", "a" if i % 500 < 480 else "b") for i in range(900)] + [(None, "x", "a"), (1000, None, "a"), (1001, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    every = drawn(docs, "doc_id", "text", 30).collect()
+    assert len(every) == len({r.id for r in every}) == 30 and all(r.text == f"text {r.id}" for r in every)
+    by = Counter(r.lang for r in drawn(docs, "doc_id", "text", 25, "lang", 2).collect())
+    assert by == {"a": 25, "b": 20}
+
+
+def test_many_rare_toxic_words():
+    """Thirty toxic words, each in one toxic text of thirty: none is missed for being rare."""
+    rng = random.Random(6)
+    plain = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in ("ran", "sol", "tim", "nud")]
+    toxic = [f"zog{a}{b}" for a in "aeiou" for b in "bdfgkl"]
+    texts, labels = [], []
+    for i in range(1600):
+        words = [rng.choice(plain) for _ in range(30)]
+        if i % 2:
+            words.insert(rng.randrange(30), toxic[i // 2 % 30])
+        texts.append(" ".join(words).encode())
+        labels.append(i % 2)
+    model = toxicity.train_toxic(texts, np.array(labels))
+    assert np.any(model.weights != 0)
+
+
 def test_windows_cover_every_byte():
     import pyarrow as pa
 
