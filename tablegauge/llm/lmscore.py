@@ -26,14 +26,19 @@ BUCKET_BYTES = 16 << 20  # of the corpus's text for each range of keys, beyond t
 TOTAL = 0  # the key under which all words are counted
 
 
+# A key has 55 bits of a hash and a bit that tells pairs from words. Its last byte is zero, which packs to nothing.
+PAIR = np.uint64(1 << 8)
+HASH = ~np.uint64((1 << 9) - 1)
+
+
 def _word_keys(hashes: np.ndarray) -> np.ndarray:
-    """Even keys above TOTAL."""
-    return np.maximum(hashes & ~np.uint64(1), np.uint64(2))
+    """Keys of words, above TOTAL."""
+    return np.maximum(hashes & HASH, np.uint64(1 << 9))
 
 
 def _pair_keys(words: np.ndarray) -> np.ndarray:
-    """Odd keys of (word before, word), for all words but the first."""
-    return mixed(words[:-1] * np.uint64(0xD1342543DE82EF95) + words[1:]) | np.uint64(1)
+    """Keys of (word before, word), for all words but the first."""
+    return mixed(words[:-1] * np.uint64(0xD1342543DE82EF95) + words[1:]) & HASH | PAIR
 
 
 def _follows(number: int, first: np.ndarray) -> np.ndarray:
@@ -141,7 +146,7 @@ def _added_up(group: pa.Table) -> pa.Table:
     total = n[:, every == TOTAL].sum(axis=1)
     keep = ((n[0] > 0) | (n[1] >= LEAST_BACKGROUND)) & (every != TOTAL)
     every, n = every[keep], n[:, keep]
-    word = every & np.uint64(1) == 0
+    word = every & PAIR == 0
     known = n[:, word].sum(axis=1)
     row = [group.column("bucket")[0].as_py(), _pack_keys(every), _pack(n[0]), _pack(n[1]), int(word.sum()), *known.tolist(), *total.tolist()]
     kinds = [pa.int64(), *[pa.binary()] * 3, *[pa.int64()] * 5]
@@ -225,7 +230,7 @@ class DifferenceModel:
         """The sorted keys of all known words, for small corpora."""
         keys = [_unpack_keys(r.keys) for r in self.grams.select("keys").collect()]
         keys = np.concatenate([np.empty(0, np.uint64), *keys])
-        return np.sort(keys[keys & np.uint64(1) == 0])
+        return np.sort(keys[keys & PAIR == 0])
 
     def answers(self, asked: DataFrame) -> DataFrame:
         """The counts of the keys asked for (block, bucket, keys): (block, bucket, target, background)."""
