@@ -15,8 +15,8 @@ def scores(df, **options):
 
 def test_clean_table(table):
     df = table(
-        "id int, value double, category string",
-        id=list(range(1, 101)), value=[i * 1.5 for i in range(100)], category=(["A", "B", "C"] * 34)[:100],
+        "shelf int, depth double, wood string",
+        shelf=list(range(60)), depth=[200 - k / 4 for k in range(60)], wood=["oak", "ash", "elm", "fir"] * 15,
     )
     found = scores(df)
     # The two numbers run in step, which costs a point.
@@ -35,19 +35,19 @@ def test_table_without_rows(spark):
 
 
 def test_one_severely_missing_column(table):
-    df = table("a int, b int, c int", a=[None] * 40 + list(range(60)), b=list(range(100)), c=list(range(100)))
-    assert scores(df)["missing_values"] == pytest.approx(25 * (0.7 * 0.4 + 0.3 * 0.4 / 3), abs=0.06)
+    df = table("a int, b int", a=[None] * 12 + list(range(38)), b=[k % 11 for k in range(50)])
+    assert scores(df)["missing_values"] == pytest.approx(25 * (0.7 * 0.24 + 0.3 * 0.24 / 2), abs=0.06)
 
 
 def test_twins_and_constants(table):
-    found = scores(table("a int, a_copy int, constant int", a=[1, 2, 3, 4, 5], a_copy=[1, 2, 3, 4, 5], constant=[1] * 5))
+    found = scores(table("left int, right int, still int", left=[4, 8, 6, 9, 5, 7], right=[4, 8, 6, 9, 5, 7], still=[0] * 6))
     assert found["duplicate_columns"] == 3.0 and found["constant_columns"] == 3.0 and found["correlated_columns"] == 1.0
 
 
 def test_worse_data_scores_lower(table):
-    clean = table("a int, b int", a=list(range(100)), b=[(i * 37) % 101 for i in range(100)])
-    half = [None] * 50 + list(range(50))
-    messy = table("a int, a_copy int, b int", a=half, a_copy=half, b=[1] * 100)
+    clean = table("u int, v int", u=[k % 23 for k in range(70)], v=[(k * 29) % 71 for k in range(70)])
+    torn = [k if k % 3 else None for k in range(70)]
+    messy = table("u int, again int, v int", u=torn, again=torn, v=[6] * 70)
     assert scores(messy)["score"] < scores(clean)["score"]
 
 

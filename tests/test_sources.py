@@ -16,28 +16,28 @@ def write(tmp_path):
 
 
 def test_read(spark, write):
-    df = sources.read_csv(spark, write("a.csv", "a,b\n1,2\n3,4\n"))
-    assert df.dtypes == [("a", "bigint"), ("b", "bigint")] and sorted(df.collect()) == [(1, 2), (3, 4)]
+    df = sources.read_csv(spark, write("tides.csv", "port,height\n7,-3\n2,11\n9,0\n"))
+    assert df.dtypes == [("port", "bigint"), ("height", "bigint")] and sorted(df.collect()) == [(2, 11), (7, -3), (9, 0)]
 
 
 def test_errors(spark, write):
-    with pytest.raises(LoadError, match="File not found"):
-        sources.read_csv(spark, "/does/not/exist.csv")
-    with pytest.raises(EmptyTableError, match="File is empty"):
-        sources.read_csv(spark, write("empty.csv", ""))
-    with pytest.raises(EmptyTableError, match="File is empty"):
-        sources.read_csv(spark, write("head.csv", "a,b\n"))
+    mixed = [write("spring.csv", "tide;moon\n4;1\n"), write("neap.csv", "tide;wind\n2;8\n")]
     with pytest.raises(LoadError, match="different headers"):
-        sources.read_csv(spark, [write("x.csv", "a,b\n1,2\n"), write("y.csv", "a,c\n1,2\n")])
+        sources.read_csv(spark, mixed, sep=";")
+    for nothing in ("tide,moon\n", ""):
+        with pytest.raises(EmptyTableError, match="File is empty"):
+            sources.read_csv(spark, write("nothing.csv", nothing))
+    with pytest.raises(LoadError, match="File not found"):
+        sources.read_csv(spark, write("there.csv", "tide\n1\n").replace("there", "elsewhere"))
 
 
 def test_encodings(spark, write):
-    latin = write("latin.csv", "name,città\nJosé,São Paulo\n".encode("latin-1"))
-    df = sources.read_csv(spark, latin)
-    assert df.columns == ["name", "città"] and df.collect() == [("José", "São Paulo")]
-    assert sources.read_csv(spark, write("bom.csv", "a,b\n1,2\n".encode("utf-8-sig"))).columns == ["a", "b"]
-    both = [write("l.csv", "name\nJosé\n".encode("latin-1")), write("u.csv", "name\nZoë\n")]
-    assert sorted(r[0] for r in sources.read_csv(spark, both).collect()) == ["José", "Zoë"]
+    marked = sources.read_csv(spark, write("marked.csv", "\ufeffhavn,dybde\nRibe,4\n"))
+    assert marked.columns == ["havn", "dybde"] and marked.collect() == [("Ribe", 4)]
+    both = [write("u.csv", "fjord\nLimfjorden på dansk\n"), write("l.csv", "fjord\nÅrøsund ¾\n".encode("latin-1"))]
+    assert sorted(r[0] for r in sources.read_csv(spark, both).collect()) == ["Limfjorden på dansk", "Årøsund ¾"]
+    names = sources.read_csv(spark, write("names.csv", "dybde,ø\n3,Læsø\n".encode("latin-1")))
+    assert names.columns == ["dybde", "ø"] and names.collect() == [(3, "Læsø")]
     assert sorted(r["valid_utf8"] for r in sources.encoding_check(spark, both).collect()) == [False, True]
 
 

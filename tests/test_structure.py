@@ -7,21 +7,21 @@ def names(df):
 
 def sample(table):
     return table(
-        "id int, value int, constant_col string, with_nulls double, dup_of_value int",
-        id=[1, 2, 3, 4, 5],
-        value=[10, 12, 11, 13, 1000],
-        constant_col=["A"] * 5,
-        with_nulls=[1.0, None, 3.0, float("nan"), 5.0],
-        dup_of_value=[10, 12, 11, 13, 1000],
+        "pump int, litres int, site string, pressure double, drained int",
+        pump=[71, 72, 73, 74, 75, 76, 77, 78],
+        litres=[40, 38, 41, 40, 39, 7300, 42, 37],
+        site=["north"] * 8,
+        pressure=[0.8, float("nan"), 1.1, None, 0.9, None, 1.0, 1.2],
+        drained=[40, 38, 41, 40, 39, 7300, 42, 37],
     )
 
 
 def test_shape_and_missing(table):
     df = sample(table)
-    assert ops.shape(df).collect() == [(5, 5)]
+    assert ops.shape(df).collect() == [(8, 5)]
     missing = {r["column"]: r["missing"] for r in ops.missing_values(df).collect()}
-    assert missing["with_nulls"] == 2 and missing["id"] == 0
-    assert {r["column"]: r["percentage"] for r in ops.missing_percentage(df).collect()}["with_nulls"] == 40.0
+    assert missing["pressure"] == 3 and missing["pump"] == 0
+    assert {r["column"]: r["percentage"] for r in ops.missing_percentage(df).collect()}["pressure"] == 37.5
 
 
 def test_missing_percentage_of_an_empty_table(table, spark):
@@ -47,12 +47,12 @@ def test_duplicate_rows_with_one_hot_row(spark):
 
 def test_constant_and_near_constant(table):
     df = table(
-        "status string, normal int, c int, gone double",
-        status=["active"] * 97 + ["inactive"] * 3, normal=list(range(100)), c=[1] * 100, gone=[None] * 100,
+        "valve string, reading int, c int, gone double",
+        valve=["shut"] * 38 + ["open"] * 2, reading=[k * k for k in range(40)], c=[9] * 40, gone=[None] * 40,
     )
     assert names(ops.constant_columns(df)) == ["c", "gone"]
-    assert names(ops.near_constant_columns(df)) == ["status"]
-    varied = table("v string", v=["a"] * 80 + ["b"] * 20)
+    assert names(ops.near_constant_columns(df)) == ["valve"]
+    varied = table("v string", v=["shut"] * 37 + ["open"] * 3)
     assert names(ops.near_constant_columns(varied)) == []
 
 
@@ -78,11 +78,11 @@ def test_unique_counts_keep_values_apart(table):
 def test_high_cardinality(table):
     n = 50
     df = table(
-        "TotalPay double, employee_id int, run int, email string, few string",
-        TotalPay=[round(50000 + i * 731.42, 2) for i in range(n)], employee_id=list(range(1000, 2000, 20)),
-        run=list(range(1, n + 1)), email=[f"user{i}@example.com" for i in range(n)], few=["a", "b"] * 25,
+        "weight double, parcel_code int, queue int, street string, lane string",
+        weight=[3.5 + i / 8 for i in range(n)], parcel_code=[i * i + 17 for i in range(n)],
+        queue=list(range(-7, n - 7)), street=[f"{i} canal row" for i in range(n)], lane=["p", "q"] * 25,
     )
-    assert names(ops.high_cardinality(df)) == ["employee_id", "run", "email"]
+    assert names(ops.high_cardinality(df)) == ["parcel_code", "queue", "street"]
 
 
 def test_sequential_integers(table):

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from itertools import combinations
 
-from tablegauge.constants import ID_NAME_WORDS, NONNEGATIVE_KEYWORDS, TARGET_NAME_WORDS
+from tablegauge.constants import FINDING_RULES, ID_NAME_WORDS, NONNEGATIVE_KEYWORDS, TARGET_NAME_WORDS
 from tablegauge.sources.messy import messy_columns_sql, source_row_sql
 
 from .queries import GATE_LIMITS
@@ -234,34 +234,34 @@ def bases(keys: list[str] = []) -> str:
 
 
 def rules(method: str) -> str:
-    """The findings over the entries facts, twins and pairs."""
+    """The findings over the entries facts, twins and pairs; the sentences are the fixed ones."""
     none = "NULL::VARCHAR"
-    of_columns = (
-        (1, "missingness", "danger", "pct > 30", "pct::VARCHAR", "'🚨 Column ''' || name || ''' has high missingness (' || pct || '%).'"),
-        (2, "constant", "warning", "is_constant", none, "'⚠️ Column ''' || name || ''' is constant (no variation).'"),
-        (3, "near_constant", "", "is_near_constant", none,
-         "'🔁 Column ''' || name || ''' is nearly constant (one value dominates almost all rows).'"),
-        (4, "possible_target", "", "is_target", none, "'🎯 Column ''' || name || ''' looks like it could be the modeling target.'"),
-        (5, "id_like", "", "is_id", none, "'🆔 Column ''' || name || ''' looks like an ID (very high uniqueness).'"),
-        (6, "outliers", "", f"far_{method} > 0", f"far_{method}::VARCHAR",
-         f"'📊 Column ''' || name || ''' has ' || far_{method} || ' potential outlier(s) ({method.upper()} method).'"),
-        (9, "date_like", "", "is_date", none,
-         "'📅 Column ''' || name || ''' looks like it contains dates (consider parsing as datetime).'"),
-        (11, "negative", "", "is_negative", none, "'➖ Column ''' || name || ''' contains unexpected negative values.'"),
-        (12, "skewed", "", "is_skewed", "skew::VARCHAR", "'📐 Column ''' || name || ''' is heavily skewed (skew=' || skew || ').'"),
-    )
-    parts = [
-        f"SELECT {n} AS rule_no, '{rule}' AS rule, '{severity}' AS severity, name AS column_a, {none} AS column_b, "
-        f"{value} AS value, {message} AS message FROM facts WHERE {hit}"
-        for n, rule, severity, hit, value, message in of_columns
-    ]
-    parts.append(
-        f"SELECT 7, 'duplicate_columns', '', a, b, {none}, '🧬 Columns ''' || a || ''' and ''' || b || ''' are identical.' FROM twins"
-    )
-    parts.append(
-        "SELECT 8, 'correlated', '', a, b, round(abs(r), 3)::VARCHAR, '🔗 Columns ''' || a || ''' and ''' || b || "
-        "''' are highly correlated (' || round(abs(r), 3) || ').' FROM pairs WHERE abs(r) >= 0.9"
-    )
+    # rule -> entry, names of the columns, what hits, value
+    hits = {
+        "missingness": ("facts", ("name",), "pct > 30", "pct::VARCHAR"),
+        "constant": ("facts", ("name",), "is_constant", none),
+        "near_constant": ("facts", ("name",), "is_near_constant", none),
+        "possible_target": ("facts", ("name",), "is_target", none),
+        "id_like": ("facts", ("name",), "is_id", none),
+        "outliers": ("facts", ("name",), f"far_{method} > 0", f"far_{method}::VARCHAR"),
+        "duplicate_columns": ("twins", ("a", "b"), "true", none),
+        "correlated": ("pairs", ("a", "b"), "abs(r) >= 0.9", "round(abs(r), 3)::VARCHAR"),
+        "date_like": ("facts", ("name",), "is_date", none),
+        "negative": ("facts", ("name",), "is_negative", none),
+        "skewed": ("facts", ("name",), "is_skewed", "skew::VARCHAR"),
+    }
+    parts = []
+    for number, (rule, severity, sentence) in enumerate(FINDING_RULES, start=1):
+        if rule not in hits:  # no typed column is mixed
+            continue
+        entry, names, hit, value = hits[rule]
+        words = [*names, value, f"'{method.upper()}'"][: sentence.count("%s")]
+        text = sentence.replace("'", "''")
+        parts.append(
+            f"SELECT {number} AS rule_no, '{rule}' AS rule, '{severity}' AS severity, {names[0]} AS column_a, "
+            f"{names[1] if len(names) > 1 else none} AS column_b, {value} AS value, printf('{text}', {', '.join(words)}) AS message "
+            f"FROM {entry} WHERE {hit}"
+        )
     return " UNION ALL ".join(parts)
 
 
