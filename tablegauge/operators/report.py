@@ -69,11 +69,17 @@ def profile_tables(source, outlier_method: str = "mad", **options) -> dict[str,
 
 
 def write_profile(source, folder: str, run: str, outlier_method: str = "mad", **options) -> None:
-    """Write every section under ``folder``, partitioned by run, so that runs add up to a history."""
+    """Write every section under ``folder``, partitioned by run, so that runs add up to a history.
+
+    A run that is written again replaces its own rows and no others, also where a section has none now.
+    """
+    p = Profile.of(source, **options)
+    escaped = p.table.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(run)
+
     def write(name: str, df: DataFrame) -> None:
-        df.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(f"{folder}/{name}")
+        df.write.mode("overwrite").parquet(f"{folder}/{name}/run={escaped}")
 
-    tables = profile_tables(source, outlier_method, **options)
+    tables = profile_tables(p, outlier_method)
     with ThreadPoolExecutor(8) as pool:
         for written in [pool.submit(write, name, df) for name, df in tables.items()]:
             written.result()

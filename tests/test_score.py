@@ -140,6 +140,12 @@ def test_profile_tables_history(spark, tmp_path):
     ops.write_profile(df.where("id < 10"), folder, run="2024-01-02")
     rows = spark.read.parquet(f"{folder}/shape").collect()
     assert sorted((str(r["run"]), r["rows"]) for r in rows) == [("2024-01-01", 50), ("2024-01-02", 10)]
+    # A repeated run replaces its rows, also where nothing is found any more.
+    ops.write_profile(df.selectExpr("b * 7 % 5 as b").where("b < 4"), folder, run="2024-01-01")
+    shapes = spark.read.parquet(f"{folder}/shape").collect()
+    assert sorted((str(r["run"]), r["rows"], r["columns"]) for r in shapes) == [("2024-01-01", 34, 1), ("2024-01-02", 10, 2)]
+    found = spark.read.parquet(f"{folder}/high_cardinality_columns").collect()
+    assert {str(r["run"]) for r in found} == {"2024-01-02"}
 
 
 def test_json_safe(spark):
