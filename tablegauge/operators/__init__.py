@@ -15,10 +15,12 @@ from .numeric import (
     histogram,
     iqr_bounds,
     negative_in_nonnegative,
+    non_finite_values,
     outliers,
     outliers_iqr,
     outliers_mad,
 )
+from .history import column_states, merge_states
 from .report import full_profile, json_safe, profile_tables, report_json, write_profile
 from .score import deduction, findings, health_score, quality_gate, score_breakdown
 from .structure import (
@@ -40,10 +42,11 @@ from .structure import (
 from .text import date_like_columns, lexical_types, mixed_type_columns, text_column_stats
 
 __all__ = [
-    "boxplot_outliers", "boxplot_stats", "chartable_columns", "column_types", "constant_columns",
+    "boxplot_outliers", "boxplot_stats", "chartable_columns", "column_states", "column_types", "constant_columns",
     "correlated_columns", "correlation_matrix", "date_like_columns", "deduction", "distribution_shape",
     "duplicate_columns", "duplicate_rows", "findings", "full_profile", "health_score", "high_cardinality",
     "histogram", "id_like_name", "iqr_bounds", "json_safe", "lexical_types", "memory_usage",
+    "merge_states", "non_finite_values",
     "missing_percentage", "missing_values", "mixed_type_columns", "names_of", "near_constant_columns",
     "negative_in_nonnegative", "outliers", "outliers_iqr", "outliers_mad", "possible_target_columns",
     "profile_tables", "quality_gate", "recommended_types", "report_json", "score_breakdown",

@@ -112,6 +112,12 @@ def histogram(source, bins: int | None = None, **options) -> DataFrame:
     return named(p, histogram_bins(p, bins or p.thresholds.histogram_bins), "bin", "lower", "upper", "count")
 
 
+def non_finite_values(source, **options) -> DataFrame:
+    """(position, column, non_finite): infinite values of the numeric columns, which no histogram holds. NaN is missing."""
+    p = Profile.of(source, **options)
+    return named(p, p.facts("non_finite", fields=p.table.numeric), "non_finite")
+
+
 def boxes(p: Profile) -> DataFrame:
     """(groups, slot, min, q1, median, q3, max, whisker_low, whisker_high) of columns with values."""
     needed = ("low", "q1", "median", "q3", "high", "whisker_low", "whisker_high")

@@ -13,6 +13,7 @@ from ..functions.expressions import PERCENTAGE, finite_sql
 from ..plans.profile import FACTS, KURTOSIS, SKEWNESS, Profile
 from ..plans.stats import aggregate
 from . import numeric, score, structure, text
+from .history import column_states
 from .numeric import BOX
 
 
@@ -71,6 +72,7 @@ def profile_tables(source, outlier_method: str = "mad", **options) -> dict[str,
 def write_profile(source, folder: str, run: str, outlier_method: str = "mad", **options) -> None:
     """Write every section under ``folder``, partitioned by run, so that runs add up to a history.
 
+    ``states`` holds sketches of each column: ``merge_states`` puts runs together without their data.
     A run that is written again replaces its own rows and no others, also where a section has none now.
     """
     p = Profile.of(source, **options)
@@ -79,7 +81,7 @@ def write_profile(source, folder: str, run: str, outlier_method: str = "mad", **
     def write(name: str, df: DataFrame) -> None:
         df.write.mode("overwrite").parquet(f"{folder}/{name}/run={escaped}")
 
-    tables = profile_tables(p, outlier_method)
+    tables = profile_tables(p, outlier_method) | {"states": column_states(p)}
     with ThreadPoolExecutor(8) as pool:
         for written in [pool.submit(write, name, df) for name, df in tables.items()]:
             written.result()
@@ -109,7 +111,7 @@ def _sections(p: Profile) -> dict[str, str]:
         "distribution_shape": mapped("struct(c.skewness, c.kurtosis)", "c.shaped"),
         "histogram_data": mapped(
             "struct(concat(transform(c.bars, b -> b.lower), array(element_at(c.bars, -1).upper)) as bin_edges, "
-            "transform(c.bars, b -> b.count) as counts)",
+            "transform(c.bars, b -> b.count) as counts, c.non_finite)",
             "c.bars is not null",
         ),
         "boxplot_stats": mapped(
@@ -167,7 +169,7 @@ def full_profile(source, outlier_method: str = "mad", **options) -> DataFrame:
         *keys, f"{table.names()} as name", f"{table.types()} as type", "missing", "rows", "filled", "uniques",
         f"{PERCENTAGE} as percentage", "outliers_iqr", "outliers_mad", f"{SKEWNESS} as skewness",
         f"{KURTOSIS} as kurtosis", "bars", "points", *boxes, *flags, "round(avg_length, 1) as avg_length",
-        "min_length", "max_length", "blank", "round(bytes / 1024, 2) as kilobytes",
+        "min_length", "max_length", "blank", "non_finite", "round(bytes / 1024, 2) as kilobytes",
         f"{table.among(table.numeric)} as is_numeric", f"{table.among(table.textual)} as is_text",
     )
     cell = ", ".join(c for c in shown.columns if c not in keys)

@@ -153,7 +153,7 @@ def found(p: Profile, outlier_method: str) -> DataFrame:
         for n, rule, severity, sentence in rules if n not in of_pairs
     ]
     groups = p.table.groups
-    named = p.facts(*FACTS_SHOWN, f"outliers_{outlier_method}").selectExpr(
+    named = p.facts(*dict.fromkeys((*FACTS_SHOWN, *p.mixed_facts)), f"outliers_{outlier_method}").selectExpr(
         "*", "slot as slot_a", "cast(null as int) as slot_b",
         f"{p.table.names()} as column_a", "cast(null as string) as column_b",
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.expressions import PERCENTAGE
 from ..plans.profile import Profile
+from ..plans.sketches import approximate_distinct
 from ..plans.stats import aggregate
 from ..plans.table import INTEGRAL
 
@@ -55,11 +56,8 @@ def duplicate_rows(source, **options) -> DataFrame:
 def unique_counts(source, **options) -> DataFrame:
     """(position, column, distinct_values), missing ones left out."""
     p = Profile.of(source, **options)
-    if p.mode == "approx" and p.table.fields:
-        fields = p.table.fields
-        wide = aggregate(p.table.df, p.table.groups, [f"approx_count_distinct({f.comparable}) as u{f.slot}" for f in fields])
-        rows = ", ".join(f"struct({f.slot} as slot, u{f.slot} as uniques)" for f in fields)
-        counted = wide.selectExpr(*p.table.groups, f"inline(array({rows}))")
+    if p.mode == "approx" and not p.gathered:
+        counted = approximate_distinct(p.table, p.table.fields, top=False)
     else:
         counted = p.facts("uniques")
     return named(p, counted, "uniques as distinct_values")

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import is_date_text
-from ..plans.profile import Profile
+from ..plans.profile import SPELLED, Profile
 from ..plans.stats import aggregate
-from ..plans.table import VARIANT
+from ..plans.table import TEXT, VARIANT
 from ..plans.values import LEXICAL_CLASSES
 from .structure import named
 
@@ -52,8 +52,14 @@ def date_like_columns(source, sample_size: int | None = None, order_by: str | No
 
 
 def mixed_type_columns(source, **options) -> DataFrame:
-    """(position, column, types). A typed column is never mixed; a variant column can be."""
+    """(position, column, types). A typed column is never mixed; a variant column can be.
+
+    With ``mixed="lexical"`` a text column is, if its values spell more than one class (see ``Profile``).
+    """
     p = Profile.of(source, **options)
+    if p.mixed == "lexical":
+        fields = [f for f in p.table.fields if f.kind in (VARIANT, TEXT)]
+        return named(p, p.flagged("mixed_type", fields=fields), f"coalesce(variant_types, {SPELLED}) as types")
     variants = [f for f in p.table.fields if f.kind == VARIANT]
     return named(p, p.flagged("mixed_type", fields=variants), "variant_types as types")
 

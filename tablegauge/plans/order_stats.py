@@ -101,7 +101,8 @@ def order_statistics(
     for i, share in enumerate(shares):
         low, high = f"v{2 * i}", f"v{2 * i + 1}"
         rest = f"((n - 1) * {share}D - floor((n - 1) * {share}D))"
-        quantiles.append(f"if({low} = {high}, {low}, {low} + ({high} - {low}) * {rest}) as at_{i}")
+        # A rank without a fraction is a value, also where the next one is infinite.
+        quantiles.append(f"if({low} = {high} or {rest} = 0, {low}, {low} + ({high} - {low}) * {rest}) as at_{i}")
     return picked.selectExpr(*keys, "n", *quantiles)
 
 

@@ -12,7 +12,7 @@ from ..constants import NONNEGATIVE_KEYWORDS, Thresholds
 from ..functions.expressions import PERCENTAGE, finite_sql, not_nan_sql, target_name_sql, id_name_sql
 from . import pairs, rows, stats, values
 from .order_stats import block_index, median_distance, order_statistics, range_index, write_ranges
-from .sketches import approximate_order_statistics
+from .sketches import approximate_distinct, approximate_order_statistics, undecided_sql
 from .staging import Staging
 from .stats import aggregate
 from .table import TEXT, VARIANT, Field, Table, quoted
@@ -38,6 +38,9 @@ class Profile:
     An operator on a plain DataFrame makes its own profile and computes only what it needs. To run
     many operators on one table, make one profile, ``gather()`` it, and pass it to all of them:
     every base is then computed once. ``close()`` removes the tables it wrote.
+
+    ``mixed`` says which columns are of mixed type: "typed" looks at the types of variant values only,
+    "lexical" also at what the values of a text column spell (numbers, truth values, dates, other text).
     """
 
     def __init__(
@@ -47,11 +50,14 @@ class Profile:
         group_cols: Sequence[str] = (),
         columns: Sequence[str] | None = None,
         mode: str = "exact",
+        mixed: str = "typed",
         thresholds: Thresholds | None = None,
     ):
         if mode not in ("exact", "approx"):
             raise ValueError("mode is 'exact' or 'approx'")
-        self.mode = mode
+        if mixed not in ("typed", "lexical"):
+            raise ValueError("mixed is 'typed' or 'lexical'")
+        self.mode, self.mixed = mode, mixed
         self.thresholds = thresholds or Thresholds()
         self.table = Table(df, group_cols, columns)
         self.staging = Staging(df.sparkSession)
@@ -194,18 +200,35 @@ class Profile:
     # Other bases --------------------------------------------------------------------------
 
     def text(self, fields: list[Field] | None = None) -> DataFrame:
-        """(groups, slot, uniques, top, dates, n_integer, ...) of the text columns."""
-        return self.small("text", lambda: values.lexical_stats(self.table, self.table.textual))
+        """(groups, slot, uniques, top, dates, n_integer, ...) of the text columns; ``approx``: without the first two."""
+        build = values.lexical_stats if self.mode == "exact" else values.lexical_scan
+        return self.small("text", lambda: build(self.table, self.table.textual))
+
+    def _estimated(self, fields: list[Field]) -> DataFrame:
+        """(groups, slot, uniques, top) from sketches; columns near a detector's line are counted exactly."""
+        t = self.thresholds
+        sketched = self._pin_local(approximate_distinct(self.table, fields))
+        undecided = sketched.where(undecided_sql(t.high_cardinality, t.min_unique, t.near_constant))
+        # The driver reads one number per column.
+        slots = {r["slot"] for r in undecided.select("slot").distinct().collect()}
+        chosen = [f for f in fields if f.slot in slots]
+        estimates = sketched.where("filled > 0").select(*self.keys, "uniques", "top")
+        if not chosen:
+            return estimates
+        kept = estimates.where(f"not {self.table.among(chosen)}")
+        return kept.unionByName(values.distinct_stats(self.table, chosen).select(*kept.columns))
 
     def uniques(self, fields: list[Field]) -> DataFrame:
         """(groups, slot, uniques, top) of columns that have values."""
+        if self.mode == "approx":
+            return self._pinned("uniques", lambda: self._estimated(self.table.fields)) if self.gathered else self._estimated(fields)
         if not self.gathered:
             return values.distinct_stats(self.table, fields)
 
         def build() -> DataFrame:
             # The frequencies of the numeric columns, and perhaps of the texts, are known already.
             rest = [f for f in self.table.fields if not self.complete or f.kind != TEXT]
-            counted = values.distinct_stats(self.table, rest, self.value_counts() if self.mode == "exact" else None)
+            counted = values.distinct_stats(self.table, rest, self.value_counts())
             return counted.unionByName(self.text().select(*counted.columns)) if self.complete else counted
 
         return self._pinned("uniques", build)
@@ -264,6 +287,10 @@ class Profile:
         made = made.fillna(0, [n for n in names if n in _ZERO_WITHOUT_VALUES])
         return made.select(*self.keys, *dict.fromkeys(names))
 
+    @property
+    def mixed_facts(self) -> tuple[str, ...]:
+        return ("variant_types", *LEXICAL_COUNTS) if self.mixed == "lexical" else ("variant_types",)
+
     # What the detectors say of a row of facts, in SQL, with the facts each one needs.
 
     @property
@@ -281,6 +308,9 @@ class Profile:
         quantity = " or ".join(f"contains(lower({name}), {quoted(k)})" for k in NONNEGATIVE_KEYWORDS)
         run = ("filled", "uniques", "integral", "low", "high", "low_whole", "high_whole")
         variants = [f for f in table.fields if f.kind == VARIANT]
+        mixed = f"{table.among(variants)} and variant_types > 1"
+        if self.mixed == "lexical":
+            mixed = f"{mixed} or {table.among(table.textual)} and {SPELLED} > 1"
         return {
             "missingness": (("missing", "rows"), f"{PERCENTAGE} > {t.missing_percentage}D"),
             "constant": (("uniques",), "uniques <= 1"),
@@ -289,7 +319,7 @@ class Profile:
             "gapless": (run, gapless),
             "id_like": ((*run, "rows"), f"({unique}) and {by_kind}"),
             "date_like": (("dates", "filled"), f"dates / nullif(filled, 0) >= {t.date_ratio}D"),
-            "mixed_type": (("variant_types",), f"{table.among(variants)} and variant_types > 1"),
+            "mixed_type": (self.mixed_facts, mixed),
             "negative": (("negatives",), f"negatives > 0 and ({quantity})"),
             "skewed": (("filled", "low", "high", "skew"), f"abs({SKEWNESS}) > {t.skewness}D"),
             "shaped": (("filled",), f"filled >= 3 and {table.among(table.numeric)}"),
@@ -347,6 +377,10 @@ class Profile:
         return reduce(DataFrame.unionByName, parts)
 
 
+# How many classes the values of a text column spell: integers and decimals are both numbers.
+LEXICAL_COUNTS = tuple(f"n_{c}" for c in values.LEXICAL_CLASSES)
+SPELLED = "size(filter(array(n_integer + n_decimal, n_boolean, n_date, n_text), n -> n > 0))"
+
 # Bias-corrected sample skewness and excess kurtosis from the population moments, three decimals.
 # A column of one value has a shape of 0, and three values have no kurtosis.
 SKEWNESS = "round({}, 3)".format(

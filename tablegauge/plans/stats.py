@@ -31,6 +31,8 @@ MEASURES: dict[str, tuple[str, tuple[str, ...] | None, str]] = {
     # Infinite values are no part of a histogram: its ends are finite.
     "first_edge": ("double", NUMERIC_KINDS, "min(if(abs({d}) < double('Infinity'), {d}, null))"),
     "last_edge": ("double", NUMERIC_KINDS, "max(if(abs({d}) < double('Infinity'), {d}, null))"),
+    # NaN is missing from here on.
+    "non_finite": ("bigint", NUMERIC_KINDS, "count_if(abs({d}) = double('Infinity'))"),
     "low_whole": ("bigint", (INTEGRAL,), "min({c})"),
     "high_whole": ("bigint", (INTEGRAL,), "max({c})"),
     "integral": ("boolean", NUMERIC_KINDS, "coalesce(bool_and({d} % 1 = 0), false)"),
@@ -60,6 +62,8 @@ def _aggregate(f: Field, measure: str) -> str:
         return f"coalesce(sum(octet_length({f.sql if whole else f.key_text})), 0)"
     if measure == "integral" and f.kind == INTEGRAL:
         return f"count({f.sql}) > 0"
+    if measure == "non_finite" and f.kind != FLOAT:
+        return "0L * count(1)"
     if f.kind != FLOAT:
         measure = _SAME_AS.get(measure, measure)
     return MEASURES[measure][2].format(c=f.sql, d=f.number, blank=blank_sql(f.sql))

@@ -116,3 +116,15 @@ def lexical_stats(table: Table, fields: list[Field]) -> DataFrame:
             *[f"sum(if(class = '{c}', cnt, 0)) as n_{c}" for c in LEXICAL_CLASSES],
         ],
     )
+
+
+def lexical_scan(table: Table, fields: list[Field]) -> DataFrame:
+    """(groups, slot, dates, one count per lexical class): the patterns run once per cell, no value is exchanged."""
+    if not fields:
+        return table.empty("slot int, dates bigint, " + ", ".join(f"n_{c} bigint" for c in LEXICAL_CLASSES))
+    dated = _cells(table, fields, [f.sql for f in fields], "cell as value").withColumn("is_date", is_date_text(F.col("value")))
+    classed = dated.withColumn("class", lexical_class(F.col("value"), F.col("is_date")))
+    return aggregate(
+        classed, [*table.groups, "slot"],
+        ["count_if(is_date) as dates", *[f"count_if(class = '{c}') as n_{c}" for c in LEXICAL_CLASSES]],
+    )

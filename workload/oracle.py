@@ -518,6 +518,12 @@ def _messy_facts(select: str) -> str:
 _NAMED = 'pos AS position, name AS "column"'
 
 
+_LINEITEM = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    "l_returnflag", "l_linestatus", "l_shipdate",
+]
+
+
 def oracle() -> dict[str, str]:
     made = {
         "shape": f"{MESSY} SELECT count(*) AS rows, {len(ALL)}::BIGINT AS columns FROM messy",
@@ -531,6 +537,36 @@ def oracle() -> dict[str, str]:
         ),
         "unique_counts": f"{MESSY} {per_column(ALL, 'count(DISTINCT {c}) AS distinct_values')}",
         "unique_counts_documents": per_column(_DOC, "count(DISTINCT {c}) AS distinct_values", "documents", at=_DOC_AT),
+        "unique_counts_approx_near": " UNION ALL ".join(
+            f"SELECT {i} AS position, '{c}' AS \"column\", true AS near" for i, c in enumerate(_LINEITEM)
+        ),
+        "near_constant_columns_approx": _near_constant(),
+        "sequential_integers_approx": _sequential(["o_orderkey", "o_custkey", "o_totalprice"], _ORDER_AT, "orders"),
+        "high_cardinality_approx": (
+            f"WITH {facts(_ORDER_COLUMNS, ['o_orderkey', 'o_custkey', 'o_totalprice'], ['o_orderstatus', 'o_orderpriority'], 'orders')} "
+            f"SELECT {_NAMED} FROM facts WHERE is_id"
+        ),
+        "iqr_bounds_approx_near": " UNION ALL ".join(
+            f"SELECT '{c}' AS \"column\", true AS q1, true AS q3" for c in _LINEITEM[:8]
+        ),
+        "merged_states": " UNION ALL ".join(
+            f"SELECT '{c}' AS \"column\", count(*) AS rows, count({c}) AS filled, true AS distinct_near, "
+            + ", ".join(f"{'true' if i < 8 else 'NULL::BOOLEAN'} AS {q}" for q in ("q1", "median", "q3")) + " FROM lineitem"
+            for i, c in enumerate(_LINEITEM)
+        ),
+        "non_finite_values": (
+            "SELECT 0 AS position, 'l_extendedprice' AS \"column\", 0::BIGINT AS non_finite UNION ALL "
+            "SELECT 1, 'ratio', count(*) FROM lineitem WHERE l_tax = 0 AND l_discount <> 0 UNION ALL SELECT 2, 'l_linenumber', 0"
+        ),
+        "mixed_type_columns_lexical": (
+            "SELECT 1 AS position, 'kind' AS \"column\", 2::INTEGER AS types FROM events HAVING bool_or(event_type = 'error' "
+            "AND value IS NOT NULL) AND bool_or(event_type <> 'error')"
+        ),
+        "score_mixed_type_columns_lexical": (
+            "SELECT 'mixed_type_columns' AS category, CASE WHEN bool_or(event_type = 'error' AND value IS NOT NULL) "
+            "AND bool_or(event_type <> 'error') THEN 2.5 ELSE 0 END::DOUBLE AS points FROM events"
+        ),
+        "lexical_types_approx": f"{MESSY} {_lexical()}",
         "constant_columns": _constant(),
         "near_constant_columns": _near_constant(),
         "duplicate_columns": (

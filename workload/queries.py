@@ -232,6 +232,62 @@ def _profile_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.health_score(_generate_messy(spark, sf_dir))
 
 
+def _near_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the estimated distinct counts of every column are within five standard errors of the exact ones."""
+    table = load(spark, sf_dir, "lineitem")
+    exact = ops.unique_counts(table).withColumnRenamed("distinct_values", "exact")
+    return ops.unique_counts(table, mode="approx").join(exact, ["position", "column"]).selectExpr(
+        "position", "column", "abs(distinct_values - exact) <= 0.02 * exact as near"
+    )
+
+
+def _ranked(table: DataFrame, found: DataFrame, columns: dict[str, float]) -> DataFrame:
+    """(column, one boolean per quantile): whether its share of smaller values is within 1 % of the wanted one."""
+    numbers = [c for c, t in table.dtypes if t in ("bigint", "int", "double")]
+    cells = ", ".join(f"struct('{c}' as column, cast({c} as double) as value)" for c in numbers)
+    placed = table.selectExpr(f"inline(array({cells}))").join(F.broadcast(found), "column")
+    near = [
+        f"count_if(value < {q}) / count(value) <= {share} + 0.01 and count_if(value <= {q}) / count(value) >= {share} - 0.01 as {q}"
+        for q, share in columns.items()
+    ]
+    return placed.groupBy("column").agg(*map(F.expr, near))
+
+
+def _iqr_bounds_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = load(spark, sf_dir, "lineitem")
+    return _ranked(table, ops.iqr_bounds(table, mode="approx"), {"q1": 0.25, "q3": 0.75})
+
+
+def _merged_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States stored per month, put together without the data: counts, and whether the quantiles are near."""
+    table = load(spark, sf_dir, "lineitem")
+    folder = _new_folder(spark)
+    by_month = table.selectExpr("*", "date_trunc('month', l_shipdate) as month")
+    ops.column_states(by_month, group_cols=["month"], columns=table.columns).write.parquet(folder)
+    merged = ops.merge_states(spark.read.parquet(folder))
+    near = _ranked(table, merged.where("median is not null"), {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    exact = ops.unique_counts(table).selectExpr("column", "distinct_values as exact")
+    return merged.drop("q1", "median", "q3").join(near, "column", "left").join(exact, "column").selectExpr(
+        "column", "rows", "filled", "abs(distinct_values - exact) <= 0.02 * exact as distinct_near", "q1", "median", "q3"
+    )
+
+
+def _non_finite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discounts divided by taxes and prices: a tax of zero makes infinities, or NaN, which is missing."""
+    ratio = "if(l_tax = 0, if(l_discount = 0, double('NaN'), double('Infinity')), l_discount / l_tax) as ratio"
+    return ops.non_finite_values(load(spark, sf_dir, "lineitem").selectExpr("l_extendedprice", ratio, "l_linenumber"))
+
+
+def _lexically_mixed(operator: Callable[..., DataFrame]) -> Query:
+    """Event types of which errors show their value instead: numbers among words."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        kinds = "if(event_type = 'error', cast(cast(value as bigint) as string), event_type) as kind"
+        return operator(load(spark, sf_dir, "events").selectExpr("event_type", kinds), mixed="lexical")
+
+    return run
+
+
 QUERIES: dict[str, Query] = {
     "shape": _on_messy(ops.shape),
     "column_types": _on_messy(ops.column_types),
@@ -242,6 +298,12 @@ QUERIES: dict[str, Query] = {
     "unique_counts": _on_messy(ops.unique_counts),
     "unique_counts_documents": _on("documents", ops.unique_counts),
     "unique_counts_approx": _on("lineitem", ops.unique_counts, mode="approx"),
+    "unique_counts_approx_near": _near_exact,
+    "near_constant_columns_approx": _on_messy(ops.near_constant_columns, mode="approx"),
+    "sequential_integers_approx": _on("orders", ops.sequential_integers, mode="approx"),
+    "high_cardinality_approx": lambda spark, sf_dir: (
+        ops.high_cardinality(load(spark, sf_dir, "orders"), mode="approx").drop("distinct_values")
+    ),
     "constant_columns": _on_messy(ops.constant_columns),
     "near_constant_columns": _on_messy(ops.near_constant_columns),
     "duplicate_columns": _on_messy(ops.duplicate_columns),
@@ -258,6 +320,7 @@ QUERIES: dict[str, Query] = {
     "iqr_bounds": _on_messy(ops.iqr_bounds),
     "iqr_bounds_by_group": _on("events", ops.iqr_bounds, columns=["user_id", "value"], group_cols=["event_type"]),
     "iqr_bounds_approx": _on("lineitem", ops.iqr_bounds, mode="approx"),
+    "iqr_bounds_approx_near": _iqr_bounds_near,
     "outliers_iqr": _on_messy(ops.outliers_iqr),
     "outliers_iqr_events": _on("events", ops.outliers_iqr),
     "outliers_mad": _on_messy(ops.outliers_mad),
@@ -277,7 +340,12 @@ QUERIES: dict[str, Query] = {
     "date_like_columns": _on_messy(ops.date_like_columns),
     "date_like_columns_first": _on_messy(ops.date_like_columns, sample_size=20, order_by="order_id"),
     "mixed_type_columns": _mixed_types,
+    "mixed_type_columns_lexical": _lexically_mixed(ops.mixed_type_columns),
+    "score_mixed_type_columns_lexical": _lexically_mixed(partial(ops.deduction, category="mixed_type_columns")),
+    "non_finite_values": _non_finite,
+    "merged_states": _merged_states,
     "lexical_types": _on_messy(ops.lexical_types),
+    "lexical_types_approx": _on_messy(ops.lexical_types, mode="approx"),
     "text_column_stats": _on_messy(ops.text_column_stats),
     "text_column_stats_conversations": _on("conversations", ops.text_column_stats, group_cols=["role"]),
     **{f"score_{c}": _on_messy(partial(ops.deduction, category=c)) for c in DEDUCTION_CAPS},
