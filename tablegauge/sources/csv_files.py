@@ -7,13 +7,14 @@ Spark's own inference cannot do in that order.
 from __future__ import annotations
 
 import csv
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..constants import NA_TOKENS
+from ..constants import DELIMITERS, NA_TOKENS
 from ..errors import EmptyTableError, LoadError
 from ..functions.expressions import DECIMAL_SHAPE, INTEGER_SHAPE
 from ..operators.structure import recommended_types
@@ -27,51 +28,101 @@ _RAW = "_raw_row"
 
 @dataclass(frozen=True)
 class _FileClass:
-    """Files with the same header and encoding; open: whether a line leaves a quote open."""
+    """Files with the same header and encoding; open: whether a line leaves a quote open, perhaps the header itself."""
 
     header: str
     encoding: str
     open: bool
+    open_header: bool
     files: list[str]
 
 
 def encoding_check(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, valid_utf8, header): whether all lines of each file are UTF-8, and its first line."""
-    return _checked(spark, paths).drop("open")
+    return _checked(spark, paths, "auto").drop("open")
 
 
-def _checked(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, valid_utf8, header, open): open says that a line has an odd number of quotes."""
-    quotes = """length(value) - length(replace(value, '"', ''))"""
+def _pattern(text: str) -> str:
+    return "".join(f"\\x{{{ord(c):x}}}" for c in text)
+
+
+def _open_sql(line: str, sep: str) -> str:
+    """Whether a line that starts outside of quotes ends within them.
+
+    A quote opens a cell at the start of a line or behind a delimiter only; elsewhere it is a letter.
+    Whole quoted cells are taken out, from the left; a quote that still opens a cell has no end.
+    """
+    marks = "|".join(map(_pattern, DELIMITERS if sep == "auto" else [sep]))
+    start = f"(^\\x{{feff}}?|{marks})\""
+    return f"""rlike(regexp_replace({line}, r'{start}[^"]*+(?:""[^"]*+)*+"', '$1x'), r'{start}')"""
+
+
+def _checked(spark: SparkSession, paths: str | list[str], sep: str) -> DataFrame:
+    """(file, valid_utf8, header, open): no line of a file that is not open begins or ends within quotes."""
     return aggregate(
         text_lines(spark, paths), ["file"],
-        ["bool_and(is_valid_utf8(value)) as valid_utf8", f"{FIRST_LINE} as header", f"bool_or(({quotes}) % 2 = 1) as open"],
+        ["bool_and(is_valid_utf8(value)) as valid_utf8", f"{FIRST_LINE} as header", f"bool_or({_open_sql('value', sep)}) as open"],
+    )
+
+
+def unclosed_quotes(spark: SparkSession, paths: str | list[str], *, sep: str = ",") -> DataFrame:
+    """(file, unclosed): whether a file ends within quotes.
+
+    A line maps the state before it (outside or within quotes) to the state behind it. The last line that
+    leads to the same state from both decides, and the lines behind it that swap the two.
+    """
+    lines = text_lines(spark, paths).selectExpr(
+        "file", "block", "nth", f"{_open_sql('value', sep)} as from_out",
+        f"""{_open_sql("concat('\"x', value)", sep)} as from_in""",
+    )
+    last = aggregate(lines, ["file"], ["max(if(from_out = from_in, struct(block, nth, from_out), null)) as fixed"])
+    swaps = lines.where("from_out and not from_in").join(last, "file").where(
+        "fixed is null or struct(block, nth) > struct(fixed.block, fixed.nth)"
+    )
+    counted = aggregate(swaps, ["file"], ["count(1) as swaps"])
+    return last.join(counted, "file", "left").selectExpr(
+        "file", "coalesce(fixed.from_out, false) <> (coalesce(swaps, 0) % 2 = 1) as unclosed"
     )
 
 
-def _file_classes(spark: SparkSession, paths: str | list[str], encoding: str) -> list[_FileClass]:
+def _file_classes(
+    spark: SparkSession, paths: str | list[str], encoding: str, sep: str, multi_line: bool | None
+) -> list[_FileClass]:
     """Which files can be read together. The driver lists files anyway; it learns their class."""
-    checked = _checked(spark, paths).selectExpr(
+    checked = _checked(spark, paths, sep).selectExpr(
         "file",
         # In a file that is no UTF-8, bytes of the header may be lost: it is read again below.
         "if(valid_utf8, 'UTF-8', 'ISO-8859-1') as encoding" if encoding == "auto" else f"{quoted(encoding)} as encoding",
         "header",
         "open",
+        f"open and {_open_sql('header', sep)} as open_header",
+    )
+    # A header of several lines is known once its file is read.
+    kinds = ["header", "encoding", "open", "open_header", "alone"]
+    per_class = aggregate(
+        checked.selectExpr("*", "if(open_header, file, null) as alone"), kinds, ["sort_array(collect_list(file)) as files"]
     )
-    per_class = aggregate(checked, ["header", "encoding", "open"], ["sort_array(collect_list(file)) as files"])
     classes = [
-        _FileClass(r["header"], r["encoding"], r["open"], r["files"])
-        for r in per_class.orderBy("header", "encoding", "open").collect()
+        _FileClass(r["header"], r["encoding"], r["open"], r["open_header"] and multi_line is not False, r["files"])
+        for r in per_class.orderBy(*kinds).collect()
     ]
     if not classes:
         raise EmptyTableError(f"File is empty: {paths}")
+    opened = [f for c in classes if c.open for f in c.files]
+    if opened and multi_line is not False:
+        never_closed = unclosed_quotes(spark, opened, sep=sep).where("unclosed").select("file").head(1)
+        if never_closed:
+            raise LoadError(f"A quote is never closed: {never_closed[0]['file']}")
     return classes
 
 
 def header_names(header: str, sep: str) -> list[str]:
     """Column names of a header line: unnamed ones are numbered, repeated ones get a suffix."""
+    return _unique_names(next(csv.reader([header.removeprefix("\ufeff")], delimiter=sep), []))
+
+
+def _unique_names(cells: Iterable[str]) -> list[str]:
     names: list[str] = []
-    cells = next(csv.reader([header.removeprefix("﻿")], delimiter=sep), [])
     for position, cell in enumerate(cells):
         base = cell if cell != "" else f"Unnamed: {position}"
         name, copy = base, 0
@@ -84,7 +135,7 @@ def header_names(header: str, sep: str) -> list[str]:
 
 def _cells_sql(raw: str, sep: str) -> str:
     """The cells of a row of CSV text, in SQL: an array of texts without their quotes."""
-    mark = "".join(f"\\x{{{ord(c):x}}}" for c in sep)
+    mark = _pattern(sep)
     cell = f"""{mark}("(?:[^"]++|"")*+"(?:(?!{mark})[^\\n])*+|(?:(?!{mark})(?s:.))*+)"""
     # Every cell is looked for behind a delimiter, so the first one gets one as well.
     found = f"regexp_extract_all(concat({quoted(sep)}, {raw}), r'{cell}', 1)"
@@ -105,7 +156,12 @@ def _read_class(
         header = first.csv(found.files[0]).limit(1).collect()[0][0]
     if sep == "auto":
         sep = spark.range(1).selectExpr(f"{delimiter_sql(quoted(header))} as sep").collect()[0]["sep"]
-    names = header_names(header, sep)
+    if found.open_header:
+        first = spark.read.options(sep=sep, escape='"', encoding=found.encoding, multiLine=True, emptyValue="")
+        cells = [cell or "" for cell in first.csv(found.files[0]).limit(1).collect()[0]]
+        names = _unique_names([cells[0].removeprefix("\ufeff"), *cells[1:]])
+    else:
+        names = header_names(header, sep)
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
     schema = schema.add(_RAW, T.StringType())
     reader = spark.read.schema(schema).options(
@@ -121,20 +177,25 @@ def _read_class(
     return rows.selectExpr("*", f"{cells} as cells").selectExpr("* except (cells)", f"if({beyond}, cells, null) as cells"), names
 
 
+def _text_tables(
+    spark: SparkSession, paths: str | list[str], sep: str, encoding: str, multi_line: bool | None
+) -> list[tuple[list[str], list[tuple[_FileClass, DataFrame]]]]:
+    """The names of each header, and the classes of files that have them with their rows."""
+    tables: dict[tuple[str, ...], list[tuple[_FileClass, DataFrame]]] = {}
+    for found in _file_classes(spark, paths, encoding, sep, multi_line):
+        rows, names = _read_class(spark, found, sep, multi_line)
+        tables.setdefault(tuple(names), []).append((found, rows))
+    return [(list(names), parts) for names, parts in tables.items()]
+
+
 def _text_table(
     spark: SparkSession, paths: str | list[str], sep: str, encoding: str, multi_line: bool | None
 ) -> tuple[DataFrame, list[str]]:
-    parts, names = [], None
-    for found in _file_classes(spark, paths, encoding):
-        rows, own = _read_class(spark, found, sep, multi_line)
-        if names is not None and own != names:
-            raise LoadError(f"The files have different headers: {paths}")
-        names = own
-        parts.append(rows)
-    table = parts[0]
-    for part in parts[1:]:
-        table = table.unionByName(part)
-    return table, names
+    tables = _text_tables(spark, paths, sep, encoding, multi_line)
+    if len(tables) > 1:
+        raise LoadError(f"The files have different headers: {paths}")
+    names, parts = tables[0]
+    return reduce(DataFrame.unionByName, [rows for _, rows in parts]), names
 
 
 def na_to_null(df: DataFrame) -> DataFrame:
@@ -188,6 +249,20 @@ def downcast(df: DataFrame) -> DataFrame:
     )
 
 
+def _fitting(rows: DataFrame, width: int, on_bad_rows: str) -> DataFrame:
+    """The rows of a table as wide as its header; others are an error or left out."""
+    if on_bad_rows not in ("error", "drop"):
+        raise ValueError("on_bad_rows is 'error' or 'drop'")
+    if on_bad_rows == "drop":
+        rows = rows.where("cells is null")
+    else:
+        message = quoted(f"a row has more cells than the header: expected {width}")
+        rows = rows.where(f"if(cells is null, true, raise_error({message}))")
+    # A line of white space only is no row; blank cells with delimiters between them are one.
+    line = _RAW if width > 1 else "c0"
+    return rows.where(f"{line} is null or trim({line}) <> ''")
+
+
 def read_csv(
     spark: SparkSession,
     paths: str | list[str],
@@ -204,21 +279,12 @@ def read_csv(
 
     ``encoding="auto"`` reads files that are no UTF-8 as Latin-1. ``sep="auto"`` takes the
     delimiter from the header. Files in which a line leaves a quote open are read as a whole each, for
-    line breaks within quotes (``multi_line=None``); True or False holds for all files. A row with too few cells is filled with missing ones; one with more
+    line breaks within quotes (``multi_line=None``); True or False holds for all files. A quote that is never
+    closed is an error (but for ``multi_line=False``). A row with too few cells is filled with missing ones; one with more
     (a cell that is not empty beyond the last column) is an error, or left out with ``on_bad_rows="drop"`` (see ``bad_rows``).
     """
-    if on_bad_rows not in ("error", "drop"):
-        raise ValueError("on_bad_rows is 'error' or 'drop'")
     rows, names = _text_table(spark, paths, sep, encoding, multi_line)
-    if on_bad_rows == "drop":
-        rows = rows.where("cells is null")
-    else:
-        message = quoted(f"a row has more cells than the header: expected {len(names)}")
-        rows = rows.where(f"if(cells is null, true, raise_error({message}))")
-    columns = [f"c{i}" for i in range(len(names))]
-    # A line of white space only is no row; blank cells with delimiters between them are one.
-    line = _RAW if len(names) > 1 else "c0"
-    rows = rows.where(f"{line} is null or trim({line}) <> ''")
+    rows, columns = _fitting(rows, len(names), on_bad_rows), [f"c{i}" for i in range(len(names))]
     if rows.isEmpty():
         raise EmptyTableError(f"File is empty: {paths}")
     cells = na_to_null(rows.select(*columns))
@@ -250,7 +316,66 @@ def profile_files(
     """An operator's result per file, from one job over all files.
 
     ``per`` is a SQL expression over ``file``, such as one that takes the day out of the path; the
-    result is per value of it.
+    result is per value of it. Files may have different headers, and each has the types of its own cells.
+    Files of one value of ``per`` are one table, so they need the same header.
+    """
+    tables = tables_by_schema(spark, paths, per=per, **(csv_options or {}))
+    return reduce(DataFrame.unionByName, [operator(table, group_cols=["file"], **options) for table in tables])
+
+
+def tables_by_schema(
+    spark: SparkSession,
+    paths: str | list[str],
+    *,
+    per: str = "file",
+    sep: str = ",",
+    encoding: str = "auto",
+    multi_line: bool | None = None,
+    on_bad_rows: str = "error",
+) -> list[DataFrame]:
+    """One table per header and list of types, each with ``file``, the value of ``per``, in front.
+
+    Types are inferred for each value of ``per``, all files of a header in one scan. The driver reads a row per
+    list of types.
     """
-    table = read_csv(spark, paths, file_column="file", **(csv_options or {}))
-    return operator(table.selectExpr(f"{per} as file", "* except (file)"), group_cols=["file"], **options)
+    found = _text_tables(spark, paths, sep, encoding, multi_line)
+    listed = [(f, n) for n, (_, parts) in enumerate(found) for of, _ in parts for f in of.files]
+    headers = spark.createDataFrame(listed, "file string, header int").selectExpr(f"{per} as file", "header")
+    torn = aggregate(headers, ["file"], ["count(distinct header) as headers"]).where("headers > 1").head(1)
+    if torn:
+        raise LoadError(f"The files of {torn[0]['file']} have different headers: {paths}")
+    made = []
+    for names, parts in found:
+        columns = [f"c{i}" for i in range(len(names))]
+
+        def cells(parts: list[tuple[_FileClass, DataFrame]]) -> DataFrame:
+            rows = reduce(DataFrame.unionByName, [rows for _, rows in parts])
+            # The file name is no cell, so it is put beside the cells once they are cleaned.
+            kept = _fitting(rows, len(columns), on_bad_rows).selectExpr("struct(file) as at_file", *columns)
+            return na_to_null(kept).selectExpr("at_file.file as file", *columns)
+
+        for types, files in _types_of_files(cells(parts), columns, per):
+            chosen = [
+                _read_class(spark, replace(of, files=own), sep, multi_line)[0]
+                for of, _ in parts if (own := [f for f in of.files if f in files])
+            ]
+            casts = [c if t == "string" else f"cast(trim({c}) as {t}) as {c}" for c, t in zip(columns, types)]
+            table = cells([(of, rows) for (of, _), rows in zip(parts, chosen)])
+            made.append(table.selectExpr(f"{per} as file", *casts).toDF("file", *names))
+    if not made:
+        raise EmptyTableError(f"File is empty: {paths}")
+    return made
+
+
+def _types_of_files(cells: DataFrame, columns: list[str], per: str) -> list[tuple[list[str], set[str]]]:
+    """Each list of column types, and the files that have it."""
+    long = cells.selectExpr("file", f"{per} as of", f"posexplode(array({', '.join(columns)})) as (at, cell)")
+    fits = aggregate(long, ["of", "at"], [
+        "count(cell) as filled", "collect_set(if(at = 0, file, null)) as files",
+        *[f"bool_and(cell is null or coalesce({sql}, false)) as t{i}" for i, sql in enumerate(_FITS.values())],
+    ])
+    first = " ".join(f"when t{i} then {quoted(t)}" for i, t in enumerate(_FITS))
+    typed = fits.selectExpr("of", "at", "files", f"case when filled = 0 then 'double' {first} else 'string' end as type")
+    signed = aggregate(typed, ["of"], ["array_sort(collect_list(struct(at, type))) as types", "flatten(collect_list(files)) as files"])
+    classes = aggregate(signed, ["types"], ["flatten(collect_list(files)) as files"]).orderBy("types").collect()
+    return [([t["type"] for t in r["types"]], set(r["files"])) for r in classes]

@@ -140,3 +140,41 @@ def test_generated_table_does_not_depend_on_partitions(spark):
     assert ops.duplicate_rows(one).collect()[0][0] > 0
     missing = {r["column"]: r["percentage"] for r in ops.missing_percentage(one).collect()}
     assert 2 < missing["income"] < 6
+
+
+def test_quotes_that_are_never_closed(spark, write):
+    for text in ('k,m\n1,"x\n2,y\n3,z\n', 'k,m\n"a\nb",1\n2,"c', 'k,m\n1,"say ""hi""\n', '"k,m\n1,2\n'):
+        path = write("open.csv", text)
+        assert [r["unclosed"] for r in sources.unclosed_quotes(spark, path).collect()] == [True]
+        with pytest.raises(LoadError, match="never closed"):
+            sources.read_csv(spark, path)
+    # Quotes within a cell are letters; some of these lines have an odd number of them.
+    path = write("inch.csv", 'k,m\n5" pipe,1\n6" pipe,"2"\n"7"" pipe",3\n"a\n5"" b,",4\n')
+    assert [r["unclosed"] for r in sources.unclosed_quotes(spark, path).collect()] == [False]
+    assert sorted(sources.read_csv(spark, path).collect()) == [('5" pipe', 1), ('6" pipe', 2), ('7" pipe', 3), ('a\n5" b,', 4)]
+    plain = write("plain_inch.csv", 'k,m\n5" pipe,1\n6" ""pipe,"2"\n')
+    assert not sources.csv_files._checked(spark, plain, ",").first()["open"]
+
+
+def test_line_breaks_in_the_header(spark, write):
+    path = write("head.csv", '"first\nname",m,m\n"a\nb",2,3\nc,4,5\n')
+    df = sources.read_csv(spark, path)
+    assert df.columns == ["first\nname", "m", "m.1"]
+    assert sorted(df.collect()) == [("a\nb", 2, 3), ("c", 4, 5)]
+
+
+def test_files_of_different_headers_and_types(spark, write):
+    """One job over all files gives what each file gives alone."""
+    paths = [
+        write("p1.csv", "k,m\n1,2\n3,4\n"), write("p2.csv", "k,m\n1,x\n,y\n"), write("p3.csv", "u;k\n"),
+        write("p4.csv", "z\n0.5\n0.7\nN/A\n"), write("p5.csv", "k,m\nNA,\n,7\n"), write("p6.csv", 'k,m\n"a\nb",2\n'),
+    ]
+    for operator in (ops.column_types, ops.missing_percentage, ops.distribution_shape):
+        found = {(r["file"].rsplit("/", 1)[1], *tuple(r)[1:]) for r in sources.profile_files(spark, paths, operator).collect()}
+        alone = {
+            (path.rsplit("/", 1)[1], *tuple(r))
+            for path in paths if "p3" not in path for r in operator(sources.read_csv(spark, path)).collect()
+        }
+        assert found == alone
+    with pytest.raises(LoadError, match="different headers"):
+        sources.profile_files(spark, paths, ops.shape, per="'all'")
