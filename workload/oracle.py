@@ -689,6 +689,18 @@ def oracle() -> dict[str, str]:
             "SELECT p_partkey, CASE WHEN p_size > 40 THEN ',' WHEN p_size > 25 THEN ';' ELSE '|' END AS delimiter, 4::BIGINT AS columns FROM part"
         ),
         "generate_messy": GENERATED_ROWS,
+        "profile_files_mixed": " UNION ALL ".join(
+            f"SELECT '{status}' AS file, {i} AS position, '{c}' AS \"column\", '{t}' AS type, "
+            f"{'0::BIGINT' if c == 'remark' else 'count(*)'} AS filled FROM orders WHERE o_orderstatus = '{status}' HAVING count(*) > 0"
+            for status, columns in (
+                ("F", {"key": "bigint", "amount": "double"}), ("O", {"key": "string", "amount": "bigint"}),
+                ("P", {"buyer": "bigint", "urgent": "boolean", "remark": "double"}),
+            )
+            for i, (c, t) in enumerate(columns.items())
+        ),
+        "load_errors": "SELECT DISTINCT o_orderstatus AS status, o_orderstatus = 'P' AS unclosed FROM orders",
+        "read_csv_quoted_breaks": "SELECT doc_id, nullif(replace(text, ' ', chr(10)), '') AS text FROM documents",
+        "bom_strip": 'SELECT o_orderkey AS "order", o_custkey AS customer FROM orders',
         "profile_files": f"{MESSY} " + each(
             ALL,
             lambda i, c: (

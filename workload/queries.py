@@ -162,6 +162,49 @@ def _profile_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.profile_files(spark, paths, ops.missing_percentage, per=_FOLDER.format("flag"))
 
 
+def _profile_files_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as CSV, a folder per status: one type differs between two of them, and one has another header."""
+    folder = _new_folder(spark)
+    orders = load(spark, sf_dir, "orders")
+    for status, columns in (
+        ("F", ("o_orderkey as key", "o_totalprice as amount")),
+        ("O", ("concat('K', o_orderkey) as key", "cast(o_totalprice as bigint) as amount")),
+        ("P", ("o_custkey as buyer", "o_orderpriority = '1-URGENT' as urgent", "cast(null as string) as remark")),
+    ):
+        rows = orders.where(F.col("o_orderstatus") == status).selectExpr(*columns)
+        rows.write.option("header", True).csv(f"{folder}/status={status}")
+    return sources.profile_files(spark, f"{folder}/status=*", ops.column_types, per=_FOLDER.format("status"))
+
+
+def _load_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as CSV lines, a folder per status; those in progress end with a quote that opens a cell and has no end."""
+    folder = _new_folder(spark)
+    lines = load(spark, sf_dir, "orders").selectExpr(
+        "o_orderstatus as status",
+        """concat(o_orderkey, case o_orderstatus when 'P' then '",x,"y' when 'O' then '" pipe,"a ""b"", c",' else ',x,y' end) as `key,a,b`""",
+    )
+    lines.write.partitionBy("status").option("header", True).option("sep", "\u0001").option("quote", "").csv(folder)
+    found = sources.unclosed_quotes(spark, f"{folder}/status=*")
+    return found.groupBy(F.expr(_FOLDER.format("status")).alias("status")).agg(F.expr("bool_and(unclosed) as unclosed"))
+
+
+def _read_csv_quoted_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as CSV with a line break for every blank of their texts, read back."""
+    folder = _new_folder(spark)
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    docs = load(spark, sf_dir, "documents").selectExpr("doc_id", "replace(text, ' ', '\n') as text")
+    docs.write.options(header=True, escape='"', **kept).csv(folder)
+    return sources.read_csv(spark, folder)
+
+
+def _bom_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as CSV files that begin with a byte order mark, read back."""
+    folder = _new_folder(spark)
+    lines = load(spark, sf_dir, "orders").selectExpr("concat_ws(',', o_orderkey, o_custkey) as `\ufefforder,customer`")
+    lines.write.option("header", True).option("sep", "\u0001").csv(folder)
+    return sources.read_csv(spark, folder)
+
+
 def _profile_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs written one after the other, read back as a history."""
     folder = _new_folder(spark)
@@ -373,4 +416,8 @@ QUERIES: dict[str, Query] = {
     "detect_delimiter": _detect_delimiter,
     "generate_messy": _generate_messy,
     "profile_files": _profile_files,
+    "profile_files_mixed": _profile_files_mixed,
+    "load_errors": _load_errors,
+    "read_csv_quoted_breaks": _read_csv_quoted_breaks,
+    "bom_strip": _bom_strip,
 }
