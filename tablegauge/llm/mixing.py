@@ -149,6 +149,36 @@ def _rounded(units: DataFrame, most_units: int, block: int, work: Work, name: st
     return copies.withColumnRenamed("id", "hash")
 
 
+def _exchanged(units: DataFrame, copies: DataFrame, passes: int = 3) -> DataFrame:
+    """(hash, copy) after the words that a group misses are made up for by turning decisions round.
+
+    From the largest unit to the smallest, each one's rounding is turned where that brings the
+    group's words nearer to its share. A group has fewer than a block of units.
+    """
+    unit = F.struct((-F.col("size")).alias("first"), "hash", "size", "copy")
+    groups = units.join(copies, "hash").groupBy("group", "none").agg(
+        F.sum(F.col("size") * (F.col("share") - F.floor("share") - F.col("copy"))).alias("miss"),
+        F.array_sort(F.collect_list(unit)).alias("block"),
+    )
+    block = dict(groups.dtypes)["block"]
+
+    def turned(state: Column, unit: Column) -> Column:
+        gain = F.when(unit["copy"] == 1, -unit["size"]).otherwise(unit["size"])
+        nearer = F.abs(state["miss"] - gain) < F.abs(state["miss"]) - EDGE
+        copy = F.when(nearer, 1 - unit["copy"]).otherwise(unit["copy"])
+        return F.struct(
+            F.when(nearer, state["miss"] - gain).otherwise(state["miss"]).alias("miss"),
+            F.concat(state["done"], F.array(F.struct(unit["first"], unit["hash"], unit["size"], copy.alias("copy")))).alias("done"),
+        )
+
+    for _ in range(passes):
+        start = F.struct(F.col("miss").cast("double").alias("miss"), F.array().cast(block).alias("done"))
+        groups = groups.select("group", "none", F.aggregate("block", start, turned).alias("state")).select(
+            "group", "none", "state.miss", F.col("state.done").alias("block"),
+        )
+    return groups.select(F.explode("block").alias("u")).select("u.hash", "u.copy")
+
+
 def mixed_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights=WEIGHTS, most: int = MOST_COPIES, block: int = BLOCK,
@@ -159,9 +189,10 @@ def mixed_copies(
     The whole part is taken; the fractions are rounded by pivotal sampling: blocks of about
     ``block`` documents resolve pairs, each block leaves one fractional document, and those meet in
     the next level until one is left in a source, which is rounded to the nearer side. Documents that
-    are large beside their source (fewer than ``block``) are rounded first, and the words they miss or
-    exceed their share by are spread over the fractions of the others. So the words taken differ from
-    the target by half a small document, where a source has enough small ones.
+    are large beside their source (fewer than ``block``) are rounded first; from the largest to the
+    smallest, one is turned round where that brings their words nearer to their share, and what they
+    still miss is spread over the fractions of the others. So the words taken differ from the target
+    by half a small document, where a source has enough small ones.
 
     Draws come from hashes of the ids: reruns agree. Rows that share id and source count as one
     document. Documents without words, or a null text, are taken 0 words and copied as their whole
@@ -190,7 +221,8 @@ def mixed_copies(
 
     # Fewer than ``block`` documents of a source are larger than its size divided by ``block``.
     large = units.where("large")
-    large_copies = work.write(_rounded(large.withColumn("units", F.lit(1)), 1, block, work, "large"), "large-copies")
+    large_copies = _rounded(large.withColumn("units", F.lit(1)), 1, block, work, "large")
+    large_copies = work.write(_exchanged(large, large_copies), "large-copies")
     owed = large.join(large_copies, "hash").groupBy("group", "none").agg(
         F.sum(F.col("size") * (F.col("share") - F.floor("share") - F.col("copy"))).alias("owed"),
     )

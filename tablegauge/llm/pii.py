@@ -21,8 +21,10 @@ HIDDEN = 16
 STEPS, BATCH, RATE = 120, 64, 0.02
 TAGS = 1 + 2 * len(KINDS)  # outside; first and further characters of each kind
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# Where a run of first characters has no such rest, no part of the run has one either: it is passed
+# over as a match without the group, so long runs are read once.
+_EMAIL = re.compile(r"[A-Za-z0-9._%+-]++(@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)?")
+_IP = re.compile(r"[0-9]++(\.[0-9]++\.[0-9]++\.[0-9]++)?")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
@@ -52,10 +54,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             a -= 1
         while b < len(text) and text[b] in _EMAIL_CHARS:
             b += 1
-        spans += [(0, a + m.start(), a + m.end()) for m in _EMAIL.finditer(text[a:b])]
+        spans += [(0, a + m.start(), a + m.end()) for m in _EMAIL.finditer(text[a:b]) if m[1]]
         at = text.find("@", b)
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
+        if m[1] and all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
             spans.append((1, m.start(), m.end()))
     for m in _CARD.finditer(text):
         digits = _digits(m.group())
@@ -322,14 +324,17 @@ def added_spans(model: PiiModel, texts: list[str], base: list[list[tuple[int, in
         looked |= further
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     order = sorted(middles)
+    ruled = {n: np.zeros(len(texts[n]), bool) for n in {n for n, _ in order}}
+    for n, by_rule in ruled.items():
+        for _, a, b in base[n]:
+            by_rule[a:b] = True
     # Windows of a text that follow each other differ from their place by the same number.
     for (n, _), run in groupby(range(len(order)), lambda i: (order[i][0], order[i][1] - i)):
         run = [order[i] for i in run]
         start = run[0][1] * STRIDE
         for kind, a, b in _spans_of(np.concatenate([middles[x] for x in run])):
             a, b = start + a, min(start + b, len(texts[n]))
-            free = all(b <= s[1] or a >= s[2] for s in (*base[n], *out[n]))
-            if a < b and free and plausible(kind, texts[n][a:b]):
+            if a < b and not ruled[n][a:b].any() and plausible(kind, texts[n][a:b]):
                 out[n].append((kind, a, b))
     return out
 

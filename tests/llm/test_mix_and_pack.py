@@ -51,6 +51,20 @@ def test_mixing(spark):
     assert copied.columns == frame(spark, rows).columns and copied.count() == sum(r.copies for r in found)
 
 
+def test_mixing_of_sources_with_few_documents(spark):
+    """Where nearly every document is large beside its source, the words still come near the target."""
+    rng, rows = random.Random(12), []
+    for n in range(12):
+        lengths = [rng.randint(10, 900) for _ in range(49)] + [3700]
+        rows += [(100 * n + i, "w " * k, None, f"s{n:02}", 1, "", "", 1) for i, k in enumerate(lengths)]
+    found = mixing.mixed_copies(frame(spark, rows)).collect()
+    taken = collections.Counter()
+    for r in found:
+        taken[r.source] += r.taken
+    for source, target in {(r.source, r.target) for r in found}:
+        assert abs(taken[source] - target) <= 0.005 * target, source
+
+
 def test_mixing_keeps_expectations(spark):
     """Over many documents of one size, as many copies as the target asks for, in every block."""
     rows = [(i, "a b c", None, "x" if i % 3 else "y", 1, "", "", 1) for i in range(900)]

@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -177,6 +179,41 @@ def test_base_spans():
     assert pii.base_spans("a@b.c@d.e") == [(0, 0, 5)]
 
 
+def spans_by_hand(text):
+    """The four kinds by plain patterns over the whole text."""
+    digits = lambda t: [int(c) for c in t if c in "0123456789"]
+
+    def checked(numbers):
+        return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(numbers))) % 10 == 0
+
+    kinds = [
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda t: True),
+        (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda t: all(int(p) <= 255 for p in t.split("."))),
+        (r"[0-9]([\x20-]?[0-9])+", lambda t: 13 <= len(digits(t)) <= 19 and checked(digits(t))),
+        (r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: 9 <= len(digits(t)) <= 15),
+    ]
+    return [(k, *m.span()) for k, (rule, good) in enumerate(kinds) for m in re.finditer(rule, text) if good(m.group())]
+
+
+def test_base_spans_agree_with_plain_patterns():
+    rng, found = random.Random(4), Counter()
+    for alphabet in ("a1.@", "a.@@-% é", "012.", "12. ", "0123456789 -", "+(1 2)-.3", "+1a@.4 -\n"):
+        for _ in range(1500):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60)))
+            assert pii.base_spans(text) == spans_by_hand(text), text
+            found.update(k for k, *_ in spans_by_hand(text))
+    assert min(found[k] for k in range(4)) > 50
+
+
+def test_base_spans_of_long_runs_take_linear_time():
+    n = 300_000
+    started = time.perf_counter()
+    for text in ("@" + "a" * n, "a" * n + "@", "a@" * n, "a@b" * n, "7" * n, "1." * n, "1 " * n, "+" * n, "+1" * n, "+1" + "." * n, "a." * n + "@b"):
+        assert [s for s in pii.base_spans(text) if s[0] != 1] == []
+    assert pii.base_spans("x" * n + "@y." + "z" * n) == [(0, 0, 2 * n + 3)]
+    assert time.perf_counter() - started < 30
+
+
 def test_personal_data(spark):
     rng = random.Random(6)
     rows = []
