@@ -12,6 +12,7 @@ from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import DELIMITERS, NA_TOKENS
@@ -20,7 +21,7 @@ from ..functions.expressions import DECIMAL_SHAPE, INTEGER_SHAPE
 from ..operators.structure import recommended_types
 from ..plans.stats import aggregate
 from ..plans.table import quoted
-from .quick_scan import FIRST_LINE, PLAIN, delimiter_sql, text_lines
+from .quick_scan import FIRST_LINE, PLAIN, delimiter_sql, per_file, text_lines
 
 # A name no header has: the whole text of a row that has more or fewer cells than the header.
 _RAW = "_raw_row"
@@ -54,15 +55,16 @@ def _open_sql(line: str, sep: str) -> str:
     """
     marks = "|".join(map(_pattern, DELIMITERS if sep == "auto" else [sep]))
     start = f"(^\\x{{feff}}?|{marks})\""
-    return f"""rlike(regexp_replace({line}, r'{start}[^"]*+(?:""[^"]*+)*+"', '$1x'), r'{start}')"""
+    open_cell = f"""rlike(regexp_replace({line}, r'{start}[^"]*+(?:""[^"]*+)*+"', '$1x'), r'{start}')"""
+    return f"""(contains({line}, '"') and {open_cell})"""
 
 
 def _checked(spark: SparkSession, paths: str | list[str], sep: str) -> DataFrame:
     """(file, valid_utf8, header, open): no line of a file that is not open begins or ends within quotes."""
-    return aggregate(
-        text_lines(spark, paths), ["file"],
-        ["bool_and(is_valid_utf8(value)) as valid_utf8", f"{FIRST_LINE} as header", f"bool_or({_open_sql('value', sep)}) as open"],
-    )
+    return per_file(text_lines(spark, paths), [
+        "not array_contains(collect_set(is_valid_utf8(value)), false) as valid_utf8",
+        f"{FIRST_LINE} as header", f"bool_or({_open_sql('value', sep)}) as open",
+    ])
 
 
 def unclosed_quotes(spark: SparkSession, paths: str | list[str], *, sep: str = ",") -> DataFrame:
@@ -71,17 +73,24 @@ def unclosed_quotes(spark: SparkSession, paths: str | list[str], *, sep: str = "
     A line maps the state before it (outside or within quotes) to the state behind it. The last line that
     leads to the same state from both decides, and the lines behind it that swap the two.
     """
+    # A line without a quote leads to the state before it.
+    quote = """contains(value, '"')"""
     lines = text_lines(spark, paths).selectExpr(
-        "file", "block", "nth", f"{_open_sql('value', sep)} as from_out",
-        f"""{_open_sql("concat('\"x', value)", sep)} as from_in""",
+        "path", "block", "nth", f"{_open_sql('value', sep)} as from_out",
+        f"""not {quote} or {_open_sql("concat('\"x', value)", sep)} as from_in""",
     )
-    last = aggregate(lines, ["file"], ["max(if(from_out = from_in, struct(block, nth, from_out), null)) as fixed"])
-    swaps = lines.where("from_out and not from_in").join(last, "file").where(
-        "fixed is null or struct(block, nth) > struct(fixed.block, fixed.nth)"
+    # Only numbers are kept per block, so lines are combined by hash: the place of a deciding line, and its state as last bit.
+    blocks = aggregate(lines, ["path", "block"], ["max(if(from_out = from_in, shiftleft(nth, 1) + int(from_out), null)) as fixed"])
+    last = aggregate(blocks, ["path"], [
+        "max(if(fixed is null, null, struct(block, shiftright(fixed, 1) as nth, fixed % 2 = 1 as from_out))) as fixed"
+    ])
+    # A row per file, which the driver lists anyway.
+    swaps = lines.where("from_out and not from_in").join(F.broadcast(last), "path").where(
+        "fixed is null or block > fixed.block or block = fixed.block and nth > fixed.nth"
     )
-    counted = aggregate(swaps, ["file"], ["count(1) as swaps"])
-    return last.join(counted, "file", "left").selectExpr(
-        "file", "coalesce(fixed.from_out, false) <> (coalesce(swaps, 0) % 2 = 1) as unclosed"
+    counted = aggregate(swaps, ["path"], ["count(1) as swaps"])
+    return last.join(counted, "path", "left").selectExpr(
+        f"{PLAIN.format('path')} as file", "coalesce(fixed.from_out, false) <> (coalesce(swaps, 0) % 2 = 1) as unclosed"
     )
 
 

@@ -17,18 +17,25 @@ PLAIN = "regexp_replace(url_decode(replace({}, '+', '%2B')), '^file:/+', 'file:/
 
 
 def text_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, file_size, block, nth, value): the lines of text files with their place."""
+    """(path, file_size, block, nth, value): the lines of text files with their place; ``PLAIN`` names the file of a path."""
     try:
         lines = spark.read.text(paths)
     except AnalysisException as e:
         raise LoadError(f"File not found: {paths}") from e
     return lines.selectExpr(
-        f"{PLAIN.format('_metadata.file_path')} as file", "_metadata.file_size as file_size",
+        "_metadata.file_path as path", "_metadata.file_size as file_size",
         "_metadata.file_block_start as block", "monotonically_increasing_id() as nth", "value",
     )
 
 
-# The line a file starts with: the first one of its first block.
+def per_file(lines: DataFrame, aggregates: list[str]) -> DataFrame:
+    """(file, aggregates...): the name of a file is made once per file and task, not per line."""
+    made = aggregate(lines, ["path"], aggregates)
+    return made.selectExpr(f"{PLAIN.format('path')} as file", "* except (path)")
+
+
+# The line a file starts with: the first one of its first block. Beside a ``collect_set`` Spark aggregates texts
+# by hash; alone, it would sort all lines by their file first.
 FIRST_LINE = "min_by(value, struct(block, nth))"
 
 
@@ -54,11 +61,11 @@ def quick_scan(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     Rows are non-blank lines behind the first one, so a line break within quotes counts. Lines are
     counted per file within each task; only counts and candidate headers are shuffled.
     """
-    per_file = aggregate(
-        text_lines(spark, paths), ["file"],
-        [f"count_if(not {blank_sql('value')}) as filled", f"{FIRST_LINE} as header", "max(file_size) as size"],
+    counted = per_file(
+        text_lines(spark, paths),
+        [f"count_if(not {blank_sql('value')}) as filled", f"{FIRST_LINE} as header", "array_max(collect_set(file_size)) as size"],
     )
-    found = detect_delimiter(per_file).selectExpr(
+    found = detect_delimiter(counted).selectExpr(
         "file", f"filled - if({blank_sql('header')}, 0, 1) as rows", "columns", "delimiter", "size"
     )
     # An empty file has no line at all, but is a file. The driver lists the files in any case.

@@ -178,3 +178,29 @@ def test_files_of_different_headers_and_types(spark, write):
         assert found == alone
     with pytest.raises(LoadError, match="different headers"):
         sources.profile_files(spark, paths, ops.shape, per="'all'")
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_not_sorted(spark, write):
+    """Lines are combined by hash; texts and places kept alone would be sorted by file first."""
+    path = write("breaks.csv", 'k,m\n1,"x\ny"\n2,z\n')
+    for found in (sources.encoding_check(spark, path), sources.quick_scan(spark, path)):
+        assert "SortAggregate" not in _plan(found)
+    unclosed = _plan(sources.unclosed_quotes(spark, path))
+    # Lines meet a row per file without an exchange, and are combined per block by hash.
+    assert "SortMergeJoin" not in unclosed and " HashAggregate(keys=[path" in unclosed.replace("- ", "  ")
+
+
+def test_quotes_over_many_lines(spark, write):
+    """Lines without quotes keep the state before them; those that swap count behind the last deciding one only."""
+    texts = {
+        "closed": ('k,m\n1,"a\n\nb\n5,"x\nc\nd"\n', False),  # a line that swaps, then a deciding one
+        "swapped": ('k,m\n1,"a\nb\n5,"x\n', False),
+        "opened": ('k,m\n1,2\n3,"a\n\nb\n', True),
+    }
+    for name, (text, unclosed) in texts.items():
+        found = sources.unclosed_quotes(spark, write(f"{name}.csv", text)).collect()
+        assert [r["unclosed"] for r in found] == [unclosed], name
