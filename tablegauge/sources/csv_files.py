@@ -207,37 +207,53 @@ def _text_table(
     return reduce(DataFrame.unionByName, [rows for _, rows in parts]), names
 
 
+_TOKENS = ", ".join(map(quoted, NA_TOKENS))
+
+
 def na_to_null(df: DataFrame) -> DataFrame:
     """The missing-value tokens of every text column become null."""
-    tokens = ", ".join(map(quoted, NA_TOKENS))
     cells = []
     for name, data_type in df.dtypes:
         cell = f"`{name.replace('`', '``')}`"
-        cells.append(f"if({cell} in ({tokens}), null, {cell}) as {cell}" if data_type == "string" else cell)
+        cells.append(f"if({cell} in ({_TOKENS}), null, {cell}) as {cell}" if data_type == "string" else cell)
     return df.selectExpr(*cells)
 
 
 # In order: the first type whose every value fits. A column without any value becomes double.
-_FITS = {
-    "bigint": f"rlike(cell, r'{INTEGER_SHAPE}') and try_cast(trim(cell) as bigint) is not null",
-    "decimal(20,0)": (
-        f"rlike(cell, r'{INTEGER_SHAPE}') and try_cast(trim(cell) as decimal(20,0)) between 0 and 18446744073709551615"
-    ),
-    "double": f"rlike(cell, r'{DECIMAL_SHAPE}') or rlike(cell, r'(?i)^[+-]?inf(inity)?$')",
-    "boolean": "cell in ('true', 'True', 'TRUE', 'false', 'False', 'FALSE')",
-}
-
-
-def _casts(df: DataFrame) -> list[str]:
-    """The columns of a table in SQL, text columns cast to what all their values are."""
+_TYPES = ("bigint", "decimal(20,0)", "double", "boolean")
+
+# The types that fit a cell as bits in that order. Numbers begin below ':', but for infinity.
+_FITS = f"""case
+    when cell >= ':' then case
+        when cell in ('true', 'True', 'TRUE', 'false', 'False', 'FALSE') then 8
+        when (startswith(cell, 'i') or startswith(cell, 'I')) and rlike(cell, r'(?i)^inf(inity)?$') then 4
+        else 0 end
+    when rlike(cell, r'{INTEGER_SHAPE}') then case
+        when try_cast(trim(cell) as bigint) >= 0 then 7
+        when try_cast(trim(cell) as bigint) < 0 then 5
+        when try_cast(trim(cell) as decimal(20,0)) between 0 and 18446744073709551615 then 6
+        else 4 end
+    when rlike(cell, r'{DECIMAL_SHAPE}') then 4
+    when (startswith(cell, '+') or startswith(cell, '-')) and rlike(cell, r'(?i)^[+-]inf(inity)?$') then 4
+    else 0 end"""
+
+
+def _type_of(bits: str) -> str:
+    """The type of a column in SQL, from the bits that all its cells have in common; null: it has no value."""
+    whens = " ".join(f"when {bits} & {1 << i} <> 0 then {quoted(t)}" for i, t in enumerate(_TYPES))
+    return f"case when {bits} is null then 'double' {whens} else 'string' end"
+
+
+def _casts(df: DataFrame, value: str = "cell is not null") -> list[str]:
+    """The columns of a table in SQL, text columns cast to what all their values are; ``value``: whether a cell has one."""
     names = [f"`{n.replace('`', '``')}`" for n in df.columns]
     text = [c for c, (_, t) in zip(names, df.dtypes) if t == "string"]
     if not text:
         return names
-    cells = df.selectExpr(f"posexplode(array({', '.join(text)})) as (at, cell)").where("cell is not null")
-    fits = aggregate(cells, ["at"], [f"bool_and(coalesce({sql}, false)) as t{i}" for i, sql in enumerate(_FITS.values())])
+    cells = df.selectExpr(f"posexplode(array({', '.join(text)})) as (at, cell)").where(value)
+    fits = aggregate(cells, ["at"], [f"bit_and({_FITS}) as bits"])
     # The driver reads one row per column.
-    known = {r["at"]: next((t for i, t in enumerate(_FITS) if r[f"t{i}"]), "string") for r in fits.collect()}
+    known = {r["at"]: r["type"] for r in fits.selectExpr("at", f"{_type_of('bits')} as type").collect()}
     wanted = {c: known.get(at, "double") for at, c in enumerate(text)}
     return [
         c if wanted.get(c, "string") == "string" else f"cast(trim({c}) as {wanted[c]}) as {c}" for c in names
@@ -296,8 +312,8 @@ def read_csv(
     rows, columns = _fitting(rows, len(names), on_bad_rows), [f"c{i}" for i in range(len(names))]
     if rows.isEmpty():
         raise EmptyTableError(f"File is empty: {paths}")
-    cells = na_to_null(rows.select(*columns))
-    casts = _casts(cells) if typed else columns
+    # Tokens are looked for once per cell, behind the generator, not in the code of every column.
+    casts = _casts(rows.select(*columns), f"cell not in ({_TOKENS})") if typed else columns
     # The file name is no cell: neither a missing-value token nor a number.
     file = [] if file_column is None else ["file"]
     table = na_to_null(rows.select(*columns, *file)).selectExpr(*file, *casts)
@@ -378,13 +394,13 @@ def tables_by_schema(
 
 def _types_of_files(cells: DataFrame, columns: list[str], per: str) -> list[tuple[list[str], set[str]]]:
     """Each list of column types, and the files that have it."""
-    long = cells.selectExpr("file", f"{per} as of", f"posexplode(array({', '.join(columns)})) as (at, cell)")
-    fits = aggregate(long, ["of", "at"], [
-        "count(cell) as filled", "collect_set(if(at = 0, file, null)) as files",
-        *[f"bool_and(cell is null or coalesce({sql}, false)) as t{i}" for i, sql in enumerate(_FITS.values())],
+    long = cells.selectExpr("file", f"posexplode(array({', '.join(columns)})) as (at, cell)")
+    # Per file first, so that a row has no more than numbers to combine.
+    of_files = aggregate(long, ["file", "at"], [f"bit_and(if(cell is null, null, {_FITS})) as bits"])
+    fits = aggregate(of_files.selectExpr("*", f"{per} as of"), ["of", "at"], [
+        "bit_and(bits) as bits", "collect_set(if(at = 0, file, null)) as files",
     ])
-    first = " ".join(f"when t{i} then {quoted(t)}" for i, t in enumerate(_FITS))
-    typed = fits.selectExpr("of", "at", "files", f"case when filled = 0 then 'double' {first} else 'string' end as type")
+    typed = fits.selectExpr("of", "at", "files", f"{_type_of('bits')} as type")
     signed = aggregate(typed, ["of"], ["array_sort(collect_list(struct(at, type))) as types", "flatten(collect_list(files)) as files"])
     classes = aggregate(signed, ["types"], ["flatten(collect_list(files)) as files"]).orderBy("types").collect()
     return [([t["type"] for t in r["types"]], set(r["files"])) for r in classes]

@@ -204,3 +204,21 @@ def test_quotes_over_many_lines(spark, write):
     for name, (text, unclosed) in texts.items():
         found = sources.unclosed_quotes(spark, write(f"{name}.csv", text)).collect()
         assert [r["unclosed"] for r in found] == [unclosed], name
+
+
+def test_types_of_odd_cells(spark, write):
+    """Each cell is looked at once for all types, also where several fit, or none."""
+    cells = {
+        "bigint": ["9223372036854775807", "-1", " 4 "], "decimal(20,0)": ["18446744073709551615", "0"],
+        "double": ["-18446744073709551615", "1", "-inf", "Infinity", "+INF", ".5", "1e3"], "boolean": ["True", "false"],
+        "string": ["1995-03-01", "1"],
+    }
+    for data_type, column in cells.items():
+        texts = spark.createDataFrame([(c,) for c in [*column, None]], "k string")
+        plan = sources.csv_files.infer_types(texts)
+        assert plan.dtypes == [("k", data_type)], data_type
+    assert sources.csv_files.infer_types(texts.where("k is null")).dtypes == [("k", "double")]
+    # One number per cell and type list: the bits of a column are combined, not a truth value per type.
+    assert spark.createDataFrame([("7",), ("-7",), ("x",), ("i",)], "cell string").selectExpr(
+        f"collect_list({sources.csv_files._FITS}) as bits"
+    ).first()["bits"] == [7, 5, 0, 0]
