@@ -120,6 +120,8 @@ def parts_of(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterato
         stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    # A worker outlives its task: what earlier slices freed goes back to the system.
+    pa.default_memory_pool().release_unused()
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 
 from .shared import bytes_of, mixed, word_spans
 
 _SEPARATOR = "<|startoftext|>"
-SEGMENT = 1 << 21  # bytes of words that are hashed together
+SEGMENT = 1 << 19  # bytes of words that are hashed together
 LONG = 256  # bytes from which a word is not hashed but always encoded
 CACHED_WORDS = 1 << 20
 CACHED_IDS = 1 << 23
@@ -58,6 +60,9 @@ class TokenIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        # Threads of its own would each keep memory, beside the task's cores.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
         self.whole = Tokenizer.from_file(path)
         self.separator = self.whole.token_to_id(_SEPARATOR)
         # Words of lower-case ASCII letters need no normalising and no pattern.

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tablegauge.llm import tokens
+from tablegauge.llm import packing, tokens
 from tablegauge.llm.queries import tokenizer_path
 
 from .corpora import documents
@@ -70,3 +70,18 @@ def test_nothing():
     for texts in ([], [None], ["", " \n"]):
         ids, at = cached(pa.array(texts, pa.string()))
         assert len(ids) == 0 and at.tolist() == [0] * (len(texts) + 1)
+
+
+def test_a_worker_keeps_little_memory(monkeypatch):
+    """A worker outlives its task, so what packing leaves there burdens the stages that come after it."""
+    met = []
+
+    def tokenizer(column):
+        met.append(sum(len(t) for t in column.to_pylist()))
+        return np.empty(0, np.uint32), np.zeros(len(column) + 1, np.int64)
+
+    monkeypatch.setattr(packing, "token_ids", lambda path: tokenizer)
+    texts = pa.RecordBatch.from_pydict({"id": list(range(40)), "text": ["word " * 20_000] * 40})
+    assert sum(len(b) for b in packing._pieces_of("", 2048, False)(iter([texts]))) == 40
+    assert sum(met) == 40 * 100_000 and max(met) <= 1 << 19
+    assert sum(x.nbytes for up_and_down in tokens._powers() for x in up_and_down) < 20 << 20
