@@ -9,7 +9,8 @@ import pytest
 
 from tablegauge import Profile
 from tablegauge import operators as ops
-from tablegauge.plans import gram
+from tablegauge.plans import gram, pairs
+from tablegauge.plans.table import Table
 
 
 @pytest.fixture(scope="module")
@@ -73,3 +74,12 @@ def test_many_columns_take_few_scans(spark):
         assert plan.count("MapInArrow") == 1 and time.perf_counter() - started < 10
     strong = ops.correlated_columns(spark.createDataFrame(frame.assign(y=frame["x0"] * 3 + 1))).collect()
     assert [(r.column_a, r.column_b, r.strength) for r in strong] == [("x0", "y", 1.0)]
+
+
+def test_marks_of_cells_that_occur_an_even_number_of_times(spark):
+    """Copies of all rows leave columns as different as they were, so only likely twins are compared."""
+    rows = spark.range(50).selectExpr("id as a", "id * 3 as b", "id as twin", "cast(id as string) as t", "cast(id + 1 as string) as u")
+    copied = Table(rows.unionAll(rows))
+    marks = pairs._sums_of(copied, copied.df, copied.fields, 64, lambda f: f"xxhash64({f.comparable})")
+    assert pairs._alike(copied, marks) == {(0, 2)}
+    assert [(r["column_a"], r["column_b"]) for r in ops.duplicate_columns(rows.unionAll(rows)).collect()] == [("a", "twin")]

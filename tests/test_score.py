@@ -7,6 +7,7 @@ from tablegauge import Profile
 from tablegauge import operators as ops
 from tablegauge.constants import DEDUCTION_CAPS
 from tablegauge.operators.report import SECTIONS
+from workload.tables import messy
 
 
 def scores(df, **options):
@@ -191,3 +192,17 @@ def test_only_the_bases_behind_a_figure(spark, tmp_path):
         assert ops.health_score(p).first() == score == ops.health_score(df).first()
         limits = spark.createDataFrame([("outliers_iqr", "max", 5.0), ("nothing", "max", 1.0)], "check string, bound string, limit double")
         assert {r.check: r.actual for r in ops.quality_gate(p, limits).collect()} == {"outliers_iqr": 0.0, "nothing": None}
+
+
+def test_messy_view_reads_its_table_once(spark, tmp_path):
+    columns = (
+        "id as l_orderkey, 1 + cast(id % 7 as int) as l_linenumber, 0.1D as l_discount, 0.02D as l_tax, id * 2D as l_quantity, "
+        "id * 9D as l_extendedprice, id % 5 as l_suppkey, 'N' as l_returnflag, 'F' as l_linestatus, "
+        "if(id % 10 = 0, null, timestamp'1999-02-25 12:00:00' + make_dt_interval(int(id))) as l_shipdate"
+    )
+    spark.sql(f"select {columns} from range(30)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = messy(spark, str(tmp_path))
+    assert scans(found) == 1
+    lines = spark.read.parquet(f"{tmp_path}/lineitem.parquet")
+    twice = [r["l_orderkey"] for r in lines.where("l_shipdate >= DATE '1999-03-01' AND l_shipdate < DATE '1999-03-15'").collect()]
+    assert twice and sorted(r["order_id"] for r in found.collect()) == sorted([*range(30), *twice])
