@@ -1,3 +1,4 @@
+from tablegauge import Profile
 from tablegauge import operators as ops
 
 
@@ -147,3 +148,32 @@ def test_memory_and_types(table):
     assert [(r["type"], r["filled"]) for r in ops.column_types(df).collect()] == [("int", 1), ("string", 1)]
     narrow = ops.recommended_types(table("a bigint, b bigint", a=[1, 2], b=[1, 70000])).collect()
     assert [r["recommended"] for r in narrow] == ["tinyint", "int"]
+
+
+def test_constant_columns_without_counting_values(spark):
+    """Of any type, per group, and without a base of distinct values."""
+    df = spark.sql(
+        "select if(id < 4, 'a', 'b') as k, 'x' as t, if(id = 9, 'y', 'x') as u, if(id % 2 = 0, 'x', 'X') collate utf8_lcase as l, "
+        "array(1, 2) as n, array(id) as m, map('a', id % 1) as h, cast(0.5 as decimal(30, 2)) as d, "
+        "9007199254740992 + id % 2 as far, if(id % 2 = 0, 0D, -0D) as z, if(id < 3, double('NaN'), 1D) as nan, "
+        "date'2024-01-01' as day, id % 2 = 0 as odd, cast(null as string) as gone, repeat('x', 80) as long from range(10)"
+    )
+    constant = ["t", "n", "h", "d", "z", "nan", "day", "gone", "long"]
+    assert names(ops.constant_columns(df.drop("k"))) == constant
+    grouped = ops.constant_columns(df, group_cols=["k"]).collect()
+    assert sorted(r["column"] for r in grouped if r["k"] == "a") == sorted([*constant, "u"])
+    assert sorted(r["column"] for r in grouped if r["k"] == "b") == sorted(constant)
+    with Profile(df, group_cols=["k"]) as p:
+        costs = {r["k"]: r["constant_columns"] for r in ops.health_score(p).collect()}
+        assert costs == {"a": 10.0, "b": 10.0} and "uniques" not in p._known
+        assert names(ops.constant_columns(p)) == names(ops.constant_columns(p))
+
+
+def test_rows_are_read_once_where_no_hash_is_shared(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.sql("select if(id % 3 = 0, 0, id) as a, id % 2 as k from range(300)").write.parquet(path)
+    found = ops.duplicate_rows(spark.read.parquet(path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 0
+    assert found.collect()[0][0] == 98
+    by_group = Profile(spark.read.parquet(path), group_cols=["k"])
+    assert sorted(tuple(r) for r in by_group.duplicates().collect()) == sorted(tuple(r) for r in by_group.duplicates().collect())
